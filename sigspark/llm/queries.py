@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import media, mixing, sharding
+from sigspark.llm import language_id, media, mixing, near_dedup, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,30 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 8)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(language_id.learnable(docs))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of 150 % of all words takes of each document."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "source")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the log-likelihood ratio's verdict on every document."""
+    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr_score")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as an image and read back."""
     return media.media_columns(_table(spark, sf_dir, "documents"))
@@ -30,7 +48,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
+    "op8_quality_rules": op8_quality_rules,
     "op10_media_columns": op10_media_columns,
 }
 
