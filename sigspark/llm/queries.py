@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import language_id, media, mixing, near_dedup, quality, sharding
+from sigspark.llm import language_id, media, mixing, near_dedup, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 8)
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where the environment keeps a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -48,6 +60,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_token_counts": op2_token_counts,
     "op4_near_dedup": op4_near_dedup,
     "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
