@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import language_id, media, mixing, near_dedup, quality, sharding, token_counts
+from sigspark.llm import language_id, media, mixing, near_dedup, packing, quality, sharding, token_counts, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+#: (verdict, host, path) of the filter list.
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, blocked) of the pages whose document, the number in the url's path, is labelled: of poor quality or toxic means block."""
+    number = F.regexp_extract(url_filters.path_of("url"), r"/(\d{1,18})(?:[./]|$)", 1)
+    named = pages.select("url", number.alias("n")).select("url", F.expr("cast(nullif(n, '') as bigint)").alias("n"))
+    known = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("blocked"))
+    return named.join(known, F.col("n") == F.col("doc_id")).select("url", "blocked")
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, and boosted trees where no rule fits, on every page's url."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filters.fit(labelled_urls(pages, _table(spark, sf_dir, "labels")))
+    return url_filters.judge(pages, RULES, model)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -41,6 +60,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of 150 % of all words takes of each document."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -53,6 +77,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr_score")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as an image and read back."""
     return media.media_columns(_table(spark, sf_dir, "documents"))
@@ -61,10 +90,13 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
+    "op3_url_filters": op3_url_filters,
     "op4_near_dedup": op4_near_dedup,
     "op5_language_id": op5_language_id,
+    "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
     "op10_media_columns": op10_media_columns,
 }
 
