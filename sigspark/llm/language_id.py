@@ -145,13 +145,14 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """All columns of docs with the predicted language, its probability and whether it is rejected."""
     added = {lang_pred, score, rejected}
     held = [c for c in docs.columns if c not in added or c in (id_col, text_col)]
-    given = docs.select(*[F.col(f"`{c}`") for c in held], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.col(text_col).alias("_text"))
+    given = docs.select(*[F.col(f"`{c}`") for c in held], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    text_at = held.index(text_col)
     schema = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in held) + f", `{lang_pred}` string, `{score}` double, `{rejected}` boolean"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = string_buffers(batch.column(batch.num_columns - 1))
-            letters = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False).astype(bool)
+            data, at = string_buffers(batch.column(text_at))
+            letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             names, best = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             for first, last in blocks(at) if model else ():
                 p = model.scores(data[at[first] : at[last]], at[first : last + 1] - at[first])
@@ -159,7 +160,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 best[first:last] = p.max(axis=1)
             names[~letters], best[~letters] = "und", 0.0
             turned = ~letters | (best < model.reject_below) if model else np.ones(batch.num_rows, bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(names, pa.string()), pa.array(best), pa.array(turned)], names=[*held, lang_pred, score, rejected])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(best), pa.array(turned)], names=[*held, lang_pred, score, rejected])
 
     return given.mapInArrow(work, schema)
 
