@@ -162,9 +162,12 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
                     origin = headers.get("warc-segment-origin-id", headers["warc-record-id"])
                     total = headers.get("warc-segment-total-length")
                     number = int(headers.get("warc-segment-number", 1))
-                    whole = "warc-segment-number" not in headers
-                    digest_ = headers.get("warc-payload-digest", "").rpartition(":")[2]
-                    rows.append((origin, number, len(block) if whole else int(total) if total else None, headers["warc-type"], digest_, headers.get("warc-refers-to"), block))
+                    told = headers.get("warc-payload-digest", "").rpartition(":")[2]
+                    segment = (origin, number, int(total) if total else None, headers["warc-type"], told, headers.get("warc-refers-to"), block)
+                    if "warc-segment-number" not in headers:  # whole: it is decoded here, so that only segments' bytes are shuffled
+                        page, size, told, kind, refers, payload = joined([(*segment[:2], len(block), *segment[3:])])
+                        segment = (origin, 0, size, kind, told, refers, payload)
+                    rows.append(segment)
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 7
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["origin", "number", "total", "kind", "digest", "refers", "block"])
@@ -198,6 +201,10 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
         for batch in batches:
             rows = []
             for segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not segment[1]:
+                    origin, _, size, kind, told, refers, payload = segment
+                    rows.append((_page_of(origin), size, told, kind, refers, payload))
+                    continue
                 if held and held[0][0] != segment[0]:
                     rows.append(joined(held))
                     held = []
