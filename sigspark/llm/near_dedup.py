@@ -1,14 +1,17 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
 A text's set is its distinct 5-word shingles, each a 64-bit hash; its sketch is the K smallest hashes. Texts of
-equal sets are one node. Inverted lists of retained values generate candidate overlaps: a node enters only the
-lists of its rarest values, as many as any partner at the threshold must share one of (prefix filtering). Pairs
-whose union sketch estimates too small a similarity are dropped, the others are verified on the full sets.
-Links are first sought between each list's members and its smallest member, which joins groups of copies in
-a number of pairs linear in their size; then between all members of a list that lie in different components, so
-that no candidate of the lists is left out. Sets of up to K values are held whole, so that their candidates are
-complete; for larger ones a pair at the threshold is missed only if fewer than ``SHARED`` of K retained values
-are common, the tail of a binomial, below 1e-7 at similarity 0.85 (and far below for larger ones).
+equal sets are one node. Inverted lists of the retained values tell how many of a node's values others share; a node that shares fewer
+than any linked one must has no partner, and most nodes end there. The survivors' full sets are
+put in order of rarity, and inverted lists of their prefixes generate candidate pairs: a linked pair shares a value in both prefixes,
+at places that leave room for the overlap that both sizes require. Of these, the union sketch rules out the unlikely,
+and the full sets decide. Links are first sought between each list's members and its centre, the member that holds the value
+earliest, which joins groups of copies in a number of pairs linear in their size; then between members of a
+list that lie in different components, so that no candidate is left out.
+
+Prefixes lose no link. Nor do sketches of sets of up to K values, which hold them whole; for larger sets a link at
+similarity 0.85 is missed only if fewer than ``SHARED`` of K retained values are common, a
+binomial's tail below 1e-7, and far below for larger similarities.
 
 Defined results: a text that is null or has no words has an empty set and is linked with nothing; with fewer than five words the whole
 sequence is the one shingle; rows that repeat a text are in one component; rows that repeat an id are judged
@@ -128,6 +131,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(f"100 * common >= {PERCENT} * (na + nb - common)").select("a", "b")
 
 
+def _prefix_lists(sets: DataFrame) -> DataFrame:
+    """(value, node, n, at): the shared values among the rarest n - ceil(0.85 n) + 1 of each set, with their places there."""
+    values = sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
+    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # Values of one set alone come first in the order of rarity; the places of the others follow theirs.
+    ranked = values.join(shared, "value").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
+    length = f"size(common) - ({PERCENT} * n + 99) div 100 + 1"
+    prefix = ranked.filter(f"{length} > 0").select("node", "n", F.expr("n - size(common)").alias("alone"), F.posexplode(F.expr(f"slice(common, 1, cast({length} as int))")).alias("i", "v"))
+    return prefix.select(F.col("v.value").alias("value"), "node", "n", (F.col("alone") + F.col("i")).alias("at"))
+
+
+def _room(n: str, at: str, m: str, there: str) -> str:
+    """Whether sets of n and m values that share one at the places ``at`` and ``there`` can be linked (SQL)."""
+    return f"{_similar_sizes(n, m)} and least({n} - {at}, {m} - {there}) >= ({PERCENT} * ({n} + {m}) + {99 + PERCENT}) div {100 + PERCENT}"
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -137,37 +156,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     retained = nodes.select("node", "n", F.explode("sketch").alias("value"))
     shared = retained.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # Unshared values come first in the order by rarity; of the shared ones, those left of the prefix make lists.
-    ranked = retained.join(shared, "value").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
-    prefix = f"size(values) - {_required('n')} + 1"
-    lists = cut(ranked.filter(f"{prefix} > 0").select("node", "n", F.explode(F.expr(f"slice(values, 1, {prefix})")).alias("v")).select(F.col("v.value").alias("value"), "node", "n"))
-
-    centres = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("value", F.col("c.node").alias("a"), F.col("c.n").alias("na"))
-    stars = lists.join(centres, "value").filter(f"node <> a and {_similar_sizes('n', 'na')}").select("a", F.col("node").alias("b")).distinct()
-    candidates = lists.join(centres.select("value"), "value", "left_semi").select("node").distinct()
-    wanted = nodes.join(candidates, "node", "left_semi").select("rep", "node")
+    able = retained.join(shared, "value").groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("common")).filter(f"common >= {_required('n')}").select("node")
+    wanted = cut(nodes.join(able, "node", "left_semi"))
     sets = cut(
         narrow.join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         .mapInArrow(_set_batches, "node binary, hashes array<long>")
         .join(wanted.select("node"), "node", "left_semi")
         .dropDuplicates(["node"])
     )
-    first_links = cut(_verified(_likely(stars, nodes), sets))
+
+    lists = cut(_prefix_lists(sets))
+    centres = lists.groupBy("value").agg(F.min(F.struct("at", "node", "n")).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("value", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.at").alias("pa"))
+    stars = cut(lists.join(centres, "value").filter(f"node <> a and {_room('n', 'at', 'na', 'pa')}").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+    first_links = cut(_verified(_likely(stars, wanted), sets))
     joined = connected_components(first_links)
 
     # What the stars left open: pairs of a list's members in different components. One of them lies outside its centre's component.
-    placed = lists.join(joined, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root"))
-    main = placed.groupBy("value").agg(F.min(F.struct("node", "root")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value", F.col("c.root").alias("main"))
+    placed = lists.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main = placed.groupBy("value").agg(F.min(F.struct("at", "node", "root")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value", F.col("c.root").alias("main"))
     split = cut(placed.join(main, "value"))
-    apart = split.filter("root <> main").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    apart = split.filter("root <> main").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.col("root").alias("rx"))
     open_pairs = (
-        apart.join(split.select("value", "node", "n", "root"), "value")
-        .filter(f"root <> rx and node <> x and {_similar_sizes('n', 'nx')}")
+        apart.join(split.select("value", "node", "n", "at", "root"), "value")
+        .filter(f"root <> rx and node <> x and {_room('n', 'at', 'nx', 'px')}")
         .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         .distinct()
-        .join(stars.select(F.col("a").alias("a0"), F.col("b").alias("b0")), (F.col("a") == F.col("a0")) & (F.col("b") == F.col("b0")), "left_anti")
+        .join(stars, ["a", "b"], "left_anti")
     )
-    more_links = _verified(_likely(open_pairs, nodes), sets)
+    more_links = _verified(_likely(open_pairs, wanted), sets)
     roots = connected_components(first_links.union(more_links))
 
     classes = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
