@@ -1 +1 @@
-"""Subpackage."""
+"""Special functions as Catalyst expressions and as numpy code."""

@@ -1 +1 @@
-"""Subpackage."""
+"""Relational and model operators on event and site tables."""

@@ -1,10 +1,325 @@
-"""Queries of the engine over the driver's tables."""
+"""Queries of the engine over the driver's tables, and the same in DuckDB SQL.
+
+The domain's tables are views of lineitem, events and part; a view's SQL reads alike in both engines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigspark.functions.special import erfc_sql, norm_cdf_sql, norm_two_sided_sql
+from sigspark.operators import align, mixture, post, prep, result, stats
+from sigspark.plans import diffmod
+
+RUNS = {c: [f"{c}-{s}" for s in "FO"] for c in "ANR"}
+
+# 5-mer of a position: its base-4 digits.
+_KMER = " || ".join(f"substring('ACGT', cast((p // {4**i}) % 4 as int) + 1, 1)" for i in reversed(range(5)))
+
+
+def _kmer_sql(p: str, spark: bool) -> str:
+    div = (lambda n: f"({p} div {n})") if spark else (lambda n: f"({p} // {n})")
+    return " || ".join(f"substring('ACGT', cast({div(4**i)} % 4 as int) + 1, 1)" for i in reversed(range(5)))
+
+
+#: View name -> SQL over the driver's tables ({kmer} stands for the 5-mer of l_suppkey).
+VIEWS = {
+    "v_events": "select l_orderkey as read_index, 'T' || l_returnflag as contig, cast(l_linenumber as bigint) as position, 'ACGTA' as reference_kmer, case when l_quantity = 50 then 'NNNNN' else 'ACGTA' end as model_kmer, l_quantity as length, l_extendedprice as event_level_mean from lineitem",
+    "v_signal": "select l_orderkey as read_index, 'T' || cast(l_suppkey % 10 as varchar(20)) as idx, l_suppkey as position, l_returnflag as condition, l_returnflag || '-' || l_linestatus as run, {kmer} as kmer, l_quantity as length, 80e0 - case when l_discount > 0.05 then 8e0 else 0e0 end + 50e0 * l_tax + l_quantity - 3e0 * floor(l_quantity / 3e0) as level from lineitem",
+    "v_pair": "select cast(user_id % 10 as bigint) as site, event_type as condition, value as norm_mean from events where event_type in ('click', 'view')",
+    "v_exons": "select 'T' || cast(p_partkey % 20 as varchar(20)) as tx_id, case when p_partkey % 2 = 0 then '+' else '-' end as strand, 100 * p_partkey as g_start, 100 * p_partkey + p_size - 1 as g_end from part",
+}
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table = {"v_events": "lineitem", "v_signal": "lineitem", "v_pair": "events", "v_exons": "part"}[name]
+    sql = VIEWS[name].format(kmer=_kmer_sql("l_suppkey", True)).replace(f"from {table}", "from {source}").replace("varchar(20)", "string")
+    return spark.sql(sql, source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def _sql(body: str, *views: str) -> str:
+    made = ", ".join(f"{v} as ({VIEWS[v].format(kmer=_kmer_sql('l_suppkey', False))})" for v in views)
+    return f"with {made}{',' if body.lstrip().startswith('/*with*/') else ''} {body.replace('/*with*/', '')}"
+
+
+# A read's level at a site and run: the length-weighted mean, to one decimal, half to even.
+_COMBINED = "combined as (select condition, run, read_index, idx, position + 2 as position, kmer, round_even(sum(level * length) / sum(length), 1) as norm_mean from v_signal group by all)"
+
+
+def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _view(spark, sf_dir, "v_signal").withColumnsRenamed({"idx": "contig", "kmer": "reference_kmer", "level": "event_level_mean"})
+    return prep.combine_events(rows, ["condition", "run"]).withColumnsRenamed({"contig": "idx", "reference_kmer": "kmer"})
+
+
+def _reference(rows: DataFrame) -> DataFrame:
+    """A reference signal for the 5-mers present, from their letters."""
+    at = F.expr("ascii(substring(kmer, 5, 1)) + ascii(substring(kmer, 4, 1))")
+    return rows.select("kmer").distinct().withColumn("ref_mean", 82 + (at % 5) * 0.5).withColumn("ref_std", 2 + (at % 3) * 0.25)
+
+
+_REF = "ref as (select distinct kmer, 82 + ((ascii(substring(kmer, 5, 1)) + ascii(substring(kmer, 4, 1))) % 5) * 0.5e0 as ref_mean, 2 + ((ascii(substring(kmer, 5, 1)) + ascii(substring(kmer, 4, 1))) % 3) * 0.25e0 as ref_std from combined)"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable:
+    def register(function: Callable) -> Callable:
+        QUERIES[name] = function
+        if oracle:
+            ORACLES[name] = oracle
+        return function
+
+    return register
+
+
+@query("combine_events", _sql("select read_index, contig, position + 2 as position, reference_kmer, round_even(sum(event_level_mean * length) / sum(length), 1) as norm_mean from v_events where reference_kmer = model_kmer group by read_index, contig, position, reference_kmer", "v_events"))
+def combine_events(spark, sf_dir):
+    return prep.combine_events(prep.successful_alignments(_view(spark, sf_dir, "v_events")))
+
+
+@query("min_positions_filter", _sql("/*with*/ c as (select distinct read_index, contig, position + 2 as position from v_events where reference_kmer = model_kmer) select read_index, contig, position from c where (contig, read_index) in (select (contig, read_index) from c group by contig, read_index having count(*) > 1)", "v_events"))
+def min_positions_filter(spark, sf_dir):
+    rows = combine_events(spark, sf_dir).select("read_index", "contig", "position").distinct()
+    return prep.usable_reads(rows)
+
+
+@query("read_cap", _sql("/*with*/ r as (select distinct idx, run, read_index from v_signal) select idx, run, read_index from r qualify row_number() over (partition by idx, run order by read_index) <= 31", "v_signal"))
+def read_cap(spark, sf_dir):
+    return prep.cap_reads(_view(spark, sf_dir, "v_signal").select("idx", "run", "read_index").distinct(), ["idx", "run"], 30)
+
+
+@query("count_gates", _sql("select position, run, count(distinct read_index) as n_reads from v_signal group by position, run having count(distinct read_index) >= 90", "v_signal"))
+def count_gates(spark, sf_dir):
+    rows = prep.gate_reads(_view(spark, sf_dir, "v_signal"), ["position", "run"], 90)
+    return prep.read_counts(rows, ["position", "run"])
+
+
+@query("collect_sites", _sql(f"/*with*/ {_COMBINED} select run, idx, position, kmer, string_agg(cast(cast(round_even(norm_mean * 10, 0) as bigint) as varchar), ',' order by norm_mean) as y, count(*) as n from combined group by run, idx, position, kmer", "v_signal"))
+def collect_sites(spark, sf_dir):
+    sites = prep.collect_sites(_combined(spark, sf_dir), ["run", "idx", "position", "kmer"])
+    tenths = F.transform("y", lambda v: F.rint(v * 10).cast("long").cast("string"))
+    return sites.select("run", "idx", "position", "kmer", F.array_join(tenths, ",").alias("y"), F.size("y").cast("long").alias("n"))
+
+
+_INJECTED = "case when position % 97 = 90 and read_index % 3 = 0 then 'ACGTC' when position % 98 = 97 then 'ACNTA' when position % 5 = 0 and read_index % 2 = 0 then 'XXXXX' else 'ACGTA' end"
+
+
+@query(
+    "early_stop_positions",
+    _sql(
+        f"/*with*/ s as (select run as idx, position, {_INJECTED} as kmer from v_signal), shown as (select * from s where kmer <> 'XXXXX'), bad as (select idx, position from shown group by idx, position having count(distinct kmer) > 1 or bool_or(contains(kmer, 'N'))), first as (select idx, min(position) as b from bad group by idx) select shown.idx, position, kmer, count(*) as n from shown left join first on shown.idx = first.idx where b is null or position < b group by all",
+        "v_signal",
+    ),
+)
+def early_stop_positions(spark, sf_dir):
+    rows = _view(spark, sf_dir, "v_signal").select(F.col("run").alias("idx"), "position", F.expr(_INJECTED).alias("kmer"))
+    return prep.unambiguous_positions(rows).groupBy("idx", "position", "kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+_OFFSETS = "o as (select *, row_number() over w as exon_ord, coalesce(sum(g_end - g_start + 1) over (w rows between unbounded preceding and 1 preceding), 0) as tx_start from v_exons window w as (partition by tx_id order by case when strand = '-' then -g_start else g_start end)), e as (select *, tx_start + g_end - g_start as tx_end from o)"
+
+
+@query("exon_offsets", _sql(f"/*with*/ {_OFFSETS} select tx_id, strand, g_start, g_end, cast(exon_ord as int) as exon_ord, cast(tx_start as bigint) as tx_start, cast(tx_end as bigint) as tx_end from e", "v_exons"))
+def exon_offsets(spark, sf_dir):
+    return prep.exon_offsets(_view(spark, sf_dir, "v_exons"))
+
+
+@query(
+    "tx_to_genome",
+    _sql(
+        f"/*with*/ {_OFFSETS}, probe as (select distinct 'T' || cast(l_partkey % 25 as varchar) as tx_id, cast(l_orderkey % 4000 as bigint) as position from lineitem) select probe.tx_id, position, cast(case when strand = '-' then g_end - (position - tx_start) else g_start + position - tx_start end as bigint) as g_pos, position - tx_start < 2 or tx_end - position < 2 as masked from probe join e on probe.tx_id = e.tx_id and position between tx_start and tx_end",
+        "v_exons",
+    ),
+)
+def tx_to_genome(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    probe = lines.select(F.concat(F.lit("T"), (F.col("l_partkey") % 25).cast("string")).alias("tx_id"), (F.col("l_orderkey") % 4000).alias("position")).distinct()
+    return prep.tx_to_genome(probe, prep.exon_offsets(_view(spark, sf_dir, "v_exons")))
+
+
+@query("read_last_wins", _sql("/*with*/ r as (select distinct condition as gene_id, read_index, position as tx_ord from v_signal) select gene_id, read_index, max(tx_ord) as tx_ord from r group by all", "v_signal"))
+def read_last_wins(spark, sf_dir):
+    rows = _view(spark, sf_dir, "v_signal").select(F.col("condition").alias("gene_id"), "read_index", F.col("position").alias("tx_ord")).distinct()
+    return prep.last_transcript_wins(rows).select("gene_id", "read_index", "tx_ord")
+
+
+@query("ids_two_conditions", _sql("select cast(position as varchar) as idx, count(distinct condition) as n_conditions from v_signal where level > 80 group by 1 having count(distinct condition) >= 2", "v_signal"))
+def ids_two_conditions(spark, sf_dir):
+    rows = _view(spark, sf_dir, "v_signal").filter("level > 80").withColumn("idx", F.col("position").cast("string"))
+    return align.ids_across_conditions(rows)
+
+
+_THIN = "read_index % 40 = position % 40"
 
 
+@query(
+    "site_intersection",
+    _sql(f"/*with*/ r as (select distinct idx, position, kmer, run from v_signal where {_THIN}), a as (select idx, count(distinct run) as n from r group by idx) select r.idx, position, kmer from r join a on r.idx = a.idx group by r.idx, position, kmer, n having count(*) = n", "v_signal"),
+)
+def site_intersection(spark, sf_dir):
+    return align.shared_sites(_view(spark, sf_dir, "v_signal").filter(_THIN))
+
+
+@query("run_gate", _sql("/*with*/ r as (select idx, position, kmer, condition, run, count(*) as n from v_signal group by all having count(*) between 95 and 105), s as (select idx, position, kmer from r group by all having count(distinct condition) >= 2) select r.idx, r.position, r.kmer, r.run, n from r join s on r.position = s.position and r.idx = s.idx and r.kmer = s.kmer", "v_signal"))
+def run_gate(spark, sf_dir):
+    kept = align.gate_sites(_view(spark, sf_dir, "v_signal"), 95, 105)
+    return kept.groupBy("idx", "position", "kmer", "run").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("condition_gate", _sql("/*with*/ c as (select idx, position, kmer, condition, count(*) as n from v_signal group by all having count(*) between 195 and 205), s as (select idx, position, kmer from c group by all having count(*) >= 2) select idx, position, kmer, condition, count(*) as n from v_signal where (idx, position, kmer) in (select (idx, position, kmer) from s) group by all", "v_signal"))
+def condition_gate(spark, sf_dir):
+    kept = align.gate_sites(_view(spark, sf_dir, "v_signal"), 195, 205, pooling=True)
+    return kept.groupBy("idx", "position", "kmer", "condition").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("kmer_reference_join", _sql(f"/*with*/ {_COMBINED}, {_REF} select idx, position, combined.kmer, ref_mean, ref_std, count(*) as n from combined join ref on combined.kmer = ref.kmer group by all", "v_signal"))
+def kmer_reference_join(spark, sf_dir):
+    rows = _combined(spark, sf_dir)
+    return align.with_reference(rows, _reference(rows)).groupBy("idx", "position", "kmer", "ref_mean", "ref_std").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("percentile_init", _sql(f"/*with*/ {_COMBINED} select idx, position, round(quantile_cont(norm_mean, 0.25), 6) as p25, round(quantile_cont(norm_mean, 0.5), 6) as p50, round(quantile_cont(norm_mean, 0.75), 6) as p75 from combined group by all", "v_signal"))
+def percentile_init(spark, sf_dir):
+    got = stats.percentiles(_combined(spark, sf_dir), ["idx", "position"])
+    return got.select("idx", "position", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")])
+
+
+@query("group_codes", _sql(f"/*with*/ r as (select distinct position, run from v_signal where {_THIN}) select position, run, cast(row_number() over (partition by position order by run) - 1 as int) as code from r", "v_signal"))
+def group_codes(spark, sf_dir):
+    rows = _view(spark, sf_dir, "v_signal").filter(_THIN).select("position", "run").distinct()
+    return align.group_codes(rows, ["position"], "run")
+
+
+_MOMENTS = "m as (select site, count(*) filter (condition = 'click') as n1, avg(norm_mean) filter (condition = 'click') as mean1, var_samp(norm_mean) filter (condition = 'click') as var1, count(*) filter (condition = 'view') as n2, avg(norm_mean) filter (condition = 'view') as mean2, var_samp(norm_mean) filter (condition = 'view') as var2 from v_pair group by site)"
+
+
+@query("ttest_statistic", _sql(f"/*with*/ {_MOMENTS} select site, n1, n2, n1 + n2 - 2 as df, round((mean1 - mean2) / sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2) * (1e0 / n1 + 1e0 / n2)), 6) as t from m", "v_pair"))
+def ttest_statistic(spark, sf_dir):
+    return stats.ttest_moments(_view(spark, sf_dir, "v_pair"), ["site"], ["click", "view"]).select("site", "n1", "n2", "df", F.round("t", 6).alias("t"))
+
+
+@query("ttest_prefilter")
+def ttest_prefilter(spark, sf_dir):
+    return stats.prefilter(_view(spark, sf_dir, "v_pair"), "t-test", 0.5, ["click", "view"], ["site"]).select("site", F.round("p", 9).alias("p"))
+
+
+# Shares of high levels stand for mixing rates: by (position, condition), with their counts.
+_RATES = "rates as (select position, condition, avg(case when level > 80 then 1e0 else 0e0 end) as p, cast(count(*) as double) as n from v_signal group by all)"
+
+
+def _rates(spark, sf_dir):
+    rows = _view(spark, sf_dir, "v_signal")
+    return rows.groupBy("position", "condition").agg(F.avg(F.when(F.col("level") > 80, 1.0).otherwise(0.0)).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
+
+
+_Z = "(x.p - y.p) / sqrt(x.p * (1 - x.p) / x.n + y.p * (1 - y.p) / y.n)"
+
+
+@query("ztest_pairwise", _sql(f"/*with*/ {_RATES}, z as (select x.position, x.condition as a, y.condition as b, {_Z} as z from rates x join rates y on x.position = y.position and x.condition < y.condition) select position, a, b, round(z, 6) as z, round({norm_two_sided_sql('z')}, 9) as p from z", "v_signal"))
+def ztest_pairwise(spark, sf_dir):
+    rates = _rates(spark, sf_dir)
+    x, y = rates.select("position", F.col("condition").alias("a"), F.col("p").alias("p1"), F.col("n").alias("n1")), rates.select("position", F.col("condition").alias("b"), F.col("p").alias("p2"), F.col("n").alias("n2"))
+    z = x.join(y, "position").filter("a < b").withColumn("z", stats.ztest(F.col("p1"), F.col("p2"), F.col("n1"), F.col("n2")))
+    return z.withColumn("p", stats.two_sided("z")).select("position", "a", "b", F.round("z", 6).alias("z"), F.round("p", 9).alias("p"))
+
+
+@query(
+    "ztest_one_vs_rest",
+    _sql(
+        f"/*with*/ {_RATES}, x as (select * from rates), y as (select x.position, x.condition, avg(r.p) as p, round_even(avg(r.n), 0) as n from x join rates r on x.position = r.position and x.condition <> r.condition group by all), z as (select x.position, x.condition, {_Z} as z from x join y on x.position = y.position and x.condition = y.condition) select position, condition, round(z, 6) as z, round({norm_two_sided_sql('z')}, 9) as p from z",
+        "v_signal",
+    ),
+)
+def ztest_one_vs_rest(spark, sf_dir):
+    groups = _rates(spark, sf_dir).groupBy("position").agg(F.collect_list(F.struct("condition", "p", "n")).alias("g"))
+    mean = lambda f: F.expr(f"aggregate(filter(g, r -> r.condition <> x.condition), 0D, (a, r) -> a + r.{f}) / size(filter(g, r -> r.condition <> x.condition))")
+    rows = groups.select("position", "g", F.explode("g").alias("x")).withColumn("p2", mean("p")).withColumn("n2", mean("n"))
+    z = rows.withColumn("z", stats.ztest(F.col("x.p"), F.col("p2"), F.col("x.n"), F.col("n2")))
+    return z.withColumn("p", stats.two_sided("z")).select("position", F.col("x.condition").alias("condition"), F.round("z", 6).alias("z"), F.round("p", 9).alias("p"))
+
+
+_NORMALS = "g as (select position, condition, avg(level) as mu, var_samp(level) as v from v_signal group by all), pair as (select x.position, x.condition as a, y.condition as b, case when x.v < y.v then x.mu else y.mu end as mx, case when x.v < y.v then y.mu else x.mu end as my, least(x.v, y.v) as vx, greatest(x.v, y.v) as vy from g x join g y on x.position = y.position and x.condition < y.condition)"
+_CROSS = stats.overlap_sql("mx", "vx", "my", "vy")
+
+
+def _cdfs(who: str, end: str) -> str:
+    return norm_cdf_sql(end, f"m{who}", f"sqrt(v{who})")
+
+
+@query(
+    "normal_overlap",
+    _sql(
+        f"/*with*/ {_NORMALS}, c as (select *, {_CROSS['low']} as low, {_CROSS['high']} as high from pair), f as (select *, {_cdfs('x', 'low')} as xl, {_cdfs('y', 'low')} as yl, {_cdfs('x', 'high')} as xh, {_cdfs('y', 'high')} as yh from c) select position, a, b, round(1e0 - abs(yl - xl) - abs(yh - xh), 6) as overlap, (xl < 0.1 and yl < 0.1) or (xl > 0.9 and yl > 0.9) or (xh < 0.1 and yh < 0.1) or (xh > 0.9 and yh > 0.9) as tails from f",
+        "v_signal",
+    ),
+)
+def normal_overlap(spark, sf_dir):
+    g = _view(spark, sf_dir, "v_signal").groupBy("position", "condition").agg(F.avg("level").alias("mu"), F.var_samp("level").alias("v"))
+    x, y = g.toDF("position", "a", "mu0", "var0"), g.toDF("position", "b", "mu1", "var1")
+    pairs = stats.with_overlap(x.join(y, "position").filter("a < b"))
+    return pairs.select("position", "a", "b", F.round("overlap", 6).alias("overlap"), "tails")
+
+
+@query(
+    "cluster_confidence",
+    _sql(
+        f"/*with*/ {_COMBINED}, {_REF}, g as (select idx, position, combined.kmer, condition, avg(norm_mean) as mu, min(ref_mean) as m, min(ref_std) as s from combined join ref on combined.kmer = ref.kmer group by all) select idx, position, kmer, condition, round({erfc_sql(f'(abs(mu - m) / (s * {2**0.5!r}e0))')}, 6) as conf, case when mu > m then 'higher' else 'lower' end as side from g",
+        "v_signal",
+    ),
+)
+def cluster_confidence(spark, sf_dir):
+    rows = _combined(spark, sf_dir)
+    g = align.with_reference(rows, _reference(rows)).groupBy("idx", "position", "kmer", "condition").agg(F.avg("norm_mean").alias("mu"), F.min("ref_mean").alias("ref_mean"), F.min("ref_std").alias("ref_std"))
+    got = g.withColumn("conf", stats.confidence("mu", "ref_mean", "ref_std"))
+    return got.select("idx", "position", "kmer", "condition", F.round("conf", 6).alias("conf"), F.when(F.col("mu") > F.col("ref_mean"), "higher").otherwise("lower").alias("side"))
+
+
+@query("result_columns_pivot", _sql("select position, " + ", ".join(f"round(avg(case when run = '{r}' and level > 80 then 1e0 when run = '{r}' then 0e0 end), 9) as \"mod_rate_{r}\", count(*) filter (run = '{r}') as \"coverage_{r}\"" for c in RUNS for r in RUNS[c]) + " from v_signal group by position", "v_signal"))
+def result_columns_pivot(spark, sf_dir):
+    rows = _view(spark, sf_dir, "v_signal")
+    high = F.when(F.col("level") > 80, 1.0).otherwise(0.0)
+    aggregates = [x for c in RUNS for r in RUNS[c] for x in (F.round(F.avg(F.when(F.col("run") == r, high)), 9).alias(f"mod_rate_{r}"), F.count_if(F.col("run") == r).alias(f"coverage_{r}"))]
+    return rows.groupBy("position").agg(*aggregates)
+
+
+_DIRECTIONS = "select cast(position as varchar) as id, position, right(kmer, 2) as kmer, condition, case when avg(level) > 79.7 then 'higher' else 'lower' end as mod_assignment from v_signal group by position, kmer, condition"
+
+
+@query("majority_direction", _sql(f"/*with*/ d as ({_DIRECTIONS}), c as (select kmer, case when count(*) filter (mod_assignment = 'higher') > count(*) filter (mod_assignment = 'lower') then 'higher' else 'lower' end as chosen from d group by kmer) select d.* from d join c on d.kmer = c.kmer where mod_assignment = chosen", "v_signal"))
+def majority_direction(spark, sf_dir):
+    rows = _view(spark, sf_dir, "v_signal").groupBy("position", "kmer", "condition").agg(F.when(F.avg("level") > 79.7, "higher").otherwise("lower").alias("mod_assignment"))
+    return post.filter_majority(rows.select(F.col("position").cast("string").alias("id"), "position", F.right("kmer", F.lit(2)).alias("kmer"), "condition", "mod_assignment"))
+
+
+@query("resume_anti", _sql("select idx, position, run, count(*) as n from v_signal where idx not in (select idx from v_signal where position % 10 < 4) group by all", "v_signal"))
+def resume_anti(spark, sf_dir):
+    rows = _view(spark, sf_dir, "v_signal")
+    return prep.skip_done(rows, rows.filter("position % 10 < 4")).groupBy("idx", "position", "run").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rank_sites", _sql(f"/*with*/ {_RATES}, z as (select x.position, x.condition as a, y.condition as b, {_Z} as z from rates x join rates y on x.position = y.position and x.condition < y.condition) select position, a || b as id, '-' as kmer, round({norm_two_sided_sql('z')}, 9) as pval from z order by pval nulls last, id, position limit 20", "v_signal"))
+def rank_sites(spark, sf_dir):
+    rows = ztest_pairwise(spark, sf_dir).select("position", F.concat("a", "b").alias("id"), F.lit("-").alias("kmer"), F.col("p").alias("pval"))
+    return post.rank_sites(rows, "pval", 20)
+
+
+@query("mixture_fit")
+def mixture_fit(spark, sf_dir):
+    rows = _combined(spark, sf_dir)
+    fits = diffmod.fit(rows, _reference(rows), RUNS)
+    return fits.select("idx", "position", "kmer", *[F.round(F.col(c)[i], 6).alias(f"{c}{i}") for c in ("mu", "sigma2") for i in (0, 1)], "iterations", "converged")
+
+
+@query("diff_table")
 def diff_table(spark, sf_dir):
-    raise NotImplementedError
+    rows = _combined(spark, sf_dir)
+    return diffmod.differential_table(rows, _reference(rows), RUNS)
+
+
+@query("majority_table")
+def majority_table(spark, sf_dir):
+    return post.filter_majority(diff_table(spark, sf_dir))

@@ -1 +1 @@
-"""Subpackage."""
+"""Readers and writers of the file formats."""
