@@ -24,7 +24,7 @@ def ttest_moments(rows: DataFrame, keys: Sequence[str], conditions: Sequence[str
 
 
 def ttest(rows: DataFrame, keys: Sequence[str], conditions: Sequence[str], value: str = "norm_mean") -> DataFrame:
-    """The moments with the two-sided p-value (NaN where t is undefined)."""
+    """The moments with the two-sided p-value (null where t is undefined)."""
     moments = ttest_moments(rows, keys, conditions, value)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,10 +40,10 @@ TESTS = {"t-test": ttest}
 
 
 def prefilter(rows: DataFrame, method: str, threshold: float, conditions: Sequence[str], keys: Sequence[str] = ("idx", "position", "kmer")) -> DataFrame:
-    """Sites (keys, p) that the test lets pass: p below the threshold, or undefined. An unknown method lets everything pass."""
+    """Sites (keys, p) that the test lets pass: p below the threshold, or undefined (null). An unknown method lets everything pass."""
     if method not in TESTS:
         return rows.select(*keys).distinct().withColumn("p", F.lit(float("nan")))
-    return TESTS[method](rows, keys, conditions).select(*keys, "p").filter(F.isnan("p") | (F.col("p") < threshold))
+    return TESTS[method](rows, keys, conditions).select(*keys, "p").filter(F.col("p").isNull() | F.isnan("p") | (F.col("p") < threshold))
 
 
 def ztest(p1: Column, p2: Column, n1: Column, n2: Column) -> Column:
