@@ -91,13 +91,13 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for part, sets in _texts(batches):
         yield pa.RecordBatch.from_arrays(
             [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), _lists([s[:K] for s in sets])],
-            names=["doc_id", "n_shingles", "node", "sketch"],
+            names=["doc_id", "n_shingles", "digest", "sketch"],
         )
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, sets in _texts(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), _lists(sets)], names=["node", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), _lists(sets)], names=["digest", "hashes"])
 
 
 def _required(n: str) -> str:
@@ -133,10 +133,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _prefix_lists(sets: DataFrame) -> DataFrame:
     """(value, node, n, at): the shared values among the rarest n - ceil(0.85 n) + 1 of each set, with their places there."""
-    values = sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
+    values = sets.select("node", F.explode("hashes").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # Values of one set alone come first in the order of rarity; the places of the others follow theirs.
-    ranked = values.join(shared, "value").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
+    common = values.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
+    ranked = common.join(sets.select("node", F.size("hashes").alias("n")), "node")
     length = f"size(common) - ({PERCENT} * n + 99) div 100 + 1"
     prefix = ranked.filter(f"{length} > 0").select("node", "n", F.expr("n - size(common)").alias("alone"), F.posexplode(F.expr(f"slice(common, 1, cast({length} as int))")).alias("i", "v"))
     return prefix.select(F.col("v.value").alias("value"), "node", "n", (F.col("alone") + F.col("i")).alias("at"))
@@ -151,17 +152,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept) for each row."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    sketched = cut(narrow.mapInArrow(_sketch_batches, f"doc_id {kind}, n_shingles long, node binary, sketch array<long>"))
-    nodes = cut(sketched.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-
-    retained = nodes.select("node", "n", F.explode("sketch").alias("value"))
-    shared = retained.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    able = retained.join(shared, "value").groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("common")).filter(f"common >= {_required('n')}").select("node")
-    wanted = cut(nodes.join(able, "node", "left_semi"))
+    sketched = cut(narrow.mapInArrow(_sketch_batches, f"doc_id {kind}, n_shingles long, digest binary, sketch array<long>"))
+    # Sets are told apart by 128 bits; from here on a node is a number, fixed once written.
+    grouped = sketched.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
+
+    retained = nodes.select("node", F.explode("sketch").alias("value"))
+    shared = retained.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("value")
+    able = retained.join(shared, "value").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    wanted = cut(nodes.join(able, "node").filter(f"common >= {_required('n')}").drop("common"))
     sets = cut(
         narrow.join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-        .mapInArrow(_set_batches, "node binary, hashes array<long>")
-        .join(wanted.select("node"), "node", "left_semi")
+        .mapInArrow(_set_batches, "digest binary, hashes array<long>")
+        .join(wanted.select("digest", "node"), "digest")
+        .select("node", "hashes")
         .dropDuplicates(["node"])
     )
 
@@ -186,9 +190,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more_links = _verified(_likely(open_pairs, wanted), sets)
     roots = connected_components(first_links.union(more_links))
 
-    classes = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    classes = nodes.select("node", "digest", "rep").join(roots, "node", "left").select("digest", "rep", F.coalesce("root", "node").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = classes.join(smallest, "root").select("node", "component_id")
-    found = sketched.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    labels = classes.join(smallest, "root").select("digest", "component_id")
+    found = sketched.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
