@@ -46,6 +46,20 @@ def gate_sites(rows: DataFrame, least: int = 15, most: int = 1000, pooling: bool
     return rows.join(runs.join(sites, list(SITE), "left_semi").select(*SITE, "condition", "run"), [*SITE, "condition", "run"], "left_semi")
 
 
+def qualified_runs(rows: DataFrame, least: int = 15, most: int = 1000, pooling: bool = False, ids: Sequence[str] | None = None) -> DataFrame:
+    """(idx, position, kmer, condition, run) that the model uses: select_ids, shared_sites and gate_sites in one pass.
+
+    Observations are counted by site and run once; all conditions are windows over that narrow table, dealt by id.
+    """
+    counts = rows.groupBy(*SITE, "condition", "run").agg(F.count(F.lit(1)).alias("n"))
+    whole, site = Window.partitionBy("idx"), Window.partitionBy(*SITE)
+    seen = counts.filter(F.col("idx").isin(list(ids))) if ids is not None else counts.withColumn("_conditions", F.size(F.collect_set("condition").over(whole))).filter("_conditions >= 2")
+    seen = seen.withColumn("_all", F.size(F.collect_set("run").over(whole))).withColumn("_runs", F.count(F.lit(1)).over(site)).filter("_runs = _all")
+    n = F.sum("n").over(Window.partitionBy(*SITE, "condition")) if pooling else F.col("n")
+    gated = seen.withColumn("_ok", n.between(least, most)).withColumn("_good", F.size(F.collect_set(F.when(F.col("_ok"), F.col("condition"))).over(site)))
+    return gated.filter("_good >= 2" if pooling else "_good >= 2 and _ok").select(*SITE, "condition", "run")
+
+
 def with_reference(rows: DataFrame, kmer_ref: DataFrame) -> DataFrame:
     """Rows with ref_mean and ref_std of their 5-mer; rows of unknown 5-mers are left out (see unknown_kmers)."""
     # 5-mers bound the table at 4**5 + 1 rows.

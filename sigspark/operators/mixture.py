@@ -170,7 +170,8 @@ def fit_sites(packed: DataFrame, settings: Settings = Settings(), key: tuple[str
             beta=list(got["beta"]),
             concentration=[c.tolist() for c in conc],
             weights=[(c / c.sum(axis=1, keepdims=True)).tolist() for c in conc],
-            coverage=[n.sum(axis=1).tolist() for n in got["counts"]],
+            # The soft counts of a group sum to its number of reads; the number itself has no rounding noise.
+            coverage=[np.bincount(c, minlength=len(g)).astype(float).tolist() for c, g in zip(pdf["code"], pdf["groups"], strict=True)],
             elbo=got["elbo"],
             iterations=got["iterations"].astype("int32"),
             converged=got["converged"],

@@ -83,6 +83,20 @@ def unambiguous_positions(sites: DataFrame, keys: Sequence[str] = ("idx",), on_a
     return shown.join(first, list(keys), "left").filter("_first_bad is null or position < _first_bad").drop("_first_bad")
 
 
+def complete_ids(sites: DataFrame, keys: Sequence[str] = ("idx",)) -> DataFrame:
+    """keys and complete: whether no position of the id is ambiguous."""
+    at = sites.groupBy(*keys, "position").agg(
+        (F.count_distinct(F.when(F.col("kmer") != MASK, F.col("kmer"))) > 1).alias("several"),
+        F.coalesce(F.max((F.col("kmer") != MASK) & F.col("kmer").contains("N")), F.lit(False)).alias("unknown"),
+    )
+    return at.groupBy(*keys).agg((~F.max(F.col("several") | F.col("unknown"))).alias("complete"))
+
+
+def event_index(events: DataFrame) -> DataFrame:
+    """A row per read of a contig: its first position and its number of events."""
+    return events.na.drop(subset=["contig", "read_index"]).groupBy("contig", "read_index").agg(F.min("position").alias("first_position"), F.count(F.lit(1)).alias("n_events"))
+
+
 def collect_sites(rows: DataFrame, keys: Sequence[str] = ("idx", "position", "kmer")) -> DataFrame:
     """The sorted values of each site."""
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_list("norm_mean")).alias("y"))

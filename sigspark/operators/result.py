@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.operators.stats import confidence, separated, settled, two_sided, ztest
+from sigspark.functions.special import norm_two_sided_sql
+from sigspark.operators.stats import confidence, separated, settled, ztest
 
 KEY = ("idx", "position", "kmer")
 CLUSTER = ["mu_unmod", "mu_mod", "sigma2_unmod", "sigma2_mod", "conf_mu_unmod", "conf_mu_mod", "mod_assignment"]
@@ -43,30 +44,35 @@ def label_clusters(fits: DataFrame) -> DataFrame:
     return settled(out, fits.columns, [*CLUSTER, "mod_index"])
 
 
-def _mean(field: str, names: Sequence[str], inside: bool = True) -> Column:
-    """Mean of a field over the site's groups among (or not among) the names; null if there are none."""
-    held = F.filter("members", lambda g: g["name"].isin(list(names)) if inside else ~g["name"].isin(list(names)))
-    total = F.aggregate(F.transform(held, lambda g: g[field]), F.lit(0.0), lambda a, x: a + x)
-    return F.try_divide(total, F.size(held))
+def _mean(members: Column, names: Column, field: str) -> Column:
+    """Mean of a field over the site's groups among the names; null if there are none."""
+    held = F.transform(F.filter(members, lambda g: F.array_contains(names, g["name"])), lambda g: g[field])
+    return F.try_divide(F.aggregate(held, F.lit(0.0), lambda a, x: a + x), F.size(held))
 
 
 def statistics(labelled: DataFrame, runs: dict[str, Sequence[str]], pooling: bool = False) -> DataFrame:
     """Adds the pairwise and one-versus-rest statistics and each group's rate and coverage."""
     conditions = sorted(runs)
     group = {c: [c] if pooling else list(runs[c]) for c in conditions}
-    zipped = F.arrays_zip(F.col("groups").alias("name"), F.col("weights").alias("w"), F.col("coverage").alias("n"))
-    rows = labelled.withColumn("members", F.transform(zipped, lambda g: F.struct(g["name"].alias("name"), F.get(g["w"], F.col("mod_index")).alias("rate"), g["n"].alias("n"))))
-    sides = [(f"{a}_vs_{b}", (group[a], True), (group[b], True)) for a, b in combinations(conditions, 2)]
+    names = [n for c in runs for n in group[c]]
+    sides = [(f"{a}_vs_{b}", group[a], group[b]) for a, b in combinations(conditions, 2)]
     if len(conditions) > 2:
-        sides += [(f"{c}_vs_all", (group[c], True), (group[c], False)) for c in conditions]
-    for name, (g1, in1), (g2, in2) in sides:
-        p1, p2, n1, n2 = _mean("rate", g1, in1), _mean("rate", g2, in2), _mean("n", g1, in1), _mean("n", g2, in2)
-        rows = rows.withColumn(f"diff_mod_rate_{name}", p1 - p2).withColumn(f"z_score_{name}", ztest(p1, p2, n1, n2))
-    for name, *_ in sides:
-        rows = rows.withColumn(f"pval_{name}", two_sided(f"`z_score_{name}`"))
-    for name in [n for c in runs for n in group[c]]:
-        rows = rows.withColumn(f"mod_rate_{name}", _mean("rate", [name])).withColumn(f"coverage_{name}", _mean("n", [name]))
-    return rows
+        sides += [(f"{c}_vs_all", group[c], [n for n in names if n not in group[c]]) for c in conditions]
+    zipped = F.arrays_zip(F.col("groups").alias("name"), F.col("weights").alias("w"), F.col("coverage").alias("n"))
+    members = F.transform(zipped, lambda g: F.struct(g["name"].alias("name"), F.get(g["w"], F.col("mod_index")).alias("rate"), g["n"].alias("n")))
+    pairs = F.array(*[F.struct(F.array(*map(F.lit, one)).alias("one"), F.array(*map(F.lit, two)).alias("two")) for _, one, two in sides])
+    means = lambda s: F.struct(*[_mean(F.col("_members"), s[side], field).alias(f"{field}{i}") for i, side in ((1, "one"), (2, "two")) for field in ("rate", "n")])
+    compared = lambda m: F.struct((m["rate1"] - m["rate2"]).alias("diff"), ztest(m["rate1"], m["rate2"], m["n1"], m["n2"]).alias("z"))
+    # One expression serves all pairs, each step of it a projection of its own.
+    rows = labelled.withColumn("_members", members).withColumn("_means", F.transform(pairs, means))
+    rows = rows.withColumn("_stats", F.transform("_means", compared)).withColumn("_p", F.expr(f"transform(_stats, q -> transform(array(q.z), v -> {norm_two_sided_sql('v')})[0])"))
+    rows = rows.withColumn("_own", F.transform(F.array(*map(F.lit, names)), lambda n: F.get(F.filter("_members", lambda g: g["name"] == n), F.lit(0))))
+    computed = {}
+    for i, (name, *_) in enumerate(sides):
+        computed |= {f"diff_mod_rate_{name}": F.col("_stats")[i]["diff"], f"z_score_{name}": F.col("_stats")[i]["z"], f"pval_{name}": F.col("_p")[i]}
+    for i, name in enumerate(names):
+        computed |= {f"mod_rate_{name}": F.col("_own")[i]["rate"], f"coverage_{name}": F.col("_own")[i]["n"]}
+    return rows.withColumns(computed).drop("_members", "_means", "_stats", "_p", "_own")
 
 
 def result_table(fits: DataFrame, runs: dict[str, Sequence[str]], pooling: bool = False, prefilter: str | None = None) -> DataFrame:

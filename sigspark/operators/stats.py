@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.functions.special import erfc_sql, norm_cdf_sql, norm_two_sided_sql, student_two_sided
+from sigspark.functions.special import erfc_sql, norm_two_sided_sql, student_two_sided
 
 
 def ttest_moments(rows: DataFrame, keys: Sequence[str], conditions: Sequence[str], value: str = "norm_mean") -> DataFrame:
@@ -54,7 +54,8 @@ def ztest(p1: Column, p2: Column, n1: Column, n2: Column) -> Column:
 
 def two_sided(z: str) -> Column:
     """p-value of the z in a column."""
-    return F.expr(norm_two_sided_sql(z))
+    # As a lambda's variable the argument is computed once and the long expression stays one small tree.
+    return F.expr(f"transform(array({z}), v -> {norm_two_sided_sql('v')})[0]")
 
 
 def settled(rows: DataFrame, held: Sequence[str], computed: Sequence[str]) -> DataFrame:
@@ -80,9 +81,10 @@ def with_overlap(df: DataFrame, mu: tuple[str, str] = ("mu0", "mu1"), var: tuple
     named = named.withColumn("_defined", F.expr("_vx <> _vy and _mx <> _my and _vx > 0"))
     for end in ("low", "high"):
         named = named.withColumn(f"_{end}", F.expr(f"case when _defined then {cross[end]} end"))
-    for end in ("low", "high"):
-        for who in "xy":
-            named = named.withColumn(f"_f{who}_{end}", F.expr(norm_cdf_sql(f"_{end}", f"_m{who}", f"sqrt(_v{who})")))
+    ends = [(who, end) for end in ("low", "high") for who in "xy"]
+    scaled = ", ".join(f"(_m{who} - _{end}) / (sqrt(_v{who}) * {2**0.5!r}e0)" for who, end in ends)
+    named = named.withColumn("_cdf", F.expr(f"transform(array({scaled}), v -> 0.5e0 * {erfc_sql('v')})"))
+    named = named.withColumns({f"_f{who}_{end}": F.col("_cdf")[i] for i, (who, end) in enumerate(ends)})
     tails = " or ".join(f"(_fx_{e} < 0.1 and _fy_{e} < 0.1) or (_fx_{e} > 0.9 and _fy_{e} > 0.9)" for e in ("low", "high"))
     out = named.withColumn("overlap", F.expr("coalesce(1e0 - abs(_fy_low - _fx_low) - abs(_fy_high - _fx_high), double('NaN'))")).withColumn("tails", F.expr(f"coalesce({tails}, false)"))
     return settled(out, df.columns, ["overlap", "tails"])
@@ -95,7 +97,7 @@ def separated(df: DataFrame, most: float = 0.5) -> DataFrame:
 
 def confidence(mu: str, ref_mean: str, ref_std: str) -> Column:
     """How well a cluster's mean agrees with the reference signal: the two-sided normal p-value of their distance."""
-    return F.expr(erfc_sql(f"(abs({mu} - {ref_mean}) / ({ref_std} * {2**0.5!r}e0))"))
+    return F.expr(f"transform(array(abs({mu} - {ref_mean}) / ({ref_std} * {2**0.5!r}e0)), v -> {erfc_sql('v')})[0]")
 
 
 def percentiles(rows: DataFrame, keys: Sequence[str], value: str = "norm_mean") -> DataFrame:

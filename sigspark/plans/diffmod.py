@@ -16,11 +16,9 @@ def fit(rows: DataFrame, kmer_ref: DataFrame, runs: dict[str, Sequence[str]], cr
 
     Filters go before the packed model rows, so that sites that can't qualify never reach Python.
     """
-    chosen = align.select_ids(rows, ids)
-    if done is not None:
-        chosen = skip_done(chosen, done)
-    held = chosen.join(align.shared_sites(chosen), list(align.SITE), "left_semi")
-    held = align.gate_sites(held, criteria.readcount_min, criteria.readcount_max, method.pooling)
+    chosen = skip_done(rows, done) if done is not None else rows
+    runs_used = align.qualified_runs(chosen, criteria.readcount_min, criteria.readcount_max, method.pooling, ids)
+    held = chosen.join(runs_used, [*align.SITE, "condition", "run"], "left_semi")
     held = align.with_reference(held, kmer_ref)
     passed = None
     if method.prefilter:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions.special import erfc_sql, norm_cdf_sql, norm_two_sided_sql
 from sigspark.operators import align, mixture, post, prep, result, stats
-from sigspark.plans import diffmod
+from sigspark.plans import dataprep, diffmod, model_sql
 
 RUNS = {c: [f"{c}-{s}" for s in "FO"] for c in "ANR"}
 
@@ -202,7 +202,7 @@ def ttest_statistic(spark, sf_dir):
     return stats.ttest_moments(_view(spark, sf_dir, "v_pair"), ["site"], ["click", "view"]).select("site", "n1", "n2", "df", F.round("t", 6).alias("t"))
 
 
-@query("ttest_prefilter")
+@query("ttest_prefilter", _sql(f"/*with*/ {_MOMENTS}, t as (select site, n1 + n2 - 2 as df, (mean1 - mean2) / sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2) * (1e0 / n1 + 1e0 / n2)) as t from m), p as (select site, {model_sql.student_p('t', 'df')} as p from t) select site, round(p, 9) as p from p where p < 0.5", "v_pair"))
 def ttest_prefilter(spark, sf_dir):
     return stats.prefilter(_view(spark, sf_dir, "v_pair"), "t-test", 0.5, ["click", "view"], ["site"]).select("site", F.round("p", 9).alias("p"))
 
@@ -307,19 +307,62 @@ def rank_sites(spark, sf_dir):
     return post.rank_sites(rows, "pval", 20)
 
 
-@query("mixture_fit")
+_PACKED = f"{_COMBINED}, {_REF}, runs as (select idx, position, kmer, run, count(*) as n from combined group by all having count(*) between 15 and 1000), held as (select c.* from combined c join runs r on c.idx = r.idx and c.position = r.position and c.kmer = r.kmer and c.run = r.run), named as (select idx, position, kmer, list_sort(list(distinct run)) as names, list(struct_pack(r := run, y := norm_mean) order by run, norm_mean) as obs from held group by all), packed as (select named.* exclude (obs), ref_mean as m, ref_std as s, list_transform(obs, lambda o: o.y) as y, list_transform(obs, lambda o: list_position(names, o.r)) as g from named join ref on named.kmer = ref.kmer)"
+
+
+def _recursive(body: str) -> str:
+    return _sql(f"/*with*/ {_PACKED}, {model_sql.fitted('packed')} {body}", "v_signal").replace("with ", "with recursive ", 1)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """A result table with as many digits as two summation orders agree on."""
+    digits = lambda c: 9 if c.startswith("pval") else 4 if c.startswith("z_score") else 6
+    return df.select(*[F.round(f"`{c}`", digits(c)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+@query("mixture_fit", _recursive("select idx, position, kmer, round(loc0, 6) as mu0, round(loc1, 6) as mu1, round(b0 / a0, 6) as sigma20, round(b1 / a1, 6) as sigma21, rounds as iterations, converged from fitted"))
 def mixture_fit(spark, sf_dir):
     rows = _combined(spark, sf_dir)
     fits = diffmod.fit(rows, _reference(rows), RUNS)
     return fits.select("idx", "position", "kmer", *[F.round(F.col(c)[i], 6).alias(f"{c}{i}") for c in ("mu", "sigma2") for i in (0, 1)], "iterations", "converged")
 
 
-@query("diff_table")
+_TABLE = model_sql.result_sql(RUNS)
+
+
+@query("diff_table", _recursive(f", {_TABLE}"))
 def diff_table(spark, sf_dir):
     rows = _combined(spark, sf_dir)
-    return diffmod.differential_table(rows, _reference(rows), RUNS)
+    return _rounded(diffmod.differential_table(rows, _reference(rows), RUNS))
+
+
+_LAST = _TABLE.rindex("select idx as id")
 
 
-@query("majority_table")
+@query("majority_table", _recursive(f", {_TABLE[:_LAST]}, d as ({_TABLE[_LAST:]}), c as (select kmer, case when count(*) filter (mod_assignment = 'higher') > count(*) filter (mod_assignment = 'lower') then 'higher' else 'lower' end as chosen from d group by kmer) select d.* from d join c on d.kmer = c.kmer where mod_assignment = chosen"))
 def majority_table(spark, sf_dir):
     return post.filter_majority(diff_table(spark, sf_dir))
+
+
+@query("event_index", _sql("select contig, read_index, min(position) as first_position, count(*) as n_events from v_events group by contig, read_index", "v_events"))
+def event_index(spark, sf_dir):
+    return prep.event_index(_view(spark, sf_dir, "v_events"))
+
+
+@query("prep_status", _sql(f"/*with*/ s as (select run || '-' || cast(position // 10 as varchar) as idx, position, {_INJECTED} as kmer from v_signal), shown as (select * from s where kmer <> 'XXXXX'), bad as (select distinct idx from (select idx, position from shown group by idx, position having count(distinct kmer) > 1 or bool_or(contains(kmer, 'N')))) select s.idx, max(bad.idx) is null as complete from s left join bad on s.idx = bad.idx group by s.idx", "v_signal"))
+def prep_status(spark, sf_dir):
+    rows = _view(spark, sf_dir, "v_signal").select(F.concat("run", F.lit("-"), F.expr("cast(position div 10 as string)")).alias("idx"), "position", F.expr(_INJECTED).alias("kmer"))
+    return prep.complete_ids(rows)
+
+
+@query(
+    "transcript_sites",
+    _sql(
+        "/*with*/ reads as (select distinct contig, read_index from v_events), capped as (select * from reads qualify row_number() over (partition by contig order by read_index) <= 501), c as (select v.contig as idx, v.read_index, position + 2 as position, round_even(sum(event_level_mean * length) / sum(length), 1) as x from v_events v join capped on v.contig = capped.contig and v.read_index = capped.read_index where reference_kmer = model_kmer group by all), usable as (select idx, read_index from c group by all having count(*) > 1) select c.idx, position, count(*) as n, cast(sum(cast(round_even(x * 10, 0) as bigint)) as bigint) as tenths, min(x) as low, max(x) as high from c join usable on c.idx = usable.idx and c.read_index = usable.read_index group by all",
+        "v_events",
+    ),
+)
+def transcript_sites(spark, sf_dir):
+    sites = dataprep.transcript_sites(_view(spark, sf_dir, "v_events"), 1, 500).sites
+    tenths = F.aggregate(F.transform("y", lambda v: F.rint(v * 10).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
+    return sites.select("idx", "position", F.size("y").cast("long").alias("n"), tenths.alias("tenths"), F.array_min("y").alias("low"), F.array_max("y").alias("high"))

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,19 @@ def test_gates_and_pooling(spark):
     assert align.gate_sites(df, 4, 8, pooling=True).count() == 0
 
 
+@pytest.mark.parametrize("pooling", [False, True])
+def test_qualified_runs_equal_their_steps(spark, pooling):
+    rng = random.Random(3)
+    rows = [(f"i{rng.randint(0, 5)}", c, f"{c}{rng.randint(0, 2)}", rng.randint(0, 3), "K", 1.0) for c in rng.choices("ABC", k=900)]
+    df = spark.createDataFrame(rows + [("lone", "A", "A0", 1, "K", 1.0)], SITE)
+    chosen = align.select_ids(df)
+    steps = align.gate_sites(chosen.join(align.shared_sites(chosen), list(align.SITE), "left_semi"), 4, 9 if not pooling else 14, pooling)
+    keys = [*align.SITE, "condition", "run"]
+    got = {tuple(r) for r in align.qualified_runs(df, 4, 9 if not pooling else 14, pooling).collect()}
+    assert got and got == {tuple(r) for r in steps.select(*keys).distinct().collect()}
+    assert align.qualified_runs(df, 0, 99, ids=["lone"]).count() == 0
+
+
 def test_ids_and_codes(spark):
     df = spark.createDataFrame([("i", "A", "a", 1, "K", 1.0), ("i", "B", "b", 1, "K", 1.0), ("j", "A", "a", 1, "K", 1.0)], SITE)
     assert [r.idx for r in align.ids_across_conditions(df).collect()] == ["i"]
