@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import language_id, media, mixing, near_dedup, packing, quality, sharding, token_counts, url_filters, warc
+from sigspark.llm import language_id, media, mixing, near_dedup, oracles, packing, quality, sharding, token_counts, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,4 +100,4 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_sharding": oracles.OP1, "op4_near_dedup": oracles.OP4, "op6_warc": oracles.OP6}
