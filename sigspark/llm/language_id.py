@@ -30,6 +30,8 @@ PER_LANGUAGE = 1000
 SAMPLE = 8000
 EPOCHS = 5
 RATE = 0.5
+#: Times PER_LANGUAGE rows of a language whose order is looked at, on average.
+MARGIN = 4
 #: Share of the set-aside documents whose confidence lies below the rejection bound, and the factor applied to it.
 REJECT_QUANTILE, REJECT_FACTOR = 0.002, 0.8
 
@@ -132,6 +134,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model of the given rows' texts and languages; None if none can be learned from."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null and id is not null")
     narrow = rows.select("id", F.col("lang").alias("l"), F.xxhash64("id").alias("h"))
+    # Hashes above a language's bound can't be among its smallest, so that few rows of a language meet in one task.
+    bounds = narrow.groupBy("l").agg(F.count(F.lit(1)).alias("n")).select(F.col("l").alias("bl"), F.expr(f"case when n <= {MARGIN * PER_LANGUAGE} then {2**63 - 1}L else cast({-(2.0**63)!r}D + {2.0**64!r}D * {MARGIN * PER_LANGUAGE} / n as bigint) end").alias("most"))
+    narrow = narrow.join(bounds, F.col("l") == F.col("bl")).filter("h <= most").select("id", "l", "h")
     ranked = narrow.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h", "id"))).filter(F.col("rank") <= PER_LANGUAGE)
     chosen = ranked.orderBy("h", "id").limit(SAMPLE).select(F.col("id").alias("i"), "l", "h").distinct()
     sample = rows.join(F.broadcast(chosen), (F.col("id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("lang", "text")
