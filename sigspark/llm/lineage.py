@@ -20,8 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there: lost executors don't make it be computed anew."""
     shared_folder(df.sparkSession)
-    written = df.checkpoint(eager=True)
-    # Shuffle files go when the driver collects what refers to them: now, rather than at some time, so that the disk in use follows the largest step.
+    # Shuffle files go when the driver collects what refers to them: before each step, so that the disk in use follows the largest step.
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return written
+    return df.checkpoint(eager=True)
