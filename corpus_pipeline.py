@@ -46,8 +46,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     rows, at, opened = _sealed(docs)
-    kept = near_dedup.near_duplicates(rows, at["doc_id"], at["text"]).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return opened(rows.join(kept, F.col(at["doc_id"]).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([at["doc_id"], at["text"]]))
+    # Rows are told apart by id and text, in an order in which null ids come last.
+    keyed = rows.withColumn("_key", F.struct(F.isnull(at["doc_id"]).alias("a"), F.col(at["doc_id"]).alias("b"), F.xxhash64(at["text"]).alias("c")))
+    kept = near_dedup.near_duplicates(keyed, "_key", at["text"]).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return opened(keyed.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
