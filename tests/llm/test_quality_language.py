@@ -56,7 +56,7 @@ def test_score_against_brute_force(odd, labels, spark):
         target.update(r.g if r.doc_id in trusted else ())
     n, m = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
     weight = {b: math.log((target[b] + 1) / m) - math.log((raw[b] + 1) / n) for b in range(quality.BUCKETS)}
-    score = {r.doc_id: sum(weight[b] for b in r.g) / len(r.g) if r.g else 0.0 for r in grams if r.doc_id is not None}
+    score = {r.doc_id: sum(weight[b] for b in r.g) / (len(r.g) + quality.NEUTRAL) for r in grams if r.doc_id is not None}
     own = [score[i] for i in half if i not in trusted]
     low, middle = np.percentile(own, 1), np.percentile(own, 50)
     for r in quality.judge(odd, labels).collect():
