@@ -2,7 +2,7 @@
 
 A text's subwords are the three-byte windows of its ASCII-lower-cased UTF-8 bytes, hashed into ``BUCKETS`` embeddings that are averaged; a
 linear softmax on the mean gives the language. Embeddings and softmax are trained by stochastic gradient descent in
-numpy on a bounded sample (``PER_LANGUAGE`` documents of each language and ``SAMPLE`` in all, those with the
+numpy on a bounded sample (``PER_LANGUAGE`` documents of each of the ``LANGUAGES`` most frequent languages and ``SAMPLE`` in all, those with the
 smallest hashes of their ids). A fifth of the sample is set aside: a temperature is fitted to it and the rejection
 bound is a low quantile of its confidence. Since the softmax is linear, the mean embedding's scores equal the mean of
 per-bucket scores, so that prediction reads one row of a BUCKETS x languages table for each byte.
@@ -27,9 +27,13 @@ from sigspark.llm.bytetext import blocks, lower_ascii, string_buffers
 BUCKETS = 1 << 14
 DIMENSION = 16
 PER_LANGUAGE = 1000
+#: Languages that are learned: the most frequent ones.
+LANGUAGES = 1000
 SAMPLE = 8000
 EPOCHS = 5
 RATE = 0.5
+#: Share of a training target that is spread over all languages, so that scores of parts of a text add up instead of saturating.
+SMOOTHING = 0.05
 #: Times PER_LANGUAGE rows of a language whose order is looked at, on average.
 MARGIN = 4
 #: Share of the set-aside documents whose confidence lies below the rejection bound, and the factor applied to it.
@@ -93,7 +97,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 5) -> Mode
             z = mean @ output + bias
             p = np.exp(z - z.max())
             p /= p.sum()
-            p[label[name]] -= 1
+            p -= SMOOTHING / len(languages)
+            p[label[name]] -= 1 - SMOOTHING
             rate = RATE * (1 - done / steps)
             back = output @ p
             output -= rate * np.outer(mean, p)
@@ -135,8 +140,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null and id is not null")
     narrow = rows.select("id", F.col("lang").alias("l"), F.xxhash64("id").alias("h"))
     # Hashes above a language's bound can't be among its smallest, so that few rows of a language meet in one task.
-    bounds = narrow.groupBy("l").agg(F.count(F.lit(1)).alias("n")).select(F.col("l").alias("bl"), F.expr(f"case when n <= {MARGIN * PER_LANGUAGE} then {2**63 - 1}L else cast({-(2.0**63)!r}D + {2.0**64!r}D * {MARGIN * PER_LANGUAGE} / n as bigint) end").alias("most"))
-    narrow = narrow.join(bounds, F.col("l") == F.col("bl")).filter("h <= most").select("id", "l", "h")
+    counts = narrow.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
+    bounds = counts.select(F.col("l").alias("bl"), F.expr(f"case when n <= {MARGIN * PER_LANGUAGE} then {2**63 - 1}L else cast({-(2.0**63)!r}D + {2.0**64!r}D * {MARGIN * PER_LANGUAGE} / n as bigint) end").alias("most"))
+    narrow = narrow.join(F.broadcast(bounds), F.col("l") == F.col("bl")).filter("h <= most").select("id", "l", "h")
     ranked = narrow.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h", "id"))).filter(F.col("rank") <= PER_LANGUAGE)
     chosen = ranked.orderBy("h", "id").limit(SAMPLE).select(F.col("id").alias("i"), "l", "h").distinct()
     sample = rows.join(F.broadcast(chosen), (F.col("id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("lang", "text")
