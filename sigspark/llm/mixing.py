@@ -24,7 +24,7 @@ from sigspark.llm.lineage import cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Words that the dynamic program closes.
-KNAPSACK = 1 << 14
+KNAPSACK = 1 << 12
 CELLS = 256
 #: No source is taken more often than this.
 MOST = 2
