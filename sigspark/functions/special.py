@@ -1,7 +1,7 @@
 """Special functions.
 
-``*_sql`` return arithmetic that Spark SQL and other SQL engines read alike; inside Spark they stay within
-whole-stage codegen. The numpy versions serve the batch solvers.
+``*_sql`` return arithmetic that Spark SQL and other SQL engines read alike; inside Spark they stay on the JVM (give
+them a lambda's variable: the argument occurs many times). The numpy versions serve the batch solvers.
 """
 
 from __future__ import annotations
@@ -20,17 +20,17 @@ _Q = (2.56852019228982242e00, 1.87295284992346725e00, 5.27905102951428412e-1, 6.
 _ROOT = 0.56418958354775628695
 
 
+def _number(c: float) -> str:
+    """A double literal in any dialect."""
+    return repr(c) if "e" in repr(c) else f"{c!r}e0"
+
+
 def _horner(lead: str, rest: tuple[float, ...], x: str) -> str:
-    """((lead * x + c0) * x + c1) * x ... + cn, where the first factor may be 1."""
+    """((lead * x + c0) * x + c1) * x ... + cn; without a lead the first factor is 1."""
     out = f"({lead} * {x})" if lead else f"({x})"
     for c in rest[:-1]:
-        out = f"(({out} + {c!r}e0) * {x})" if "e" not in repr(c) else f"(({out} + {c!r}) * {x})"
-    last = rest[-1]
-    return f"({out} + {last!r})" if "e" in repr(last) else f"({out} + {last!r}e0)"
-
-
-def _number(c: float) -> str:
-    return repr(c) if "e" in repr(c) else f"{c!r}e0"
+        out = f"(({out} + {_number(c)}) * {x})"
+    return f"({out} + {_number(rest[-1])})"
 
 
 def erf_small_sql(x: str) -> str:

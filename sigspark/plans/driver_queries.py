@@ -11,16 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.functions.special import erfc_sql, norm_cdf_sql, norm_two_sided_sql
-from sigspark.operators import align, mixture, post, prep, result, stats
+from sigspark.operators import align, post, prep, stats
 from sigspark.plans import dataprep, diffmod, model_sql
 
 RUNS = {c: [f"{c}-{s}" for s in "FO"] for c in "ANR"}
 
-# 5-mer of a position: its base-4 digits.
-_KMER = " || ".join(f"substring('ACGT', cast((p // {4**i}) % 4 as int) + 1, 1)" for i in reversed(range(5)))
-
-
 def _kmer_sql(p: str, spark: bool) -> str:
+    """The 5-mer of a position: its base-4 digits."""
     div = (lambda n: f"({p} div {n})") if spark else (lambda n: f"({p} // {n})")
     return " || ".join(f"substring('ACGT', cast({div(4**i)} % 4 as int) + 1, 1)" for i in reversed(range(5)))
 
