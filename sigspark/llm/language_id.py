@@ -130,9 +130,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, share = [], []
         for first, last in zip(at[:-1], at[1:], strict=True):
             found, n = np.unique(subwords(data[first:last]), return_counts=True)
-            index.append(found)
-            share.append(n / max(1, n.sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index, pa.list_(pa.int64())), pa.array(share, pa.list_(pa.float64()))], names=["lang", "index", "share"])
+            index.append(found.astype("<u2").tobytes())
+            share.append((n / max(1, n.sum())).astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index, pa.binary()), pa.array(share, pa.binary())], names=["lang", "index", "share"])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -146,8 +146,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ranked = narrow.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h", "id"))).filter(F.col("rank") <= PER_LANGUAGE)
     chosen = ranked.orderBy("h", "id").limit(SAMPLE).select(F.col("id").alias("i"), "l", "h").distinct()
     sample = rows.join(F.broadcast(chosen), (F.col("id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("lang", "text")
-    found = [(r[0], np.array(r[1], np.int64), np.array(r[2], np.float32)) for r in sample.mapInArrow(_features, "lang string, index array<long>, share array<double>").limit(SAMPLE).collect()]
-    found = [r for r in found if len(r[1])]
+    # As bytes, a document's features take six bytes a bucket on the driver.
+    found = [(r[0], np.frombuffer(r[1], "<u2"), np.frombuffer(r[2], "<f4")) for r in sample.mapInArrow(_features, "lang string, index binary, share binary").limit(SAMPLE).collect() if len(r[1])]
     found.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
     return train(found) if found else None
 
