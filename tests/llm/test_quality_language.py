@@ -83,6 +83,17 @@ def test_junk_is_rejected_and_prose_kept(spark):
     assert kept == {i for i, _ in prose}
 
 
+def test_labelled_junk_is_rejected_and_held_out_documents_kept(spark):
+    """Words with symbols, tables, doubled words: whatever is labelled poor in the given documents."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    own = {r[0]: r[1] for r in quality.trusted_ids(labels).collect()}
+    rows = [r for r in quality.judge(docs, labels).collect() if not r.base_failed]
+    poor = {r.doc_id for r in labels.filter("quality = 0").collect()}
+    assert sum(r.doc_id in poor for r in rows) > 20 and not [r.doc_id for r in rows if r.kept and r.doc_id in poor]
+    held_out = [r.kept for r in rows if own.get(r.doc_id) is False]
+    assert len(held_out) > 100 and sum(held_out) >= 0.98 * len(held_out)
+
+
 ALPHABETS = {"aa": "abcdefg", "bb": "efghijk", "cc": "ijklmab"}
 
 
