@@ -20,6 +20,8 @@ from sigspark.llm.queries import vocabulary
 
 #: No SQL expresses the stages' trained models; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
+#: The near-dedup stage links texts whose similarity is this many hundredths or more.
+NEAR_PERCENT = 80
 
 
 def _sealed(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
@@ -48,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows, at, opened = _sealed(docs)
     # Rows are told apart by id and text, in an order in which null ids come last.
     keyed = rows.withColumn("_key", F.struct(F.isnull(at["doc_id"]).alias("a"), F.col(at["doc_id"]).alias("b"), F.xxhash64(at["text"]).alias("c")))
-    kept = near_dedup.near_duplicates(keyed, "_key", at["text"]).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_dedup.near_duplicates(keyed, "_key", at["text"], NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return opened(keyed.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"]))
 
 

@@ -10,8 +10,8 @@ earliest, which joins groups of copies in a number of pairs linear in their size
 list that lie in different components, so that no candidate is left out.
 
 Prefixes lose no link. Nor do sketches of sets of up to K values, which hold them whole; for larger sets a link at
-similarity 0.85 is missed only if fewer than ``SHARED`` of K retained values are common, a
-binomial's tail below 1e-7, and far below for larger similarities.
+the threshold is missed only if fewer than ``_shared`` of K retained values are common, a
+binomial's tail below ``MISSED``, and far below for larger similarities.
 
 Defined results: a text that is null or has no words has an empty set and is linked with nothing; with fewer than five words the whole
 sequence is the one shingle; rows that repeat a text are in one component; rows that repeat an id are judged
@@ -21,6 +21,7 @@ table; other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +36,10 @@ from sigspark.llm.lineage import cut
 SHINGLE = 5
 #: Values retained of each set.
 K = 32
-#: Links have 100 * intersection >= PERCENT * union.
+#: Unless told otherwise, links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Retained values that a linked pair of sets larger than K shares at least: 0.85 * 32 less six standard deviations.
-SHARED = 15
+#: Chance that sketches of sets larger than K miss a link at the threshold, at most.
+MISSED = 1e-7
 
 _U = np.uint64
 
@@ -100,16 +101,24 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), _lists(sets)], names=["digest", "hashes"])
 
 
-def _required(n: str) -> str:
+def _shared(percent: int) -> int:
+    """Retained values that a linked pair of sets larger than K shares at least: 15 at 85 percent, 12 at 80."""
+    p, m, tail = percent / 100, 0, 0.0
+    while m < K and (tail := tail + math.comb(K, m) * p**m * (1 - p) ** (K - m)) < MISSED:
+        m += 1
+    return m
+
+
+def _required(n: str, percent: int) -> str:
     """Retained values that a set of n shares with any linked partner, at least (SQL)."""
-    return f"(case when {n} * 100 <= {K} * {PERCENT} then ({PERCENT} * {n} + 99) div 100 else {SHARED} end)"
+    return f"(case when {n} * 100 <= {K} * {percent} then ({percent} * {n} + 99) div 100 else {_shared(percent)} end)"
 
 
-def _similar_sizes(a: str, b: str) -> str:
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+def _similar_sizes(a: str, b: str, percent: int) -> str:
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose union sketch doesn't rule out the threshold."""
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -118,38 +127,38 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         pairs.join(a, "a")
         .join(b, "b")
         .withColumn("joint", F.expr(union))
-        .filter(F.expr(f"{_similar_sizes('na', 'nb')} and size(array_intersect(array_intersect(joint, sa), sb)) >= least({_required('na')}, {_required('nb')}, {SHARED})"))
+        .filter(F.expr(f"{_similar_sizes('na', 'nb', percent)} and size(array_intersect(array_intersect(joint, sa), sb)) >= least({_required('na', percent)}, {_required('nb', percent)}, {_shared(percent)})"))
         .select("a", "b")
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("common"))
-    return both.filter(f"100 * common >= {PERCENT} * (na + nb - common)").select("a", "b")
+    return both.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
-def _prefix_lists(sets: DataFrame) -> DataFrame:
-    """(value, node, n, at): the shared values among the rarest n - ceil(0.85 n) + 1 of each set, with their places there."""
+def _prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """(value, node, n, at): the shared values among the rarest n - ceil(percent n / 100) + 1 of each set, with their places there."""
     values = sets.select("node", F.explode("hashes").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # Values of one set alone come first in the order of rarity; the places of the others follow theirs.
     common = values.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
     ranked = common.join(sets.select("node", F.size("hashes").alias("n")), "node")
-    length = f"size(common) - ({PERCENT} * n + 99) div 100 + 1"
+    length = f"size(common) - ({percent} * n + 99) div 100 + 1"
     prefix = ranked.filter(f"{length} > 0").select("node", "n", F.expr("n - size(common)").alias("alone"), F.posexplode(F.expr(f"slice(common, 1, cast({length} as int))")).alias("i", "v"))
     return prefix.select(F.col("v.value").alias("value"), "node", "n", (F.col("alone") + F.col("i")).alias("at"))
 
 
-def _room(n: str, at: str, m: str, there: str) -> str:
+def _room(n: str, at: str, m: str, there: str, percent: int) -> str:
     """Whether sets of n and m values that share one at the places ``at`` and ``there`` can be linked (SQL)."""
-    return f"{_similar_sizes(n, m)} and least({n} - {at}, {m} - {there}) >= ({PERCENT} * ({n} + {m}) + {99 + PERCENT}) div {100 + PERCENT}"
+    return f"{_similar_sizes(n, m, percent)} and least({n} - {at}, {m} - {there}) >= ({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}"
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row; links have 100 * intersection >= percent * union."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     sketched = cut(narrow.mapInArrow(_sketch_batches, f"doc_id {kind}, n_shingles long, digest binary, sketch array<long>"))
@@ -160,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     retained = nodes.select("node", F.explode("sketch").alias("value"))
     shared = retained.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("value")
     able = retained.join(shared, "value").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
-    wanted = cut(nodes.join(able, "node").filter(f"common >= {_required('n')}").drop("common"))
+    wanted = cut(nodes.join(able, "node").filter(f"common >= {_required('n', percent)}").drop("common"))
     sets = cut(
         narrow.join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         .mapInArrow(_set_batches, "digest binary, hashes array<long>")
@@ -169,10 +178,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .dropDuplicates(["node"])
     )
 
-    lists = cut(_prefix_lists(sets))
+    lists = cut(_prefix_lists(sets, percent))
     centres = lists.groupBy("value").agg(F.min(F.struct("at", "node", "n")).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("value", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.at").alias("pa"))
-    stars = cut(lists.join(centres, "value").filter(f"node <> a and {_room('n', 'at', 'na', 'pa')}").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-    first_links = cut(_verified(_likely(stars, wanted), sets))
+    stars = cut(lists.join(centres, "value").filter(f"node <> a and {_room('n', 'at', 'na', 'pa', percent)}").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+    first_links = cut(_verified(_likely(stars, wanted, percent), sets, percent))
     joined = connected_components(first_links)
 
     # What the stars left open: pairs of a list's members in different components. One of them lies outside its centre's component.
@@ -182,12 +191,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = split.filter("root <> main").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.col("root").alias("rx"))
     open_pairs = (
         apart.join(split.select("value", "node", "n", "at", "root"), "value")
-        .filter(f"root <> rx and node <> x and {_room('n', 'at', 'nx', 'px')}")
+        .filter(f"root <> rx and node <> x and {_room('n', 'at', 'nx', 'px', percent)}")
         .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more_links = _verified(_likely(open_pairs, wanted), sets)
+    more_links = _verified(_likely(open_pairs, wanted, percent), sets, percent)
     roots = connected_components(first_links.union(more_links))
 
     classes = nodes.select("node", "digest", "rep").join(roots, "node", "left").select("digest", "rep", F.coalesce("root", "node").alias("root"))

@@ -49,8 +49,8 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of near-duplicate documents."""
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    """Components of documents linked at a similarity of 0.85."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,29 @@ def test_families_passages_and_chains(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == expected
 
 
+def test_percent_against_all_pairs(spark):
+    """Texts whose similarities lie around the threshold, short and long ones."""
+    rng = random.Random(9)
+    texts = []
+    for n, length in ((24, 24), (24, 40), (40, 110), (20, 400)):
+        base = words(rng, length).split()
+        for _ in range(n):
+            tail = rng.randint(0, length // 6)
+            texts.append(" ".join(base[: length - tail] + words(rng, tail).split()))
+    sets = [shingles(t) for t in texts]
+    for percent in (80, 90):
+        root = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                common = len(sets[a] & sets[b])
+                if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                    low, high = sorted((root[a], root[b]))
+                    root = [low if r == high else r for r in root]
+        got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), percent=percent).collect()
+        assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+    assert [near_dedup._shared(p) for p in (85, 80)] == [15, 12]
+
+
 def test_keys_tell_sets_apart():
     a, b = np.array([1, 2, 3], np.uint64), np.array([1, 2, 4], np.uint64)
     assert near_dedup._key(a) != near_dedup._key(b) and len(near_dedup._key(a)) == 16 and near_dedup._key(a[:0]) == b""

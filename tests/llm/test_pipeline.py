@@ -55,6 +55,17 @@ def test_decisions_take_effect(spark, odd, folder):
     assert got == +want
 
 
+def test_near_dedup_stage_links_from_four_fifths(spark, folder):
+    """Of 100 shingles, 10 or 12 are changed: similarities of 90 / 110 and 88 / 112, below 0.85 and on both sides of 0.8."""
+    base = [f"w{i}" for i in range(104)]
+    changed = {n: " ".join(base[: 104 - n] + [f"n{n}x{i}" for i in range(n)]) for n in (10, 12)}
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, changed[10])], "doc_id long, text string")
+    apart = spark.createDataFrame([(1, " ".join(base)), (2, changed[12])], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near-dedup"]
+    assert [r.doc_id for r in stage(spark, docs, folder).collect()] == [1]
+    assert sorted(r.doc_id for r in stage(spark, apart, folder).collect()) == [1, 2]
+
+
 def test_run_equals_its_stages(spark, sf_dir):
     pieces = corpus_pipeline.run(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
