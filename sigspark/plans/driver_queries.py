@@ -161,6 +161,31 @@ def site_intersection(spark, sf_dir):
     return align.shared_sites(_view(spark, sf_dir, "v_signal").filter(_THIN))
 
 
+# All reads, by a finer site: a part is missing from some of the runs that its id has.
+_PARTS = "parts as (select 'T' || cast(l_partkey % 10 as varchar(20)) as idx, l_partkey as position, {kmer} as kmer, l_returnflag || '-' || l_linestatus as run from lineitem)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = _PARTS.removeprefix("parts as (").removesuffix(")").format(kmer=_kmer_sql("l_partkey", True)).replace("from lineitem", "from {source}").replace("varchar(20)", "string")
+    return spark.sql(sql, source=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+_PARTS_SQL = _PARTS.format(kmer=_kmer_sql("l_partkey", False))
+
+
+@query(
+    "site_intersection_whole",
+    f"with {_PARTS_SQL}, r as (select distinct idx, position, kmer, run from parts), a as (select idx, count(distinct run) as n from r group by idx) select r.idx, position, kmer from r join a on r.idx = a.idx group by r.idx, position, kmer, n having count(*) = n",
+)
+def site_intersection_whole(spark, sf_dir):
+    return align.shared_sites(_parts(spark, sf_dir))
+
+
+@query("group_codes_whole", f"with {_PARTS_SQL}, r as (select distinct position, run from parts) select position, run, cast(row_number() over (partition by position order by run) - 1 as int) as code from r")
+def group_codes_whole(spark, sf_dir):
+    return align.group_codes(_parts(spark, sf_dir).select("position", "run").distinct(), ["position"], "run")
+
+
 @query("run_gate", _sql("/*with*/ r as (select idx, position, kmer, condition, run, count(*) as n from v_signal group by all having count(*) between 95 and 105), s as (select idx, position, kmer from r group by all having count(distinct condition) >= 2) select r.idx, r.position, r.kmer, r.run, n from r join s on r.position = s.position and r.idx = s.idx and r.kmer = s.kmer", "v_signal"))
 def run_gate(spark, sf_dir):
     kept = align.gate_sites(_view(spark, sf_dir, "v_signal"), 95, 105)

@@ -24,6 +24,13 @@ def test_query_equals_sql(spark, sf_dir, name):
         _same(got.toPandas(), db.sql(driver_queries.ORACLES[name]).df())
 
 
+def test_whole_queries_take_every_row_and_miss_some_sites(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    codes = driver_queries.QUERIES["group_codes_whole"](spark, sf_dir).select("position", "run").collect()
+    assert {tuple(r) for r in codes} == {tuple(r) for r in lines.selectExpr("l_partkey", "l_returnflag || '-' || l_linestatus").distinct().collect()}
+    assert 0 < driver_queries.QUERIES["site_intersection_whole"](spark, sf_dir).count() < lines.select("l_partkey").distinct().count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
