@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,11 @@ SLICE = 256
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space of so many characters is cut off before encoding: the pattern's way back would go through all of it.
+RUN = 4096
+
 _encoders: dict[str, tiktoken.Encoding] = {}
+_RUN = regex.compile(rf"\p{{White_Space}}{{{RUN},}}")
 
 
 def encoder(path: str) -> tiktoken.Encoding:
@@ -56,6 +61,30 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _encoders[path]
 
 
+def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text of any kind and length, special strings as their special ids.
+
+    Long white space is one pre-token, but for its last character if more text follows; it is encoded as that, past the pattern.
+    """
+    if len(text) < RUN or not _RUN.search(text):
+        return encoding.encode(text, allowed_special="all")
+    special = encoding.special_tokens_set
+    parts = regex.split("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")", text) if special else [text]
+    ids = []
+    for part in parts:
+        if part in special:
+            ids += encoding.encode(part, allowed_special="all")
+            continue
+        at = 0
+        for run in _RUN.finditer(part):
+            last = run.end() if run.end() == len(part) else run.end() - 1
+            ids += encoding.encode_ordinary(part[at : run.start()])
+            ids += encoding._encode_single_piece(part[run.start() : last])
+            at = last
+        ids += encoding.encode_ordinary(part[at:])
+    return ids
+
+
 def pack(lengths: list[int]) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Windows (size, [(tail, offset in the tail, length)]) of tails of 1 to WINDOW - 1 ids."""
     half = TIERS[-2]
@@ -93,13 +122,13 @@ def _pieces(path: str, end: int, wide: bool):
     kind = "<u4" if wide else "<u2"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encoding = encoder(path)
         for batch in batches:
             for first in range(0, batch.num_rows, SLICE):
                 part = batch.slice(first, SLICE)
                 rows = []
                 for row, text in enumerate(part.column(1).to_pylist()):
-                    ids = np.array([*(encode(text, allowed_special="all") if text else ()), end], "<u4")
+                    ids = np.array([*(encode(encoding, text) if text else ()), end], "<u4")
                     for start in range(0, len(ids), WINDOW):
                         piece = ids[start : start + WINDOW]
                         full = len(piece) == WINDOW
