@@ -3,14 +3,20 @@
 The pre-tokenizer is a deterministic transducer of twelve states over twelve classes of code points; each
 transition is annotated with where it closes a pre-token. Text is cut into chunks, each chunk's state map (exit state for
 each entry state) is found for all chunks at once, and a parallel prefix scan composes the maps into every
-chunk's entry state; a second pass then reads off the pre-tokens. The second transducer has pre-tokens as
-symbols: its one state loops on each with the number of tokens that it emits, compiled from the merges when a
-symbol is first met and held in a table of bounded size.
+chunk's entry state; a second pass then reads off the pre-tokens.
+
+The merges are compiled to a deterministic transducer over bytes, whose transitions are annotated with emitted tokens. It rests on two facts
+about merges whose ranks follow their making: the encoding of a prefix is that of a shorter prefix and one more token, and a sequence of
+tokens is an encoding if each neighbouring pair is one. A state holds, for each suffix of what was read that some token
+begins with, the last token before that suffix and how many tokens fewer there were; reading a byte finds the one token that may stand
+last now, and the transition emits the difference of the two prefixes' token counts (which may be negative; the sum over a pre-token is its
+count). All pre-tokens of a block, each of which begins in the start state, go through it side by side. States and transitions are
+compiled when first met; beyond ``TRANSITIONS`` the table is emptied before the next block, which costs time and changes nothing.
 
 The library's special strings inside a text are one token each, as it treats them by default.
 
 Defined results: a null text is empty and has no tokens; rows that repeat get equal counts; an empty table gives an
-empty table; other columns of the input are ignored.
+empty table; other columns of the input are ignored; a text of any length takes time in proportion to it.
 """
 
 from __future__ import annotations
@@ -24,11 +30,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.bytetext import blocks, span_hashes, string_buffers
+from sigspark.llm.bytetext import blocks, string_buffers
 
-#: Code points in a chunk, and pre-tokens that the second transducer holds at most.
+#: Code points in a chunk.
 CHUNK = 512
-SYMBOLS = 1 << 20
+#: Compiled transitions that a worker keeps from one block to the next, at most.
+TRANSITIONS = 1 << 20
+#: Pre-tokens up to this many bytes are read side by side, longer ones one by one.
+SIDE_BY_SIDE = 48
 
 # Classes of code points.
 END, SPACE, WHITE, NUMBER, OTHER, QUOTE, STMD, R, V, E, L, LETTER = range(12)
@@ -137,65 +146,215 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class Bpe:
-    """Merges of a byte-level vocabulary file."""
+class Merges:
+    """Merges of a byte-level vocabulary file: which tokens are encodings, and which pairs of them."""
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         vocab = spec["model"]["vocab"]
-        self.byte_ids = [vocab[x] for x in _byte_symbols()]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        symbols = _byte_symbols()
+        self.byte_ids = [vocab[x] for x in symbols]
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: dict[int, tuple[int, int, int]] = {}  # token: left part, right part, rank
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            left, right, token = vocab[a], vocab[b], vocab[a + b]
+            if token in self.made or any(self.made.get(x, (0, 0, -1))[2] < 0 and x not in self.byte_ids for x in (left, right)):
+                raise ValueError("every token must have one merge, which follows those of its parts")
+            self.ranks[left, right] = rank
+            self.made[token] = (left, right, rank)
         self.special = [x["content"].encode() for x in spec["added_tokens"]]
+        if max(vocab.values()) >= 1 << 18 or max(map(len, vocab)) > 500:
+            raise ValueError("a vocabulary of that size doesn't fit a state's places")
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in spec["added_tokens"]):
             raise ValueError("special tokens that take in their surroundings aren't supported")
-        self.known, self.emits = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def ids(self, word: bytes) -> list[int]:
-        """The tokens of one pre-token."""
-        parts, merges = [self.byte_ids[b] for b in word], self.merges
-        while len(parts) > 1:
-            best, at, new = 1 << 60, -1, 0
-            for i in range(len(parts) - 1):
-                found = merges.get((parts[i], parts[i + 1]))
-                if found is not None and found[0] < best:
-                    best, new = found
-                    at = i
-            if at < 0:
-                break
-            if len(parts) > 64:  # a long run: merge all its occurrences at once
-                a, b, out, i = parts[at], parts[at + 1], [], 0
-                while i < len(parts):
-                    if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                        out.append(new)
-                        i += 2
-                    else:
-                        out.append(parts[i])
-                        i += 1
-                parts = out
+        back, specials = {x: b for b, x in enumerate(symbols)}, {x["content"] for x in spec["added_tokens"]}
+        #: Nodes are beginnings of tokens, by (node << 8 | byte); node 0 is empty.
+        self.child: dict[int, int] = {}
+        self.token_at, self.leaf = [-1], [False]
+        for text, token in vocab.items():
+            if text in specials:
+                continue
+            node = 0
+            for x in text:
+                key = node << 8 | back[x]
+                self.leaf[node] = False
+                node = self.child.setdefault(key, len(self.token_at))
+                if node == len(self.token_at):
+                    self.token_at.append(-1)
+                    self.leaf.append(True)
+            self.token_at[node] = token
+        self._edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        self._forms: dict[int, bool] = {}
+        self._joins: dict[tuple[int, int], bool] = {}
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """What stands at a token's left (0) or right (1) edge while it is made, with the rank that ends each one."""
+        found = self._edges.get((token, side))
+        if found is None:
+            made = self.made.get(token)
+            found = [(token, float("inf"))]
+            if made:
+                below = self._edge(made[side], side)
+                found = [*below[:-1], (below[-1][0], made[2]), found[0]]
+            self._edges[token, side] = found
+        return found
+
+    def crossed(self, a: int, b: int) -> tuple[int, int] | None:
+        """The first two parts that merge over the border of tokens a and b."""
+        left, right = self._edge(a, 1), self._edge(b, 0)
+        i = j = 0
+        while True:
+            (x, x_ends), (y, y_ends) = left[i], right[j]
+            rank = self.ranks.get((x, y))
+            # Of equal ranks, the one further left is merged first.
+            if rank is not None and rank < x_ends and rank <= y_ends:
+                return x, y
+            if i + 1 == len(left) and j + 1 == len(right):
+                return None
+            if x_ends <= y_ends:
+                i += 1
             else:
-                parts[at : at + 2] = [new]
-        return parts
+                j += 1
+
+    def forms(self, token: int) -> bool:
+        """Whether a token's own bytes are encoded as this token."""
+        found = self._forms.get(token)
+        if found is None:
+            made = self.made.get(token)
+            found = made is None or (self.forms(made[0]) and self.forms(made[1]) and self.crossed(made[0], made[1]) == made[:2])
+            self._forms[token] = found
+        return found
+
+    def joins(self, a: int, b: int) -> bool:
+        """Whether tokens a and b are the encoding of their bytes."""
+        found = self._joins.get((a, b))
+        if found is None:
+            if len(self._joins) > TRANSITIONS:
+                self._joins.clear()
+            found = self._joins[a, b] = self.crossed(a, b) is None
+        return found
 
-    def emitted(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each pre-token; new symbols are compiled."""
-        symbols, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, symbols)
-        hit = at < len(self.known)
-        hit[hit] = self.known[at[hit]] == symbols[hit]
-        count = np.zeros(len(symbols), np.int64)
-        count[hit] = self.emits[at[hit]]
-        new = np.flatnonzero(~hit)
+
+class Bpe:
+    """The transducers of a byte-level vocabulary file."""
+
+    def __init__(self, path: str):
+        self.merges = Merges(path)
+        self.special = self.merges.special
+        self._empty(1 << 12)
+
+    def _empty(self, slots: int) -> None:
+        """No transitions, and the start state alone: nothing was read and no token stands last."""
+        # A state's places are (node << 28 | last token + 1 << 10 | tokens fewer + 512).
+        self.states: list[tuple[int, ...]] = [(512,)]
+        self.number = {self.states[0]: 0}
+        self.keys, self.values = np.full(slots, -1, np.int64), np.zeros(slots, np.int64)
+        self.held, self.single = 0, {}
+
+    def _compile(self, key: int) -> int:
+        """The transition of a state and byte (state << 8 | byte): next state << 16 | emitted + 2**15."""
+        merges, went, emitted, last_now = self.merges, [], None, -1
+        byte = key & 255
+        for place in self.states[key >> 8]:
+            child = merges.child.get(place >> 28 << 8 | byte)
+            if child is None:
+                continue
+            token, last = merges.token_at[child], (place >> 10 & 0x3FFFF) - 1
+            if emitted is None and token >= 0 and merges.forms(token) and (last < 0 or merges.joins(last, token)):
+                emitted, last_now = 513 - (place & 1023), token
+            if not merges.leaf[child]:
+                went.append(child << 28 | place & 0xFFFFFFF)
+        if emitted is None:
+            raise ValueError("no token can stand last: the merges' ranks don't follow their making")
+        state = (*(place + emitted for place in went), last_now + 1 << 10 | 512)
+        at = self.number.setdefault(state, len(self.states))
+        if at == len(self.states):
+            self.states.append(state)
+        return at << 16 | (emitted + (1 << 15))
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (len(self.keys).bit_length() - 1))).view(np.int64)
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add new transitions; the table is at most half full."""
+        if 2 * (self.held + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            size = 1 << (4 * len(keys) - 1).bit_length()
+            self.keys, self.values, self.held = np.full(size, -1, np.int64), np.zeros(size, np.int64), 0
+        self.held += len(keys)
+        mask, slots = len(self.keys) - 1, self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] < 0)
+            taken, first = np.unique(slots[free], return_index=True)
+            placed = free[first]
+            self.keys[taken], self.values[taken] = keys[placed], values[placed]
+            left = np.ones(len(keys), bool)
+            left[placed] = False
+            keys, values, slots = keys[left], values[left], (slots[left] + 1) & mask
+
+    def _look(self, keys: np.ndarray) -> np.ndarray:
+        """The transitions of the keys, -1 where there are none yet."""
+        mask, slots = len(self.keys) - 1, self._slots(keys)
+        there = self.keys[slots]
+        found = np.where(there == keys, self.values[slots], -1)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & mask
+            there = self.keys[slots[open_]]
+            hit = there == keys[open_]
+            found[open_[hit]] = self.values[slots[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return found
+
+    def _step(self, keys: np.ndarray) -> np.ndarray:
+        found = self._look(keys)
+        new = np.unique(keys[found < 0])
         if len(new):
-            whole = data.tobytes()
-            count[new] = [len(self.ids(whole[a:b])) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            if len(self.known) + len(new) > SYMBOLS:
-                self.known, self.emits = symbols, count
-            else:
-                self.known, self.emits = np.insert(self.known, at[new], symbols[new]), np.insert(self.emits, at[new], count[new])
-        return count[which]
+            self._put(new, np.array([self._compile(k) for k in new.tolist()], np.int64))
+            missing = np.flatnonzero(found < 0)
+            found[missing] = self._look(keys[missing])
+        return found
+
+    def _one(self, word: bytes) -> int:
+        """Tokens of one pre-token. No other one is under way, so that the table may be emptied in the midst of it."""
+        state, total, single = 0, 0, self.single
+        for byte in word:
+            key = state << 8 | byte
+            value = single.get(key)
+            if value is None:
+                if len(single) > TRANSITIONS // 4:
+                    at = self.states[state]
+                    self._empty(1 << 12)
+                    single, state = self.single, self.number.setdefault(at, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(at)
+                    key = state << 8 | byte
+                value = single[key] = self._compile(key)
+            state, total = value >> 16, total + (value & 0xFFFF) - (1 << 15)
+        return total
+
+    def emitted(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token."""
+        if max(self.held, len(self.states)) > TRANSITIONS:
+            self._empty(1 << 12)
+        length = ends - starts
+        total = np.zeros(len(starts), np.int64)
+        order = np.argsort(-length, kind="stable")
+        long = int(np.searchsorted(-length[order], -SIDE_BY_SIDE, "left"))
+        for i in order[:long].tolist():
+            total[i] = self._one(data[starts[i] : ends[i]].tobytes())
+        order = order[long:]
+        at, size = starts[order], length[order]
+        state, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        for k in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -k, "left"))
+            value = self._step(state[:n] << 8 | data[at[:n] + k])
+            state[:n] = value >> 16
+            count[:n] += (value & 0xFFFF) - (1 << 15)
+        total[order] = count
+        return total
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text at ``offsets`` (from 0 to len(data))."""

@@ -60,22 +60,50 @@ def test_chunks_compose(bpe):
     assert (token_counts.begins(classes) == mark).all()
 
 
-def test_table_of_symbols_is_bounded(library, monkeypatch):
+def test_table_of_transitions_is_bounded(library, monkeypatch):
     small = token_counts.Bpe(vocabulary())
     texts = [t or "" for _, t in odd_texts()]
     alone = []
     for t in texts:
-        small.known, small.emits = small.known[:0], small.emits[:0]
+        small._empty(1 << 12)
         counted(small, [t])
-        alone.append(len(small.known))
-    monkeypatch.setattr(token_counts, "SYMBOLS", 50)
-    small.known, small.emits = small.known[:0], small.emits[:0]
+        alone.append(small.held)
+    monkeypatch.setattr(token_counts, "TRANSITIONS", 50)
+    small._empty(1 << 12)
     for t in texts:
         counted(small, [t])
-        assert len(small.known) <= max(50, *alone)  # a block's own symbols at most
+        assert small.held <= max(50, *alone) + 50  # a block's own transitions at most
     assert counted(small, texts).tolist() == listed(library, texts)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(["ab", "aeiou", "theingran", "0123456789", "=-_*#!", "中文字符", "éèê", " \n\t", "etaoin shrdlu"]).flatmap(lambda x: st.lists(st.text(x, max_size=200), min_size=1, max_size=6)))
+def test_runs_of_few_characters(bpe, library, texts):
+    assert counted(bpe, texts).tolist() == listed(library, texts)
+
+
+def unbroken():
+    """Long texts that are one pre-token or nearly so, and words whose polynomial hashes are equal modulo a power of two."""
+    rng = np.random.default_rng(4)
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    et = str.maketrans("ab", "et")
+    return {
+        "letters": "".join(map(chr, rng.integers(97, 123, 10**6))), "cjk": "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 350_000))), "one letter": "a" * 10**6,
+        "spaces and a letter": " " * 2_000_000 + "x", "spaces": " " * 1_500_000, "lines and a letter": "\n" * 1_200_000 + "x", "mixed": "a" + " \n\t\u3000" * 20_000 + "'s b",
+        "special": "a " + " " * 5000 + "<|endoftext|>" + " " * 5000 + "<|endoftext|>" + "\n" * 5000 + " 7", "marks": "!" * 1_500_000 + "a", "thue": thue.translate(et), "other": other.translate(et),
+        "both": thue.translate(et) + "\n" + other.translate(et), "control": "\xa0" * 5000 + "é" + "\x85" * 4096 + "\x1f" * 5000 + " x",
+    }
+
+
+@pytest.mark.parametrize("name", list(unbroken()))
+def test_long_unbroken_texts(bpe, library, name):
+    text = unbroken()[name]
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert counted(bpe, [text]).tolist() == [len(ids)]
+    assert packing.encode(packing.encoder(vocabulary()), text) == ids
+
+
 def test_token_counts_of_odd_rows(odd, empty, library):
     rows = token_counts.token_counts(odd, vocabulary()).collect()
     texts = [t or "" for _, t in odd_texts()]
@@ -108,6 +136,26 @@ def test_windows_are_full_but_one(lengths):
     assert sum(sum(n for _, _, n in placed) < size for size, placed in windows) <= 1
 
 
+def test_tiers_and_gaps():
+    """Short tails fill the gaps of long windows first; what is left is packed in windows of its own tier, filled by cutting."""
+    windows = packing.pack([900, 700, 124, 324, 200, 100])
+    assert [size for size, _ in windows] == [1024, 1024, 256, 256]
+    assert sorted(n for _, _, n in windows[0][1]) == [124, 900] and sorted(n for _, _, n in windows[1][1]) == [324, 700]
+    assert sorted(n for _, _, n in windows[2][1]) == [56, 200] and [n for _, _, n in windows[3][1]] == [44]
+
+
+def test_step_groups_are_balanced(spark):
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, "word " * int(n)) for i, n in enumerate(rng.integers(1, 900, 600))], "doc_id long, text string")
+    rows = packing.pack_documents(docs, vocabulary()).collect()
+    cost, window = defaultdict(Counter), {}
+    for r in rows:
+        cost[r.step_group][r.sequence_id] += r.length**2
+        window[r.step_group] = r.window
+    whole = [sum(c.values()) for g, c in cost.items() if window[g] == 1024 and len(c) == packing.STEP]
+    assert len(whole) > 20 and max(whole) < 1.3 * min(whole)
+
+
 def test_packing_of_odd_rows(odd, empty, library):
     rows = packing.pack_documents(odd, vocabulary()).collect()
     ids = Counter()
