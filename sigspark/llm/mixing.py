@@ -1,10 +1,11 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact length. A source whose target is T words and that holds Z takes all
-its documents floor(T / Z) times; of the remaining budget each length takes its proportional share of its documents,
-single documents are added from the longest length down while they fit, and a bounded knapsack over the
-remaining length counts closes the last ``KNAPSACK`` words as exactly as the lengths allow. Which documents of a
-length are taken is drawn by a seeded hash: a (source, length) group is dealt into ``CELLS`` cells, whole cells
+its documents floor(T / Z) times; of the remaining budget each length takes its proportional share of its documents, and a
+bounded knapsack over the remaining length counts closes the rest. Many lengths close it to the word; where they
+don't, half of the proportional share and then all of it is given back to the program, so that for a budget of up to ``CELLS`` common
+steps of the lengths no choice of documents comes nearer from below. Larger budgets are closed in passes, each in steps as fine as ``CELLS`` sums allow. Which documents of a
+length are taken is drawn by a seeded hash: a (source, length) group is dealt into ``DEALT`` cells, whole cells
 are taken in turn, and only the one cell at the edge is sorted.
 
 Defined results: a null text or one without words has size 0 and is never taken; the null source comes last
@@ -14,8 +15,10 @@ source are interchangeable; an empty table gives an empty table; other columns a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,9 +26,14 @@ from pyspark.sql import functions as F
 from sigspark.llm.lineage import cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Words that the dynamic program closes.
-KNAPSACK = 1 << 12
-CELLS = 256
+#: Sums that one pass of the dynamic program tells apart: the bound of its memory (5 bytes each).
+CELLS = 1 << 22
+#: Words that single documents, from the longest down, leave to the first try of the program.
+RESERVE = 1 << 16
+#: Cells that the documents of a length are dealt into.
+DEALT = 256
+#: Sources up to which their plan is broadcast; a longer one is joined by source.
+PLAN = 100_000
 #: No source is taken more often than this.
 MOST = 2
 
@@ -52,26 +60,44 @@ def source_targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[fl
     return target
 
 
-def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many of each length to take so that their sum is as near below ``budget`` as can be."""
+def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> tuple[list[int], bool]:
+    """How many of each length to take so that their sum is near below ``budget``, and whether none is nearer.
+
+    Sums are counted in the lengths' common step. If that makes more than CELLS, a coarser step is taken and lengths are rounded up.
+    """
+    taken = [0] * len(lengths)
+    fits = [i for i, n in enumerate(lengths) if n <= budget and counts[i] > 0]
+    if not fits:
+        return taken, True
+    common = math.gcd(*(lengths[i] for i in fits))
+    step = max(common, -(-budget // CELLS))
+    room = budget // step
     items: list[tuple[int, int, int]] = []
-    for i, (length, count) in enumerate(zip(lengths, counts, strict=True)):
-        count, part = min(count, budget // length if length else 0), 1
+    for i in fits:
+        count, part = min(counts[i], budget // lengths[i]), 1
         while count > 0:
             part = min(part, count)
-            items.append((i, part, part * length))
+            items.append((-(-part * lengths[i] // step), i, part))
             count -= part
             part *= 2
-    keep, reach, seen = (1 << (budget + 1)) - 1, 1, []
-    for _, _, words in items:
-        seen.append(reach)
-        reach |= (reach << words) & keep
-    at, taken = reach.bit_length() - 1, [0] * len(lengths)
-    for (i, part, words), before in zip(reversed(items), reversed(seen), strict=True):
-        if not before >> at & 1:
-            taken[i] += part
-            at -= words
-    return taken
+    items.sort(reverse=True)
+    # Which item made a sum reachable; the sum without it was reachable by earlier items.
+    by, reach, top = np.zeros(room + 1, np.int32), np.zeros(room + 1, bool), 0
+    reach[0] = True
+    for k, (size, _, _) in enumerate(items):
+        if size > room:
+            continue
+        top = min(room, top + size)
+        new = np.flatnonzero(reach[: top + 1 - size] & ~reach[size : top + 1]) + size
+        reach[new], by[new] = True, k
+        if reach[room]:
+            break
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        size, i, part = items[by[at]]
+        taken[i] += part
+        at -= size
+    return taken, step == common
 
 
 def fit_lengths(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
@@ -79,23 +105,40 @@ def fit_lengths(lengths: Sequence[int], counts: Sequence[int], budget: int) -> l
     total = sum(a * b for a, b in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
-    taken = [budget * count // total for count in counts]
-    left = budget - sum(a * b for a, b in zip(lengths, taken, strict=True))
-    for i, length in enumerate(lengths):
-        if left <= KNAPSACK:
+    least = budget % math.gcd(*lengths)  # no choice leaves less
+    best, open_ = [0] * len(lengths), budget
+    for kept in (2, 1, 0):
+        taken = [kept * budget * count // (2 * total) for count in counts]
+        left = budget - sum(a * b for a, b in zip(lengths, taken, strict=True))
+        for i, length in enumerate(lengths) if kept == 2 else ():
+            if left <= RESERVE:
+                break
+            more = min(counts[i] - taken[i], (left - RESERVE) // length)
+            taken[i] += more
+            left -= more * length
+        done = False
+        while not done and left > least:
+            more, done = knapsack(lengths, [a - b for a, b in zip(counts, taken, strict=True)], left)
+            if not done and not any(more):  # all that is left is nearly as long as the budget
+                rest = left
+                for i, length in enumerate(lengths):
+                    more[i] = min(counts[i] - taken[i], rest // length)
+                    rest -= more[i] * length
+                done = True
+            taken = [a + b for a, b in zip(taken, more, strict=True)]
+            left -= sum(a * b for a, b in zip(lengths, more, strict=True))
+        if left < open_:
+            best, open_ = taken, left
+        if open_ <= least:
             break
-        more = min(counts[i] - taken[i], (left - KNAPSACK) // length + 1, left // length)
-        taken[i] += more
-        left -= more * length
-    rest = knapsack(lengths, [a - b for a, b in zip(counts, taken, strict=True)], left) if left <= 2 * KNAPSACK else [0] * len(lengths)
-    return [a + b for a, b in zip(taken, rest, strict=True)]
+    return best
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source, source_size, target, times): how often the mix takes each document (0, 1 or 2)."""
     rows = cut(
         docs.select(F.col(id_col).alias("doc_id"), n_words(text_col).alias("size"), F.col(source_col).alias("source")).withColumn(
-            "cell", F.pmod(F.xxhash64("doc_id", "size", "source", F.lit(seed)), F.lit(CELLS)).cast("int")
+            "cell", F.pmod(F.xxhash64("doc_id", "size", "source", F.lit(seed)), F.lit(DEALT)).cast("int")
         )
     )
     cells = rows.groupBy("source", "size", "cell").agg(F.count(F.lit(1)).alias("docs"))
@@ -105,6 +148,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     targets = source_targets(sizes, weights, share)
     plan_rows = [(s, z, float(targets[s]), min(MOST, int(targets[s] // z)) if z else 0) for s, z in sizes]
     plan = docs.sparkSession.createDataFrame(plan_rows, "plan_source string, source_size long, target double, whole long")
+    plan = F.broadcast(plan) if len(plan_rows) <= PLAN else plan
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["size"] > 0].sort_values("size", ascending=False)
@@ -116,7 +160,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         return pd.DataFrame({"fit_source": pdf["source"], "fit_size": pdf["size"], "take": taken})
 
     # One row per distinct length of a source comes here, never one per document.
-    planned = lengths.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source"))).select("source", "size", "docs", "source_size", "target", "whole")
+    planned = lengths.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select("source", "size", "docs", "source_size", "target", "whole")
     take = planned.groupBy("source").applyInPandas(fit, "fit_source string, fit_size long, take long").filter("take > 0")
     group = Window.partitionBy("source", "size").orderBy("cell")
     edges = (
@@ -133,6 +177,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     drawn = marked.filter(edge).withColumn("draw", F.xxhash64("doc_id", F.lit(seed + 1))).withColumn("extra", (F.row_number().over(order) <= F.col("want")).cast("int"))
     sure = marked.filter(~edge).withColumn("extra", (F.col("want") > 0).cast("int"))
     both = sure.select("doc_id", "size", "source", "extra").unionByName(drawn.select("doc_id", "size", "source", "extra"))
-    return both.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source"))).select(
+    return both.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select(
         "doc_id", "size", "source", "source_size", "target", F.when(F.col("size") > 0, F.least(F.lit(MOST), F.col("whole") + F.col("extra"))).otherwise(0).cast("int").alias("times")
     )

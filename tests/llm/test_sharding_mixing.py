@@ -55,7 +55,8 @@ def test_targets():
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), min_size=1, max_size=6), st.integers(0, 120))
 def test_knapsack_is_the_best_fit(counts, budget):
     lengths = sorted(counts, reverse=True)
-    taken = mixing.knapsack(lengths, [counts[x] for x in lengths], budget)
+    taken, best = mixing.knapsack(lengths, [counts[x] for x in lengths], budget)
+    assert best
     assert all(0 <= t <= counts[x] for t, x in zip(taken, lengths, strict=True))
     reach = {0}
     for x in lengths:
@@ -63,6 +64,32 @@ def test_knapsack_is_the_best_fit(counts, budget):
     assert sum(t * x for t, x in zip(taken, lengths, strict=True)) == max(r for r in reach if r <= budget)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(3000, 20_000), st.integers(1, 3), min_size=1, max_size=5), st.floats(0.02, 0.98))
+def test_fit_of_few_long_documents(counts, share):
+    lengths = sorted(counts, reverse=True)
+    budget = int(share * sum(x * n for x, n in counts.items()))
+    taken = mixing.fit_lengths(lengths, [counts[x] for x in lengths], budget)
+    assert all(0 <= t <= counts[x] for t, x in zip(taken, lengths, strict=True))
+    reach = {0}
+    for x in lengths:
+        reach = {r + x * k for r in reach for k in range(counts[x] + 1)}
+    assert sum(t * x for t, x in zip(taken, lengths, strict=True)) == max(r for r in reach if r <= budget)
+
+
+def test_fit_of_an_example_that_needs_the_whole_program():
+    assert sum(a * b for a, b in zip([11931, 10595, 10328, 9547], mixing.fit_lengths([11931, 10595, 10328, 9547], [2, 3, 3, 3], 21267), strict=True)) == 21190
+
+
+def test_fit_of_budgets_over_the_program_s_sums(monkeypatch):
+    monkeypatch.setattr(mixing, "CELLS", 1 << 10)
+    lengths = [9001, 7013, 5003, 3001, 997, 211]
+    for budget in (99_991, 800_117, 5_000_011):
+        taken = mixing.fit_lengths(lengths, [400] * 6, budget)
+        assert all(0 <= t <= 400 for t in taken)
+        assert 0 <= budget - sum(a * b for a, b in zip(lengths, taken, strict=True)) < 211
+
+
 def test_fit_of_many_lengths():
     lengths = list(range(3000, 0, -1))
     counts = [1 + x % 3 for x in lengths]
