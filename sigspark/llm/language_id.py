@@ -2,13 +2,15 @@
 
 A text's subwords are the three-byte windows of its ASCII-lower-cased UTF-8 bytes, hashed into ``BUCKETS`` embeddings that are averaged; a
 linear softmax on the mean gives the language. Embeddings and softmax are trained by stochastic gradient descent in
-numpy on a bounded sample (``PER_LANGUAGE`` documents of each of the ``LANGUAGES`` most frequent languages and ``SAMPLE`` in all, those with the
-smallest hashes of their ids). A fifth of the sample is set aside: a temperature is fitted to it and the rejection
-bound is a low quantile of its confidence. Since the softmax is linear, the mean embedding's scores equal the mean of
-per-bucket scores, so that prediction reads one row of a BUCKETS x languages table for each byte.
+numpy on a bounded sample of labelled rows: the documents of each language with the smallest hashes of id and text, ``PER_LANGUAGE`` at most,
+taken in the order of their rank in their language, so that every language is learned before any has a second row,
+until there are ``SAMPLE`` rows or ``BYTES`` bytes of features. A fifth of the sample, but no language's only row, is set aside: a temperature is
+fitted to it and the rejection bound is a low quantile of its confidence. Since the softmax is linear, the mean embedding's scores equal
+the mean of per-bucket scores: for up to ``DIMENSION`` languages prediction sums one row of a BUCKETS x languages table for each
+byte, for more one row of the embeddings.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and is rejected; a null language
-is never learned from; with nothing to learn from, every text is ``und``; rows that repeat get equal predictions; an
+is never learned from; with nothing to learn from, every text is ``und``; rows that repeat an id and a text are learned from once and get equal predictions; an
 empty table gives an empty table; columns of the input other than id and text never matter to a prediction.
 """
 
@@ -27,9 +29,9 @@ from sigspark.llm.bytetext import blocks, lower_ascii, string_buffers
 BUCKETS = 1 << 14
 DIMENSION = 16
 PER_LANGUAGE = 1000
-#: Languages that are learned: the most frequent ones.
-LANGUAGES = 1000
+#: Rows of the sample, and so languages that are learned, at most; bytes of features that the driver holds of it.
 SAMPLE = 8000
+BYTES = 1 << 26
 EPOCHS = 5
 RATE = 0.5
 #: Share of a training target that is spread over all languages, so that scores of parts of a text add up instead of saturating.
@@ -52,11 +54,16 @@ def subwords(data: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages: what each subword adds
+    embedding: np.ndarray  # BUCKETS x DIMENSION
+    output: np.ndarray  # DIMENSION x languages
     bias: np.ndarray
     temperature: float
     reject_below: float
 
+    def __post_init__(self) -> None:
+        self.few = len(self.languages) <= DIMENSION
+        self.summed = self.embedding @ self.output if self.few else self.embedding
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probabilities (documents x languages) of the texts at ``offsets`` of ``data``."""
         out = np.tile(self.bias, (len(offsets) - 1, 1))
@@ -68,10 +75,12 @@ class Model:
         if len(some):
             edges = np.stack([first[some], last[some]], axis=1).reshape(-1)
             pad = edges[-1] == len(index)
-            for k in range(len(self.languages)):
-                value = self.table[:, k][index]
+            means = np.empty((len(some), self.summed.shape[1]))
+            for k in range(means.shape[1]):
+                value = self.summed[:, k][index]
                 sums = np.add.reduceat(np.append(value, np.float32(0)) if pad else value, edges)[::2]
-                out[some, k] += sums / (last[some] - first[some])
+                means[:, k] = sums / (last[some] - first[some])
+            out[some] += means if self.few else means @ self.output
         out /= self.temperature
         out -= out.max(axis=1, keepdims=True)
         np.exp(out, out=out)
@@ -84,7 +93,10 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 5) -> Mode
     label = {x: i for i, x in enumerate(languages)}
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
-    aside, fit = order[: len(rows) // 5], order[len(rows) // 5 :]
+    seen: set[str] = set()
+    only = [i for i in order if not (rows[i][0] in seen or seen.add(rows[i][0]))]  # a row of each language is always fitted to
+    rest = order[~np.isin(order, only)]
+    aside, fit = rest[: len(rows) // 5], np.concatenate([rest[len(rows) // 5 :], np.array(only, order.dtype)])
     embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
     output = np.zeros((DIMENSION, len(languages)), np.float32)
     output += rng.normal(0, 0.1, output.shape).astype(np.float32)
@@ -106,8 +118,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 5) -> Mode
             # A shared step for the whole text: its subwords move together, each by its share times their number.
             embedding[index] -= rate * (share * len(index))[:, None] * back[None, :]
             done += 1
-    table = (embedding @ output).astype(np.float32)
-    z = np.array([share @ table[index] + bias for _, index, share in (rows[i] for i in aside)]).reshape(-1, len(languages))
+    z = np.array([share @ embedding[index] @ output + bias for _, index, share in (rows[i] for i in aside)]).reshape(-1, len(languages))
     truth = np.array([label[rows[i][0]] for i in aside], int)
 
     def loss(t: float) -> float:
@@ -121,7 +132,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 5) -> Mode
         y = z / temperature
         p = np.exp(y - y.max(axis=1, keepdims=True))
         bound = REJECT_FACTOR * float(np.quantile((p / p.sum(axis=1, keepdims=True)).max(axis=1), REJECT_QUANTILE))
-    return Model(languages, table, bias.astype(np.float64), temperature, bound)
+    return Model(languages, embedding, output, bias.astype(np.float64), temperature, bound)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,16 +149,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of the given rows' texts and languages; None if none can be learned from."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null and id is not null")
-    narrow = rows.select("id", F.col("lang").alias("l"), F.xxhash64("id").alias("h"))
+    hashed = rows.select("text", F.col("lang").alias("l"), F.xxhash64("id", "text").alias("h"))
+    # Features take six bytes for each bucket that a text has.
+    narrow = hashed.select("l", "h", (6 * F.least(F.octet_length("text"), F.lit(BUCKETS))).cast("long").alias("cost"))
     # Hashes above a language's bound can't be among its smallest, so that few rows of a language meet in one task.
-    counts = narrow.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
+    counts = narrow.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(SAMPLE)
     bounds = counts.select(F.col("l").alias("bl"), F.expr(f"case when n <= {MARGIN * PER_LANGUAGE} then {2**63 - 1}L else cast({-(2.0**63)!r}D + {2.0**64!r}D * {MARGIN * PER_LANGUAGE} / n as bigint) end").alias("most"))
-    narrow = narrow.join(F.broadcast(bounds), F.col("l") == F.col("bl")).filter("h <= most").select("id", "l", "h")
-    ranked = narrow.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h", "id"))).filter(F.col("rank") <= PER_LANGUAGE)
-    chosen = ranked.orderBy("h", "id").limit(SAMPLE).select(F.col("id").alias("i"), "l", "h").distinct()
-    sample = rows.join(F.broadcast(chosen), (F.col("id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("lang", "text")
+    low = narrow.join(F.broadcast(bounds), F.col("l") == F.col("bl")).filter("h <= most").groupBy("l", "h").agg(F.max("cost").alias("cost"))
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("rank") <= PER_LANGUAGE)
+    first = ranked.orderBy("rank", "h", "l").limit(SAMPLE)
+    chosen = first.withColumn("so_far", F.sum("cost").over(Window.orderBy("rank", "h", "l"))).filter(F.col("so_far") <= BYTES).select(F.col("l").alias("cl"), F.col("h").alias("ch"))
+    same = (F.col("l") == F.col("cl")) & (F.col("h") == F.col("ch"))
+    sample = hashed.join(F.broadcast(chosen), same).groupBy("l", "h").agg(F.first("text").alias("text")).select(F.col("l").alias("lang"), "text")
     # As bytes, a document's features take six bytes a bucket on the driver.
-    found = [(r[0], np.frombuffer(r[1], "<u2"), np.frombuffer(r[2], "<f4")) for r in sample.mapInArrow(_features, "lang string, index binary, share binary").limit(SAMPLE).collect() if len(r[1])]
+    found = [(r[0], np.frombuffer(r[1], "<u2"), np.frombuffer(r[2], "<f4")) for r in sample.mapInArrow(_features, "lang string, index binary, share binary").collect() if len(r[1])]
     found.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
     return train(found) if found else None
 

@@ -110,7 +110,7 @@ def test_languages_of_held_out_documents(spark):
     assert len(rows) > 50 and np.mean([r.lang == r.lang_pred for r in rows]) >= 0.97
     assert all(0 <= r.score <= 1 for r in rows)
     again = language_id.fit(language_id.learnable(docs.repartition(7)))
-    assert (again.table == model.table).all() and again.reject_below == model.reject_below
+    assert (again.embedding == model.embedding).all() and (again.output == model.output).all() and again.reject_below == model.reject_below
     far = spark.createDataFrame([(1, "漢字漢字 " * 20, "xx")], "doc_id long, text string, lang string")
     assert language_id.predict(far, model).first().score < np.median([r.score for r in rows])
 
@@ -122,11 +122,43 @@ def test_scores_equal_the_mean_embedding_read_text_by_text(spark):
     got = model.scores(data, np.cumsum([0, *[len(t.encode()) for t in texts]]))
     for t, p in zip(texts, got, strict=True):
         index = language_id.subwords(np.frombuffer(t.encode(), np.uint8))
-        z = (model.table[index].astype(float).mean(axis=0) if len(index) else 0) + model.bias
+        z = (model.embedding[index].astype(float).mean(axis=0) @ model.output if len(index) else 0) + model.bias
         e = np.exp((z - z.max()) / model.temperature)
         assert p == pytest.approx(e / e.sum(), abs=1e-4)
 
 
+def many_languages(spark, n):
+    """n languages of letters of their own, the first with 400 rows and the others with three."""
+    rows = [(400 * k + i, " ".join(chr(0x4E00 + 40 * k + (7 * i + j * j) % 40) * 3 for j in range(12)), f"l{k:03}") for k in range(n) for i in range(3 if k else 400)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 60)
+    docs = many_languages(spark, 30)
+    model = language_id.fit(docs)
+    assert len(model.languages) == 30 and not model.few
+    rows = language_id.predict(docs, model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) >= 0.9
+    text = next(r.text for r in rows if r.lang == "l007")
+    index = language_id.subwords(np.frombuffer(text.encode(), np.uint8))
+    z = model.embedding[index].astype(float).mean(axis=0) @ model.output + model.bias
+    e = np.exp((z - z.max()) / model.temperature)
+    assert model.scores(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0] == pytest.approx(e / e.sum(), abs=1e-4)
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "BYTES", 6 * 2000)
+    assert len(language_id.fit(many_languages(spark, 12)).languages) == 12  # their first rows come first
+
+
+def test_repeated_ids_and_rows_do_not_matter(spark):
+    docs = many_languages(spark, 3)
+    same = docs.withColumn("doc_id", F.lit(7))
+    one, two = language_id.fit(same.union(docs)), language_id.fit(docs.union(same).union(docs).repartition(5))
+    assert (one.embedding == two.embedding).all() and one.reject_below == two.reject_below
+
+
 def test_predictions_of_odd_rows(odd, empty):
     model = language_id.fit(language_id.learnable(odd))
     assert model.languages == ["en", "fr"]
