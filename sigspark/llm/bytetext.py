@@ -1,12 +1,14 @@
 """Vectorised word work on the UTF-8 bytes of an Arrow string column.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``. All of these bytes are ASCII, so segmentation on bytes equals
-segmentation on code points. A word's hash is a sum over its bytes of tabulated 64-bit values times powers of
-an odd base, read off prefix sums, so that no Python object is made per word.
+segmentation on code points. A word's hash takes in eight bytes at a time, each through a full 64-bit mix, for all words side by side, so that
+no Python object is made per word. Words of one length that differ in one such run of eight bytes have different hashes; no sum or polynomial is
+involved whose terms could cancel.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +17,11 @@ import pyarrow as pa
 #: Bytes worked on at once; a longer document is worked on alone.
 BLOCK_BYTES = 1 << 20
 
+#: Words longer than this are hashed one by one.
+LONG = 256
+
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
+_ODD = _U(0x9E3779B97F4A7C15)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -28,26 +33,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE_VALUE = mix64((np.arange(1, 257, dtype=_U)) * _U(0xD1342543DE82EF95))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i < n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            table = np.full(size, base, _U)
-            table[0] = 1
-            _powers[name] = np.cumprod(table, dtype=_U)
-    return _powers["up"], _powers["down"]
-
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and its n + 1 offsets into them; nulls are empty."""
@@ -94,12 +84,24 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; different seeds give independent ones."""
+    length = ends - starts
+    out = mix64(length.astype(_U) ^ mix64(np.array([seed + 1], _U)))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=b"%d" % seed).digest(), "little")
+    some = np.flatnonzero((length <= LONG) & (length > 0))
+    at, left = starts[some], length[some]
+    while len(some):
+        value = eight[at]
+        part = np.flatnonzero(left < 8)
+        value[part] &= (_U(1) << (8 * left[part]).astype(_U)) - _U(1)
+        out[some] = mix64(out[some] * _ODD ^ value)
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

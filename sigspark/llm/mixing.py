@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.lineage import cut
+from sigspark.llm.lineage import Tables
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Sums that one pass of the dynamic program tells apart: the bound of its memory (5 bytes each).
@@ -136,7 +136,7 @@ def fit_lengths(lengths: Sequence[int], counts: Sequence[int], budget: int) -> l
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source, source_size, target, times): how often the mix takes each document (0, 1 or 2)."""
-    rows = cut(
+    rows = Tables(docs.sparkSession).cut(
         docs.select(F.col(id_col).alias("doc_id"), n_words(text_col).alias("size"), F.col(source_col).alias("source")).withColumn(
             "cell", F.pmod(F.xxhash64("doc_id", "size", "source", F.lit(seed)), F.lit(DEALT)).cast("int")
         )

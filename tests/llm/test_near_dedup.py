@@ -4,7 +4,8 @@ from collections import Counter
 
 import numpy as np
 
-from sigspark.llm import components, near_dedup
+from sigspark.llm import bytetext, components, near_dedup
+from sigspark.llm.lineage import Tables
 
 from .conftest import odd_texts, words
 
@@ -98,16 +99,58 @@ def test_percent_against_all_pairs(spark):
                     root = [low if r == high else r for r in root]
         got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), percent=percent).collect()
         assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
-    assert [near_dedup._shared(p) for p in (85, 80)] == [15, 12]
+    assert [near_dedup._shared(p) for p in (85, 80)] == [15, 12] and [near_dedup._shared(p, near_dedup.R) for p in (85, 80)] == [185, 169]
 
 
 def test_keys_tell_sets_apart():
     a, b = np.array([1, 2, 3], np.uint64), np.array([1, 2, 4], np.uint64)
-    assert near_dedup._key(a) != near_dedup._key(b) and len(near_dedup._key(a)) == 16 and near_dedup._key(a[:0]) == b""
+    assert near_dedup._key(a, a) != near_dedup._key(b, a) != near_dedup._key(b, b) and len(near_dedup._key(a, a)) == 16
+    text = np.frombuffer(b"a b c d e f g a b c d e", np.uint8)
+    (one, key), (none, empty) = near_dedup._sets(text, np.array([0, len(text), len(text)]))
+    assert len(one) == 7 and len(key) == 16 and len(none) == 0 and empty == b""
+
+
+def thue(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_whose_polynomial_hashes_are_equal(spark):
+    """Words of two letters that agree in every polynomial hash modulo a power of two are different words."""
+    for n in (64, 1024, 4096):
+        data = np.frombuffer((thue(n, "ab") + thue(n, "ba")).encode(), np.uint8)
+        for seed in (0, 1):
+            one, two = bytetext.span_hashes(data, np.array([0, n]), np.array([n, 2 * n]), seed)
+            assert one != two
+    rows = [(1, thue(1024, "ab")), (2, thue(1024, "ba")), (3, thue(1024, "ab") + " x"), (4, thue(1024, "ba") + " x")]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_word_hashes_tell_words_apart_and_forget_their_place():
+    rng = random.Random(2)
+    made = sorted({"".join(rng.choices("ab", k=rng.randint(1, 300))) for _ in range(3000)})
+    for order in (made, made[::-1]):
+        data = np.frombuffer(" ".join(order).encode(), np.uint8)
+        starts, ends, _ = bytetext.word_spans(data, np.array([0, len(data)]))
+        h = dict(zip(order, bytetext.span_hashes(data, starts, ends).tolist(), strict=True))
+        assert len(set(h.values())) == len(made) and (order is made or h == first)
+        first = h
+
+
+def test_a_common_passage_and_a_star(spark, monkeypatch):
+    """Texts that mostly consist of one passage but aren't linked, beside a family whose centre has many links; read with and without a broadcast."""
+    rng = random.Random(12)
+    passage = words(rng, 60)
+    texts = [f"{passage} {words(rng, 25)}" for _ in range(120)] + family(rng, 300, 60, 1) + [words(rng, 400) + " " + passage for _ in range(20)]
+    rows = list(enumerate(texts))
+    expected = brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(docs) == expected
+    monkeypatch.setattr(near_dedup, "BROADCAST", 0)
+    assert found(docs) == expected
 
 
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(500, 500 + 1)]
-    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long"), Tables(spark)).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 130)} == {100} and got[501] == 500
-    assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), Tables(spark)).collect() == []
