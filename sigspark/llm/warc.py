@@ -21,12 +21,13 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm.lineage import shared_folder
+from sigspark.llm.lineage import Tables, shared_folder
 
 SEGMENT = 1 << 16
 RECORDS = 512
@@ -34,6 +35,8 @@ CHUNK = 1 << 13
 END = b"\r\n\r\n"
 #: Pages whose records a task holds at once.
 SLICE = 256
+#: Revisits up to which their list is broadcast to the pages; a longer one is joined.
+BROADCAST = 1 << 18
 
 
 def digest(payload: bytes) -> str:
@@ -69,16 +72,21 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block
 
 
+def _named(page: str) -> str:
+    kind, _, name = page.partition(":")
+    return f"{kind}:{quote(name, safe='')}"
+
+
 def records(page: str, instance: int, url: str | None, payload: bytes, refers_to: str | None) -> Iterator[bytes]:
-    """The records of one page. ``instance`` tells rows with equal ids apart."""
-    uri = f"<urn:sigspark:page:{page}:{instance:x}>"
+    """The records of one page. Ids (``page``, ``refers_to``) are "page:" and the id, or "null:"; ``instance`` tells rows with equal ids apart."""
+    uri = f"<urn:sigspark:{_named(page)}:{instance:x}>"
     name = digest(payload)
     common = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{name}"), ("Content-Type", "application/http; msgtype=response")]
     if url is not None:
         common.append(("WARC-Target-URI", " ".join(url.split())))
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", uri), ("WARC-Refers-To", f"<urn:sigspark:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common], block)
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", uri), ("WARC-Refers-To", f"<urn:sigspark:{_named(refers_to)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common], block)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= SEGMENT:
@@ -112,8 +120,8 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _page_of(uri: str) -> str | None:
-    page = uri.strip("<>").split(":")[3]
-    return page or None
+    kind, name = uri.strip("<>").split(":")[2:4]
+    return None if kind == "null" else unquote(name)
 
 
 def roles(pages: DataFrame, least: int, id_col: str, html_col: str) -> DataFrame:
@@ -125,14 +133,17 @@ def roles(pages: DataFrame, least: int, id_col: str, html_col: str) -> DataFrame
 
 def write(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write the pages' records to compressed archives in ``folder``."""
-    revisits = roles(pages, least, id_col, html_col)
+    tables = Tables(pages.sparkSession)
+    revisits = tables.cut(roles(pages, least, id_col, html_col))
+    revisits = F.broadcast(revisits) if revisits.count() <= BROADCAST else revisits
+    named = lambda c: F.when(F.col(c).isNull(), "null:").otherwise(F.concat(F.lit("page:"), F.col(c).cast("string")))
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html).alias("sha"))
     told = rows.join(revisits, F.col("page").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left").select(
-        F.coalesce(F.col("page").cast("string"), F.lit("")).alias("page"),
+        named("page").alias("page"),
         "url",
         "html",
-        F.when(F.col("s").isNotNull(), F.coalesce(F.col("refers").cast("string"), F.lit(""))).alias("refers"),
+        F.when(F.col("s").isNotNull(), named("refers")).alias("refers"),
         F.monotonically_increasing_id().alias("instance"),
     )
 
@@ -146,6 +157,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id"
 
     lines = told.mapInArrow(work, "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(folder)
+    tables.drop()
 
 
 def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
