@@ -2,7 +2,8 @@
 
 Images are decoded to arrays (rows, columns, channels), resized by areas read off integral images (linear
 interpolation of the integral at fractional corners is exact for box filters), and kept as NPY tiles with
-a 64-bit difference hash. ``bytes_to_image`` stores any bytes without loss as an RGB image 64 pixels wide.
+a 64-bit difference hash. ``bytes_to_image`` stores any bytes without loss as an RGB image 64 pixels wide. ``stored`` makes a column of
+image files; ``described`` reads such a column; ``round_trip`` writes the first as a table to the shared folder and gives the second from there.
 
 Defined results: a null text is empty; a text is padded with spaces to a positive multiple of 192 bytes; equal
 texts give equal values; rows that repeat give equal rows; an empty table gives an empty table; other columns
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.llm.bytetext import string_buffers
+from sigspark.llm.lineage import Tables
 
 WIDTH = 64
 ROW_BYTES = WIDTH * 3
@@ -60,7 +62,8 @@ def decode(data: bytes) -> np.ndarray:
         flat = np.frombuffer(data, np.uint8, offset=found.end()) if kind > 3 else np.array(data[found.end() :].split()[:size], np.uint8)
         if len(flat) < size:
             raise ValueError("the image is cut off")
-        return flat[:size].reshape(rows, columns, channels)
+        flat = flat[:size] if most == 255 else np.rint(flat[:size] * (255 / most)).clip(0, 255).astype(np.uint8)
+        return flat.reshape(rows, columns, channels)
     if data[:2] == b"BM" and len(data) >= 54:
         at, (columns, rows, _, bits, packed) = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<iiHHI", data, 18)
         if bits not in (8, 24) or packed:
@@ -123,30 +126,52 @@ def bytes_to_image(data: bytes) -> np.ndarray:
     return np.frombuffer(padded, np.uint8).reshape(-1, WIDTH, 3)
 
 
-SCHEMA = "doc_id {id}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, tile binary"
+STORED = "doc_id {id}, n_bytes long, media_type string, media binary"
+DESCRIBED = "doc_id {id}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, tile binary"
+#: Images that a task holds at once.
+SLICE = 256
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as an image, read the stored bytes back and describe them.
+def _kind(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
 
-    Images with an even number of rows become BMP, others Netpbm.
-    """
+
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every text as an image file: with an even number of rows a BMP, else Netpbm."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = string_buffers(batch.column(1))
-            rows = []
-            for first, last in zip(at[:-1], at[1:], strict=True):
-                image = bytes_to_image(data[first:last].tobytes())
-                bmp = image.shape[0] % 2 == 0
-                stored = encode_bmp(image) if bmp else encode_netpbm(image)
-                read = decode(stored)
-                payload = read.tobytes()
-                rows.append((int(last - first), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(read), "image/bmp" if bmp else "image/x-portable-pixmap", npy_tile(read)))
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "tile"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names])
+            for begin in range(0, batch.num_rows, SLICE):
+                part = batch.slice(begin, SLICE)
+                data, at = string_buffers(part.column(1))
+                images = [bytes_to_image(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+                bmp = [image.shape[0] % 2 == 0 for image in images]
+                files = [encode_bmp(image) if even else encode_netpbm(image) for image, even in zip(images, bmp, strict=True)]
+                kinds = ["image/bmp" if even else "image/x-portable-pixmap" for even in bmp]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(kinds, pa.string()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media_type", "media"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(work, SCHEMA.format(id=narrow.schema["doc_id"].dataType.simpleString()))
+    return narrow.mapInArrow(work, STORED.format(id=_kind(narrow)))
+
+
+def described(media: DataFrame) -> DataFrame:
+    """Sizes, digests, difference hash and tile of each image file that ``stored`` made; its samples are read from the file."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file in batch.column(3):
+                data = file.as_py()
+                image = decode(data)
+                payload = image.tobytes()
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), npy_tile(image)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) if rows else [()] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns[:6], batch.column(2), columns[6]], names=[x.split()[0] for x in DESCRIBED.split(", ")])
+
+    return media.select("doc_id", "n_bytes", "media_type", "media").mapInArrow(work, DESCRIBED.format(id=_kind(media)))
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Store every text as an image file in a table in the shared folder, read the files back and describe them."""
+    return described(Tables(docs.sparkSession).cut(stored(docs, id_col, text_col)))

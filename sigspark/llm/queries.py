@@ -33,18 +33,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
-def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(url, blocked) of the pages whose document, the number in the url's path, is labelled: of poor quality or toxic means block."""
-    number = F.regexp_extract(url_filters.path_of("url"), r"/(\d{1,18})(?:[./]|$)", 1)
-    named = pages.select("url", number.alias("n")).select("url", F.expr("cast(nullif(n, '') as bigint)").alias("n"))
-    known = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("blocked"))
-    return named.join(known, F.col("n") == F.col("doc_id")).select("url", "blocked")
+#: Parts of a host's name, between dots and hyphens, that label its urls as to be blocked.
+JUNK_TERMS = ("ad", "ads", "adult", "bet", "bets", "casino", "click", "lotto", "pills", "poker", "porn", "popup", "scam", "spam", "track", "tracker", "viagra", "warez", "xxx")
+
+
+def labelled_urls(pages: DataFrame) -> DataFrame:
+    """(url, blocked) of every url that has a host: blocked if a part of the host's name is one of JUNK_TERMS.
+
+    These are the labels that the trees learn from. What they judge by is lexical (lengths, shares, entropy, suffix statistics), not the terms.
+    """
+    host = url_filters.host_of("url")
+    junk = host.rlike(r"(^|[.-])(" + "|".join(JUNK_TERMS) + r")([.-]|$)")
+    return pages.select("url", host.alias("host"), junk.cast("int").alias("blocked")).filter("host <> ''").select("url", "blocked")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, and boosted trees where no rule fits, on every page's url."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    model = url_filters.fit(labelled_urls(pages, _table(spark, sf_dir, "labels")))
+    model = url_filters.fit(labelled_urls(pages))
     return url_filters.judge(pages, RULES, model)
 
 
@@ -84,7 +90,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as an image and read back."""
-    return media.media_columns(_table(spark, sf_dir, "documents"))
+    return media.round_trip(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

@@ -31,6 +31,7 @@ PRIOR = 20.0
 
 _URL = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWERED = str.maketrans(_UPPER, _LOWER)
 
 
 def host_of(url: str | Column) -> Column:
@@ -62,7 +63,7 @@ def _suffixes(host: str) -> tuple[str, str, str]:
 def lexical(url: str | None) -> list[float]:
     url = url or ""
     found = _URL.match(url)
-    host, path = (found.group(1).lower(), found.group(2)) if found else ("", "")
+    host, path = (found.group(1).translate(_LOWERED), found.group(2)) if found else ("", "")
     n = max(1, len(url))
     digits = sum(c.isdigit() for c in url)
     odd = sum(not c.isalnum() and c not in "/.:" for c in url)
@@ -86,7 +87,7 @@ class Model:
         for k, url in enumerate(urls):
             found = _URL.match(url or "")
             stats = []
-            for level, suffix in enumerate(_suffixes(found.group(1).lower() if found else "")):
+            for level, suffix in enumerate(_suffixes(found.group(1).translate(_LOWERED) if found else "")):
                 blocked, count = self.suffixes.get((level, suffix), (0.0, 0.0))
                 if own is not None:
                     blocked, count = blocked - own[k], count - 1
@@ -119,7 +120,7 @@ def train(urls: Sequence[str | None], blocked: Sequence[int]) -> Model:
     sums: dict[tuple[int, str], list[float]] = defaultdict(lambda: [0.0, 0.0])
     for url, label in zip(urls, blocked, strict=True):
         found = _URL.match(url or "")
-        for key in enumerate(_suffixes(found.group(1).lower() if found else "")):
+        for key in enumerate(_suffixes(found.group(1).translate(_LOWERED) if found else "")):
             sums[key][0] += label
             sums[key][1] += 1
     model = Model(math.log(rate / (1 - rate)), rate, {k: (a, b) for k, (a, b) in sums.items()})
