@@ -39,9 +39,9 @@ from sigspark.llm.lineage import Tables
 
 SHINGLE = 5
 #: Values retained of each set; of each set that may have a partner.
-K, R = 32, 256
-#: Ids up to which those of rows that are read again are broadcast; more are joined.
-BROADCAST = 1 << 18
+K, R = 32, 1024
+#: Rows read again up to which hashes of their ids (8 bytes each) are broadcast; those of more are joined.
+BROADCAST = 1 << 20
 #: Unless told otherwise, links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Chance that sketches of sets larger than theirs miss a link at the threshold, at most.
@@ -153,11 +153,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
-def _retained_lists(sets: DataFrame, percent: int) -> DataFrame:
+def _retained_lists(sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """(value, node, n, at): inverted lists of the rarest values of each sketch of R values, as many as a linked pair must share one of, with their places there."""
     sketches = sets.select("node", F.size("hashes").alias("n"), F.slice("hashes", 1, R).alias("sketch"))
     values = sketches.select("node", F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = tables.cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     # Values of one sketch alone come first in the order of rarity; the places of the others follow theirs.
     common = values.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
     ranked = common.join(sketches.select("node", "n"), "node")
@@ -185,29 +185,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
 
     retained = nodes.select("node", F.explode("sketch").alias("value"))
-    shared = retained.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("value")
+    # Sums are written before they are joined with what they sum: a join of two plain shuffles is one whose hot keys AQE splits.
+    shared = cut(retained.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("value"))
     able = retained.join(shared, "value").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
     wanted = cut(nodes.join(able, "node").filter(f"common >= {_required('n', percent)}").drop("common"))
-    reps = wanted.select("rep").distinct()
-    # Only these rows' texts are read again. As long as their ids are few, the texts aren't shuffled.
+    reps = wanted.select(F.xxhash64("rep").alias("h")).distinct()
+    # Only these rows' texts are read again (and those of ids that share a hash, which match no digest). As long as they are few, texts aren't shuffled.
     reps = F.broadcast(reps) if wanted.count() <= BROADCAST else reps
     sets = cut(
-        narrow.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        narrow.join(reps, F.xxhash64("doc_id") == F.col("h"), "left_semi")
         .mapInArrow(_set_batches, "digest binary, hashes array<long>")
         .join(wanted.select("digest", "node"), "digest")
         .select("node", "hashes")
         .dropDuplicates(["node"])
     )
 
-    lists = cut(_retained_lists(sets, percent))
-    centres = lists.groupBy("value").agg(F.min(F.struct("at", "node", "n")).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("value", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.at").alias("pa"))
+    lists = cut(_retained_lists(sets, percent, tables))
+    centres = cut(lists.groupBy("value").agg(F.min(F.struct("at", "node", "n")).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("value", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.at").alias("pa")))
     stars = cut(lists.join(centres, "value").filter(f"node <> a and {_room('n', 'at', 'na', 'pa', percent)}").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
     first_links = cut(_verified(_likely(stars, wanted, percent), sets, percent))
     joined = connected_components(first_links, tables)
 
     # What the stars left open: pairs of a list's members in different components. One of them lies outside its centre's component.
-    placed = lists.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    main = placed.groupBy("value").agg(F.min(F.struct("at", "node", "root")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value", F.col("c.root").alias("main"))
+    placed = cut(lists.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    main = cut(placed.groupBy("value").agg(F.min(F.struct("at", "node", "root")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value", F.col("c.root").alias("main")))
     split = cut(placed.join(main, "value"))
     apart = split.filter("root <> main").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.col("root").alias("rx"))
     open_pairs = (
@@ -218,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(stars, ["a", "b"], "left_anti")
     )
     more_links = cut(_verified(_likely(open_pairs, wanted, percent), sets, percent))
-    tables.drop(wanted, sets, lists, stars, split)
+    tables.drop(wanted, sets, shared, lists, centres, placed, main, stars, split)
     # Components found so far are single nodes of the graph that is left.
     ends = {c: joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"}
     merged = more_links.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
@@ -226,14 +227,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     inner = joined.select("node", F.col("root").alias("inner_root"))
     outer = roots.select(F.col("node").alias("inner_root"), F.col("root").alias("outer_root"))
-    classes = (
+    classes = cut(
         nodes.select("node", "digest", "rep")
         .join(inner, "node", "left")
         .select("digest", "rep", F.coalesce("inner_root", "node").alias("inner_root"))
         .join(outer, "inner_root", "left")
         .select("digest", "rep", F.coalesce("outer_root", "inner_root").alias("root"))
     )
-    smallest = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
+    smallest = cut(classes.groupBy("root").agg(F.min("rep").alias("component_id")))
     labels = classes.join(smallest, "root").select("digest", "component_id")
     found = sketched.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
