@@ -6,10 +6,12 @@ import argparse
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 import sigspark
 from sigspark.operators import post
+from sigspark.operators.prep import skip_done
 from sigspark.operators.result import result_table
 from sigspark.plans import dataprep, diffmod
 from sigspark.sources import config, readers, writers
@@ -51,12 +53,15 @@ def run_prep(spark: SparkSession, args: argparse.Namespace) -> None:
     mode = "append" if done is not None else "overwrite"
     writers.write_site_store(made.sites, args.out, mode)
     writers.write_readcounts(made.counts, args.out, mode)
+    total = writers.write_status(spark.read.option("header", True).csv(f"{args.out}/data.readcount"), f"{args.out}/data.log")
+    print(f"{total} ids in {args.out}")
 
 
 def run_diff(spark: SparkSession, args: argparse.Namespace) -> None:
     design = config.load(args.config)
     table = f"{design.out}/diffmod.table"
-    done = writers.completed_ids(spark, table) if args.resume else None
+    log = f"{design.out}/diffmod.log"
+    done = writers.completed_ids(spark, log, "idx") if args.resume else None
     rows = readers.read_samples(spark, design.data)
     if design.prior is None:
         raise SystemExit("the design needs prior: a CSV with model_kmer, model_mean, model_stdv")
@@ -64,8 +69,16 @@ def run_diff(spark: SparkSession, args: argparse.Namespace) -> None:
     fits = diffmod.fit(rows, reference, design.runs, design.criteria, design.method, args.ids, done)
     mode = "append" if done is not None else "overwrite"
     if args.save_models:
-        writers.write_models(fits, f"{design.out}/models", mode)
+        # The table is made from the models that were written, so that nothing is fitted twice; of earlier ones, those that aren't done.
+        models = f"{design.out}/models"
+        writers.write_models(fits, models, mode)
+        fits = readers.read_models(spark, models)
+        fits = skip_done(fits, done) if done is not None else fits
     writers.write_result_table(result_table(fits, design.runs, design.method.pooling, design.method.prefilter), table, mode)
+    seen = rows if args.ids is None else rows.filter(F.col("idx").isin(*args.ids))
+    # Every id that was looked at is finished, whether or not a site of it passed the filters.
+    total = writers.write_status(seen if done is None else skip_done(seen, done), log, mode)
+    print(f"{total} ids in {log}")
 
 
 def run_post(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -38,19 +38,18 @@ class Settings:
 def pack_sites(observations: DataFrame, group_col: str = "run", value_col: str = "norm_mean", key: tuple[str, ...] = ("idx", "position", "kmer")) -> DataFrame:
     """One row per site: key, reference signal, y, the sorted group names present and the group code of each y.
 
-    Expects ref_mean and ref_std. The arrays are sorted by group and value, so that the row doesn't depend on
+    Expects ref_mean and ref_std; a column p of the site (a prefilter's) is kept. The arrays are sorted by group and value, so that the row doesn't depend on
     the order in which observations arrive.
     """
+    of_site = [c for c in ("ref_mean", "ref_std", "p") if c in observations.columns]
     packed = observations.groupBy(*key).agg(
-        F.first("ref_mean").alias("ref_mean"),
-        F.first("ref_std").alias("ref_std"),
+        *[F.first(c).alias(c) for c in of_site],
         F.sort_array(F.collect_list(F.struct(F.col(group_col).alias("g"), F.col(value_col).cast("double").alias("y")))).alias("obs"),
     )
     named = packed.withColumn("groups", F.array_sort(F.array_distinct(F.col("obs.g"))))
     return named.select(
         *key,
-        "ref_mean",
-        "ref_std",
+        *of_site,
         F.col("obs.y").alias("y"),
         "groups",
         F.transform("obs", lambda o: (F.array_position("groups", o["g"]) - 1).cast("int")).alias("code"),
@@ -155,8 +154,8 @@ MODEL = "mu array<double>, sigma2 array<double>, lam array<double>, alpha array<
 
 
 def fit_sites(packed: DataFrame, settings: Settings = Settings(), key: tuple[str, ...] = ("idx", "position", "kmer")) -> DataFrame:
-    """key, groups, ref_mean, ref_std and the fitted model of every packed site with an observation."""
-    carried = [*key, "ref_mean", "ref_std", "groups"]
+    """key, groups, ref_mean, ref_std (and p, if there) and the fitted model of every packed site with an observation."""
+    carried = [*key, *[c for c in ("ref_mean", "ref_std", "p") if c in packed.columns], "groups"]
     schema = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in carried) + ", " + MODEL
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -11,6 +11,8 @@ from sigspark.functions.special import rint
 
 #: A 5-mer that touches an exon's edge.
 MASK = "XXXXX"
+#: Bases of a transcript in a bin, by which positions find their exon.
+BIN = 256
 #: A read counter admits one read more than its maximum.
 CAP_EXTRA = 1
 
@@ -121,18 +123,24 @@ def overlapping_exons(offsets: DataFrame) -> DataFrame:
 def tx_to_genome(rows: DataFrame, offsets: DataFrame, fasta: DataFrame | None = None) -> DataFrame:
     """Rows (tx_id, position) with g_pos and, given sequences, the 5-mer around them; masked near exon edges.
 
-    An equi-join on the transcript with a range condition on the position.
+    An equi-join on the transcript and a bin of positions, so that a row meets only the few exons of its bin. 5-mers are cut once for
+    each position that occurs: no row carries a sequence.
     """
-    exons = offsets.select("tx_id", "strand", "g_start", "g_end", "tx_start", "tx_end")
+    first, last = (F.expr(f"{c} div {BIN}") for c in ("tx_start", "tx_end"))
+    exons = offsets.select("tx_id", "strand", "g_start", "g_end", "tx_start", "tx_end", F.explode(F.sequence(first, last)).alias("_bin"))
     inside = F.col("position").between(F.col("tx_start"), F.col("tx_end"))
     step = F.col("position") - F.col("tx_start")
-    found = rows.join(exons, "tx_id").filter(inside).withColumn("g_pos", F.when(F.col("strand") == "-", F.col("g_end") - step).otherwise(F.col("g_start") + step))
+    binned = rows.withColumn("_bin", F.expr(f"position div {BIN}"))
+    found = binned.join(exons, ["tx_id", "_bin"]).filter(inside).withColumn("g_pos", F.when(F.col("strand") == "-", F.col("g_end") - step).otherwise(F.col("g_start") + step))
     edge = (F.col("g_pos") - F.col("g_start") < 2) | (F.col("g_end") - F.col("g_pos") < 2)
-    found = found.withColumn("masked", edge).drop("strand", "g_start", "g_end", "tx_start", "tx_end")
+    found = found.withColumn("masked", edge).drop("_bin", "strand", "g_start", "g_end", "tx_start", "tx_end")
     if fasta is None:
         return found
-    kmer = F.when(F.col("masked"), MASK).otherwise(F.substring(F.col("seq"), (F.col("position") - 1).cast("int"), F.lit(5)))
-    return found.join(fasta.select("tx_id", "seq"), "tx_id").withColumn("kmer", kmer).drop("seq", "masked")
+    kmer = F.substring(F.col("seq"), (F.col("position") - 1).cast("int"), F.lit(5))
+    cut = found.filter("not masked").select("tx_id", "position").distinct().join(fasta.select("tx_id", "seq"), "tx_id").select("tx_id", "position", kmer.alias("_kmer"))
+    # Rows whose transcript has no sequence go; those of masked positions need none.
+    known = found.join(fasta.select("tx_id").distinct(), "tx_id", "left_semi")
+    return known.join(cut, ["tx_id", "position"], "left").withColumn("kmer", F.when(F.col("masked"), MASK).otherwise(F.col("_kmer"))).drop("_kmer", "masked")
 
 
 def last_transcript_wins(rows: DataFrame, order: str = "tx_ord", keys: Sequence[str] = ("gene_id", "read_index")) -> DataFrame:

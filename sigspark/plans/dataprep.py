@@ -21,13 +21,13 @@ class Prepared:
 
 def transcript_sites(events: DataFrame, least: int = 1, most: int = 1000, done: DataFrame | None = None, on_ambiguous: str = "stop") -> Prepared:
     """Sites by transcript: at most ``most`` + 1 reads of each, at least ``least`` of them."""
-    combined = prep.combine_events(prep.successful_alignments(events))
     # The cap counts the reads seen, usable or not.
     reads = prep.cap_reads(events.select("contig", "read_index").na.drop().distinct(), ["contig"], most)
     if done is not None:
         reads = prep.skip_done(reads.withColumn("idx", F.col("contig")), done).drop("idx")
     reads = prep.gate_reads(reads, ["contig"], least)
-    rows = prep.usable_reads(combined.join(reads, ["contig", "read_index"], "left_semi"))
+    # Only the capped reads' events are combined.
+    rows = prep.usable_reads(prep.combine_events(prep.successful_alignments(events).join(reads, ["contig", "read_index"], "left_semi")))
     observed = rows.select(F.col("contig").alias("idx"), "position", F.col("reference_kmer").alias("kmer"), rint(F.col("norm_mean"), 2).alias("norm_mean"), "read_index")
     return Prepared(prep.collect_sites(prep.unambiguous_positions(observed, on_ambiguous=on_ambiguous)), prep.read_counts(observed, ["idx"]))
 
@@ -42,7 +42,8 @@ def genome_sites(events: DataFrame, exons: DataFrame, fasta: DataFrame, least: i
     if done is not None:
         reads = prep.skip_done(reads.withColumn("idx", F.col("gene_id")), done).drop("idx")
     reads = prep.cap_reads(prep.gate_reads(reads, ["gene_id"], least), ["gene_id"], most, ["tx_ord", "read_index", "contig"])
-    combined = prep.usable_reads(prep.combine_events(prep.successful_alignments(named)))
+    held = prep.successful_alignments(named).join(reads, ["contig", "read_index"], "left_semi")
+    combined = prep.usable_reads(prep.combine_events(held))
     rows = combined.join(reads, ["contig", "read_index"])
     rows = prep.gate_reads(prep.last_transcript_wins(rows), ["gene_id"], least)
     placed = prep.tx_to_genome(rows, prep.exon_offsets(exons), fasta).select(F.col("gene_id").alias("idx"), F.col("g_pos").alias("position"), "kmer", "norm_mean", "read_index")

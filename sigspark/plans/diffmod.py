@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sigspark.operators import align, mixture, result, stats
 from sigspark.operators.prep import skip_done
@@ -20,13 +21,12 @@ def fit(rows: DataFrame, kmer_ref: DataFrame, runs: dict[str, Sequence[str]], cr
     runs_used = align.qualified_runs(chosen, criteria.readcount_min, criteria.readcount_max, method.pooling, ids)
     held = chosen.join(runs_used, [*align.SITE, "condition", "run"], "left_semi")
     held = align.with_reference(held, kmer_ref)
-    passed = None
     if method.prefilter:
-        passed = stats.prefilter(held, method.prefilter, method.threshold, list(runs)[:2])
-        held = held.join(passed.drop("p"), list(align.SITE), "left_semi")
+        # The p-value goes along with the observations, so that the test runs once.
+        held = held.join(stats.prefilter(held, method.prefilter, method.threshold, list(runs)[:2]), list(align.SITE))
     packed = mixture.pack_sites(held, "condition" if method.pooling else "run")
     fits = mixture.fit_sites(packed, mixture.Settings(max_iters=method.max_iters, stopping_criteria=method.stopping_criteria))
-    return fits.join(passed, list(align.SITE)) if passed is not None else fits
+    return fits if not method.prefilter or method.prefilter in stats.TESTS else fits.withColumn("p", F.lit(float("nan")))
 
 
 def differential_table(rows: DataFrame, kmer_ref: DataFrame, runs: dict[str, Sequence[str]], criteria: Criteria = Criteria(), method: Method = Method(), ids: Sequence[str] | None = None, done: DataFrame | None = None) -> DataFrame:

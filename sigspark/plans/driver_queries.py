@@ -5,6 +5,8 @@ The domain's tables are views of lineitem, events and part; a view's SQL reads a
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from sigspark.functions.special import erfc_sql, norm_cdf_sql, norm_two_sided_sql
 from sigspark.operators import align, post, prep, stats
 from sigspark.plans import dataprep, diffmod, model_sql
+from sigspark.sources import readers, writers
+from sigspark.sources.config import Method
 
 RUNS = {c: [f"{c}-{s}" for s in "FO"] for c in "ANR"}
 
@@ -150,18 +154,15 @@ def ids_two_conditions(spark, sf_dir):
     return align.ids_across_conditions(rows)
 
 
-_THIN = "read_index % 40 = position % 40"
-
-
 @query(
     "site_intersection",
-    _sql(f"/*with*/ r as (select distinct idx, position, kmer, run from v_signal where {_THIN}), a as (select idx, count(distinct run) as n from r group by idx) select r.idx, position, kmer from r join a on r.idx = a.idx group by r.idx, position, kmer, n having count(*) = n", "v_signal"),
+    _sql("/*with*/ r as (select distinct idx, position, kmer, run from v_signal), a as (select idx, count(distinct run) as n from r group by idx) select r.idx, position, kmer from r join a on r.idx = a.idx group by r.idx, position, kmer, n having count(*) = n", "v_signal"),
 )
 def site_intersection(spark, sf_dir):
-    return align.shared_sites(_view(spark, sf_dir, "v_signal").filter(_THIN))
+    return align.shared_sites(_view(spark, sf_dir, "v_signal"))
 
 
-# All reads, by a finer site: a part is missing from some of the runs that its id has.
+# A finer site: a part is missing from some of the runs that its id has.
 _PARTS = "parts as (select 'T' || cast(l_partkey % 10 as varchar(20)) as idx, l_partkey as position, {kmer} as kmer, l_returnflag || '-' || l_linestatus as run from lineitem)"
 
 
@@ -210,9 +211,9 @@ def percentile_init(spark, sf_dir):
     return got.select("idx", "position", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")])
 
 
-@query("group_codes", _sql(f"/*with*/ r as (select distinct position, run from v_signal where {_THIN}) select position, run, cast(row_number() over (partition by position order by run) - 1 as int) as code from r", "v_signal"))
+@query("group_codes", _sql("/*with*/ r as (select distinct position, run from v_signal) select position, run, cast(row_number() over (partition by position order by run) - 1 as int) as code from r", "v_signal"))
 def group_codes(spark, sf_dir):
-    rows = _view(spark, sf_dir, "v_signal").filter(_THIN).select("position", "run").distinct()
+    rows = _view(spark, sf_dir, "v_signal").select("position", "run").distinct()
     return align.group_codes(rows, ["position"], "run")
 
 
@@ -388,3 +389,75 @@ def transcript_sites(spark, sf_dir):
     sites = dataprep.transcript_sites(_view(spark, sf_dir, "v_events"), 1, 500).sites
     tenths = F.aggregate(F.transform("y", lambda v: F.rint(v * 10).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
     return sites.select("idx", "position", F.size("y").cast("long").alias("n"), tenths.alias("tenths"), F.array_min("y").alias("low"), F.array_max("y").alias("high"))
+
+
+# Pooled runs: a condition's reads are one group.
+_POOLED = _PACKED.replace("select idx, position, kmer, run, count(*) as n from combined", "select idx, position, kmer, condition as run, count(*) as n from combined").replace("c.run = r.run", "c.condition = r.run").replace("distinct run", "distinct condition").replace("r := run", "r := condition").replace("order by run, norm_mean", "order by condition, norm_mean")
+
+
+@query("pooled_table", _recursive(f", {model_sql.result_sql({c: [c] for c in RUNS})}").replace(_PACKED, _POOLED))
+def pooled_table(spark, sf_dir):
+    rows = _combined(spark, sf_dir)
+    return _rounded(diffmod.differential_table(rows, _reference(rows), RUNS, method=Method(pooling=True)))
+
+
+#: Genes of two transcripts each; a transcript's letters follow from its number and the place.
+_LETTER = "substring('ACGT', cast(({i} * {i} + 3 * {i} + {t}) {div} 5 % 4 as int) + 1, 1)"
+_TX_EVENTS = "select 'T' || cast(l_partkey % 20 as varchar(20)) || '.1' as contig, l_suppkey as read_index, cast(l_orderkey % 2600 as bigint) as position, 'ACGTA' as reference_kmer, case when l_quantity = 50 then 'NNNNN' else 'ACGTA' end as model_kmer, l_quantity as length, l_extendedprice as event_level_mean from lineitem"
+
+
+@query(
+    "genome_sites",
+    _sql(
+        f"/*with*/ {_OFFSETS}, v as (select *, split_part(contig, '.', 1) as tx_id, 'G' || cast(cast(substring(split_part(contig, '.', 1), 2) as bigint) // 2 as varchar) as gene from ({_TX_EVENTS})), capped as (select * from (select distinct gene, tx_id, read_index from v) qualify row_number() over (partition by gene order by tx_id, read_index) <= 151), "
+        "c as (select v.gene, v.tx_id, v.read_index, position + 2 as position, round_even(sum(event_level_mean * length) / sum(length), 1) as x from v join capped on v.tx_id = capped.tx_id and v.read_index = capped.read_index where reference_kmer = model_kmer group by all), usable as (select * from c qualify count(*) over (partition by tx_id, read_index) > 1), "
+        "latest as (select * from usable qualify tx_id = max(tx_id) over (partition by gene, read_index)), placed as (select gene, position as p, cast(substring(latest.tx_id, 2) as bigint) as t, x, case when strand = '-' then g_end - (position - tx_start) else g_start + position - tx_start end as g_pos from latest join e on latest.tx_id = e.tx_id and position between tx_start and tx_end where position - tx_start >= 2 and tx_end - position >= 2) "
+        "select gene as idx, cast(g_pos as bigint) as position, " + " || ".join(_LETTER.format(i=f"(p + {d})", t="t", div="//") for d in range(-2, 3)) + " as kmer, count(*) as n, cast(sum(cast(round_even(x * 10, 0) as bigint)) as bigint) as tenths from placed group by all",
+        "v_exons",
+    ),
+)
+def genome_sites(spark, sf_dir):
+    events = spark.sql(_TX_EVENTS.replace("from lineitem", "from {source}").replace("varchar(20)", "string"), source=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    exons = _view(spark, sf_dir, "v_exons").withColumn("gene_id", F.expr("concat('G', cast(cast(substring(tx_id, 2) as bigint) div 2 as string))"))
+    letter = _LETTER.format(i="i", t="cast(substring(tx_id, 2) as bigint)", div="div")
+    length = exons.groupBy("tx_id").agg(F.sum(F.col("g_end") - F.col("g_start") + 1).alias("n"))
+    fasta = length.select("tx_id", F.expr(f"array_join(transform(sequence(0L, n - 1), i -> {letter}), '')").alias("seq"))
+    sites = dataprep.genome_sites(events, exons, fasta, 1, 150).sites
+    tenths = F.aggregate(F.transform("y", lambda v: F.rint(v * 10).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
+    return sites.select("idx", "position", "kmer", F.size("y").cast("long").alias("n"), tenths.alias("tenths"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query writes and reads: in the cluster's shared folder, or, on a local master without one, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="sigspark-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@query("site_store_round_trip", _sql(f"/*with*/ {_COMBINED} select run || ':' || idx as idx, position, kmer, string_agg(cast(cast(round_even(norm_mean * 10, 0) as bigint) as varchar), ',' order by norm_mean) as y from combined group by run, idx, position, kmer", "v_signal"))
+def site_store_round_trip(spark, sf_dir):
+    folder = _scratch(spark, "sites")
+    sites = prep.collect_sites(_combined(spark, sf_dir).withColumn("idx", F.concat("run", F.lit(":"), "idx")))
+    writers.write_site_store(sites, folder)
+    tenths = F.transform("y", lambda v: F.rint(v * 10).cast("long").cast("string"))
+    return readers.read_site_store(spark, f"{folder}/data.json").select("idx", "position", "kmer", F.array_join(tenths, ",").alias("y"))
+
+
+@query(
+    "annotated_sequences",
+    "select 'T' || cast(p_partkey as varchar) as tx_id, 'G' || cast(p_partkey % 50 as varchar) as gene_id, 'chr' || cast(p_partkey % 3 as varchar) as chr, case when p_partkey % 2 = 0 then '+' else '-' end as strand, 100 * p_partkey + 1000 * i as g_start, 100 * p_partkey + 1000 * i + p_size as g_end, replace(upper(p_type), ' ', '') as seq, cast(1 as bigint) as n from part, range(1, 3) as r(i)",
+)
+def annotated_sequences(spark, sf_dir):
+    """A FASTA and a GTF file of two exons a part, written and read."""
+    folder = _scratch(spark, "annotation")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("chr", F.expr("concat('chr', p_partkey % 3)")).withColumn("strand", F.expr("if(p_partkey % 2 = 0, '+', '-')"))
+    part.select(F.expr(r"concat('>T', p_partkey, '.1 part>', p_size, ' gene:G', p_partkey % 50, '.2\n', replace(upper(p_type), ' ', '\n'))").alias("value")).write.text(f"{folder}/fasta")
+    exon = r"""concat_ws('\t', chr, 'x', 'exon', cast(100 * p_partkey + 1000 * i as string), cast(100 * p_partkey + 1000 * i + p_size as string), '.', strand, '.', concat('gene_id "G', p_partkey % 50, '.2"; transcript_id "T', p_partkey, '.1"; exon_number ', i, ';'))"""
+    part.withColumn("i", F.explode(F.array(F.lit(1), F.lit(2)))).select(F.expr(exon).alias("value")).write.text(f"{folder}/gtf")
+    fasta = readers.read_fasta(spark, f"{folder}/fasta")
+    exons = readers.read_annotation(spark, f"{folder}/gtf", fasta)
+    rows = exons.join(fasta, ["tx_id", "gene_id"])
+    return rows.groupBy("tx_id", "gene_id", "chr", "strand", "g_start", "g_end", "seq").agg(F.count(F.lit(1)).alias("n"))

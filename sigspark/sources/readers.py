@@ -22,7 +22,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str, keep_version: bool = False) -> DataFrame:
     """(tx_id, seq, gene_id): the id is the header's first token, without its version; gene_id is its ``gene:`` field or second pipe field."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
+    # A record begins with > at a line's beginning only; the file's first one isn't preceded by a line.
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).filter(F.trim("value") != "")
     header = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     token = F.split(F.split(header, r"\s+")[0], r"\|")[0]
     piped = F.split(header, r"\|")

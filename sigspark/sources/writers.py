@@ -35,9 +35,16 @@ def write_models(fits: DataFrame, path: str, mode: str = "overwrite") -> None:
     fits.write.mode(mode).parquet(path)
 
 
+def write_status(ids: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """A log of finished ids (idx, status): those of which nothing was left to write are in it too. How many they are."""
+    ids.select("idx").distinct().withColumn("status", F.lit("done")).write.mode(mode).option("header", True).csv(path)
+    return ids.sparkSession.read.option("header", True).csv(path).select("idx").distinct().count()
+
+
 def completed_ids(spark: SparkSession, path: str, column: str = "id") -> DataFrame | None:
     """Ids in committed output at the path, as ``idx``; None if there is none."""
     try:
-        return spark.read.option("header", True).csv(path).select(F.col(column).alias("idx")).distinct()
+        found = spark.read.option("header", True).csv(path)
+        return found.select(F.col(column).alias("idx")).distinct() if column in found.columns else None
     except AnalysisException:
         return None

@@ -29,6 +29,9 @@ def test_annotation_and_fasta(spark, tmp_path):
     gff.write_text("#c\nchr1\tx\tmRNA\t100\t119\t.\t+\t.\tID=transcript:T1;Parent=gene:G1\nchr1\tx\texon\t100\t119\t.\t+\t.\tParent=transcript:T1\n")
     fa = tmp_path / "t.fa"
     fa.write_text(f">T1.1 cdna gene:G1.3 rest\n{SEQUENCE[:10]}\n{SEQUENCE[10:]}\n>T2.1|G2.1|x\nAC\n")
+    odd = tmp_path / "odd.fa"
+    odd.write_text("\n>T1.1 c.12A>G gene:G1.3 x>y\r\nAC\r\nGT\r\n>T2.1\nAA\n")
+    assert {tuple(r) for r in readers.read_fasta(spark, str(odd)).collect()} == {("T1", "ACGT", "G1"), ("T2", "AA", None)}
     fasta = readers.read_fasta(spark, str(fa))
     assert {tuple(r) for r in fasta.select("tx_id", "seq", "gene_id").collect()} == {("T1", SEQUENCE, "G1"), ("T2", "AC", "G2")}
     assert (readers.annotation_dialect(spark, str(gtf)), readers.annotation_dialect(spark, str(gff))) == ("gtf", "gff")
@@ -82,6 +85,12 @@ def test_command_line_end_to_end(spark, tmp_path):
     assert n == 3 and readers.read_models(spark, f"{tmp_path}/out/models").count() == 3
     cli.main(["diff", "--config", str(tmp_path / "c.yml"), "--resume"], spark)
     assert readers.read_result_table(spark, f"{tmp_path}/out/diffmod.table").count() == n
+    finished = writers.completed_ids(spark, f"{tmp_path}/out/diffmod.log", "idx")
+    assert [r[0] for r in finished.collect()] == ["T1.1"]
+    (tmp_path / "strict.yml").write_text((tmp_path / "c.yml").read_text().replace("/out", "/none") + "criteria: {readcount_min: 500}\n")
+    for more in ([], ["--resume"]):  # an id without a site left is finished too
+        cli.main(["diff", "--config", str(tmp_path / "strict.yml"), *more], spark)
+        assert [r[0] for r in writers.completed_ids(spark, f"{tmp_path}/none/diffmod.log", "idx").collect()] == ["T1.1"]
     cli.main(["prep", "--events", str(tmp_path / "ko.tsv"), "--out", str(tmp_path / "ko"), "--resume"], spark)
     assert readers.read_site_store(spark, f"{tmp_path}/ko/data.json").count() == 3
     cli.main(["post", "--dir", f"{tmp_path}/out"], spark)
