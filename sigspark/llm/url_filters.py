@@ -158,9 +158,22 @@ def train(urls: Sequence[str | None], blocked: Sequence[int]) -> Model:
 
 
 def fit(labelled: DataFrame, url_col: str = "url", blocked_col: str = "blocked") -> Model:
-    """A model of labelled URLs: the SAMPLE of them with the smallest hashes."""
+    """A model of labelled URLs: the SAMPLE of them with the smallest hashes.
+
+    Counts of the hashes' first 16 bits tell where the sample ends, so that the driver gets little more than it, whatever the number of
+    partitions (each would send a sample of its own); rows that repeat come as one with their number.
+    """
     rows = labelled.select(F.col(url_col).alias("url"), F.col(blocked_col).cast("int").alias("blocked")).filter("url is not null and blocked is not null")
-    chosen = rows.orderBy(F.xxhash64("url"), "url", "blocked").limit(SAMPLE).collect()
+    hashed = rows.withColumn("h", F.xxhash64("url")).withColumn("first", F.shiftright("h", 48))
+    last, seen = None, 0
+    for last, n in sorted(tuple(r) for r in hashed.groupBy("first").agg(F.count(F.lit(1))).collect()):
+        seen += n
+        if seen >= SAMPLE:
+            break
+    if last is None:
+        return train([], [])
+    few = hashed.filter(F.col("first") <= last).groupBy("h", "url", "blocked").agg(F.count(F.lit(1)).alias("n"))
+    chosen = [(r.url, r.blocked) for r in few.orderBy("h", "url", "blocked").limit(SAMPLE).collect() for _ in range(min(r.n, SAMPLE))][:SAMPLE]
     return train([r[0] for r in chosen], [r[1] for r in chosen])
 
 

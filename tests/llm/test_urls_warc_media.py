@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sigspark.llm import media, url_filters, warc
 from sigspark.llm.queries import RULES, labelled_urls, op3_url_filters
@@ -69,6 +70,24 @@ def test_trees_learn_lexical_labels(spark):
     assert ((p := random_labels.probability([u for u, _ in rows])) > 0).all() and (p < 1).all()
 
 
+def test_sample_is_that_of_the_smallest_hashes(spark, monkeypatch):
+    """However rows repeat, the sample is the head of all rows in the order of hash, url and label."""
+    rng = random.Random(8)
+    rows = [(url_of(rng, bad), int(bad)) for bad in (rng.random() < 0.4 for _ in range(300))]
+    rows += [rows[0]] * 150 + [(rows[0][0], 1 - rows[0][1])] * 5 + [(None, 1), ("http://a/", None)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "url string, blocked int").repartition(6)
+    ordered = [tuple(r) for r in frame.dropna().orderBy(F.xxhash64("url"), "url", "blocked").collect()]
+    seen = []
+    monkeypatch.setattr(url_filters, "train", lambda urls, blocked: seen.append(list(zip(urls, blocked, strict=True))))
+    for most in (1, 40, 200, 10_000):
+        monkeypatch.setattr(url_filters, "SAMPLE", most)
+        url_filters.fit(frame)
+        assert seen.pop() == ordered[:most]
+    url_filters.fit(frame.limit(0))
+    assert seen == [[]]
+
+
 def test_labelled_urls(spark):
     urls = {"http://m.casino-win.example.com/en/5": 1, "http://FREE-Bets.example.com/": 1, "http://betty.example.com/bets": 0, "https://a.org/casino": 0, "http://x.ads.org#a": 1, "http://loads.org": 0}
     pages = spark.createDataFrame([(u,) for u in [*urls, None, "", "no scheme", "http://"]], "url string")
