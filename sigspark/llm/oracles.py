@@ -58,3 +58,39 @@ first as (select h, max(page_id) as response from hashed group by h)
 select page_id, payload_bytes, {_BASE32} as payload_digest, case when page_id = response then 'response' else 'revisit' end as record_type, case when page_id <> response then response end as refers_to
 from (select hashed.*, response from hashed join first on hashed.h = first.h)
 """
+
+
+def _terms(text: str) -> str:
+    """ASCII letters and digits, and all other characters, as terms; A-Z lower-cased."""
+    return rf"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+OP11 = f"""
+with terms as (select row_number() over () as r, doc_id, {_terms("coalesce(text, '')")} as t from documents),
+sized as (select r, doc_id, t, len(t)::bigint as n from terms),
+total as (select count(*) filter (n > 0)::bigint as n_docs, sum(n)::bigint as n_terms from sized),
+posting as (select r, doc_id, n, term, count(*)::bigint as tf from (select r, doc_id, n, unnest(t) as term from sized) group by r, doc_id, n, term),
+weight as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as w from posting, total group by term),
+item as (select distinct item_id, unnest({_terms("coalesce(text, '')")}) as term from benchmark),
+scored as (select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::bigint as score from item join weight using (term) join posting using (term), total group by item_id, r, doc_id),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last, r)::int as rank, doc_id, score from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+_PIECE_WORDS = r"list_transform(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'), lambda p: regexp_extract_all(p, '[^\x20\x09]+'))"
+
+OP13 = f"""
+with piece as (select coalesce(lang, 'und') as lang, unnest({_PIECE_WORDS}) as w from documents),
+run as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from piece, (select unnest(range(1, 6)) as k) where len(w) >= k),
+f as (select lang, k, phrase, count(*)::bigint as f from run group by lang, k, phrase),
+total as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+candidate as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 100),
+cut as (select lang, k, phrase, a, c, array_to_string(w[1:c], ' ') as first, array_to_string(w[c + 1:], ' ') as last from candidate, (select unnest(range(1, 5)) as c) where c < k),
+scored as (select cut.lang, cut.phrase, a, c, l.f as l, r.f as r, n, ((1000::hugeint * a * n) // (l.f::hugeint * r.f))::bigint as score from cut join f l on cut.lang = l.lang and l.k = c and l.phrase = first join f r on cut.lang = r.lang and r.k = cut.k - c and r.phrase = last join total on total.lang = cut.lang),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inner_run as (select lang, a as fl, array_to_string(w[i:i + m - 1], ' ') as phrase from candidate, (select unnest(range(2, 5)) as m), (select unnest(range(1, 5)) as i) where m < k and i + m - 1 <= k),
+dropped as (select distinct c.lang, c.phrase from candidate c join inner_run i on c.lang = i.lang and c.phrase = i.phrase and 100 * fl >= 100 * c.a),
+kept as (select * from lowest where not exists (select 1 from dropped d where d.lang = lowest.lang and d.phrase = lowest.phrase)),
+ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, n, score from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+"""

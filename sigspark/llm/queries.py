@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import language_id, media, mixing, near_dedup, oracles, packing, quality, sharding, token_counts, url_filters, warc
+from sigspark.llm import language_id, lexical_search, media, mixing, near_dedup, oracles, packing, phrases, quality, sharding, token_counts, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language."""
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
@@ -104,6 +114,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_media_columns": op10_media_columns,
+    "op11_lexical_search": op11_lexical_search,
+    "op13_phrases": op13_phrases,
 }
 
-ORACLES: dict[str, str] = {"op1_sharding": oracles.OP1, "op4_near_dedup": oracles.OP4, "op6_warc": oracles.OP6}
+ORACLES: dict[str, str] = {"op1_sharding": oracles.OP1, "op4_near_dedup": oracles.OP4, "op6_warc": oracles.OP6, "op11_lexical_search": oracles.OP11, "op13_phrases": oracles.OP13}
