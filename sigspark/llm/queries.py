@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import language_id, lexical_search, media, mixing, near_dedup, oracles, packing, phrases, quality, sharding, token_counts, url_filters, warc
+from sigspark.llm import html_extraction, language_id, lexical_search, media, mixing, near_dedup, oracles, packing, phrases, quality, sharding, token_counts, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 collocations of each language."""
     return phrases.mine(_table(spark, sf_dir, "documents"))
@@ -115,6 +120,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_media_columns": op10_media_columns,
     "op11_lexical_search": op11_lexical_search,
+    "op12_html_extraction": op12_html_extraction,
     "op13_phrases": op13_phrases,
 }
 
