@@ -1,7 +1,7 @@
 """Phrase collocation mining: frequent phrases of each language, scored by how much more often they occur than their parts would by chance.
 
 All runs of 1 to ``most`` words within a piece are rows of a DataFrame, counted by language. A run is a candidate if it occurs ``least`` times; then so
-do all runs inside it, so that rows of runs that hold a rarer word, or a rarer pair of words, needn't be made: they are told by a filter of fixed size (``FILTER_BITS``)
+do all runs inside it, so that rows of runs that hold a rarer word, pair or triple of words needn't be made: they are told by a filter of fixed size (``FILTER_BITS``)
 that knows every frequent one and lets through some others, which cost work and change nothing. Each task first sums the runs of a block of texts; counts
 are summed by hash aggregation of the runs themselves, not of hashes of them. Candidates are joined with the counts of their prefixes and suffixes, scores
 are whole numbers of 38-digit decimals, an anti-join with one-word extensions drops what a longer candidate explains, and a window ranks each language.
@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from sigspark.llm.lineage import Tables
 MOST, LEAST = 5, 100
 #: Phrases reported of each language.
 TOP = 2000
+#: Filters: of words, pairs and triples. Runs of more words are counted together.
+PASSES = 3
 #: Bits of the filter of frequent words or pairs: 8 MB, whatever the data.
 FILTER_BITS = 1 << 26
 #: Languages up to which their numbers of words are broadcast.
@@ -80,8 +83,8 @@ def _taken(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Arra
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[gather])))
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, langs: pa.Array, sizes: range, passes: list[Frequent]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
-    """(language, phrase, words, occurrences) of a block's runs, for each number of words. ``passes``: filters of 1, 2, ... words."""
+def runs_of(data: np.ndarray, offsets: np.ndarray, langs: pa.Array, sizes: range, frequent: Frequent | None) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """(language, phrase, words, occurrences) of a block's runs, for each number of words. ``frequent``: a filter of runs of one word less than the shortest."""
     low = lower_ascii(data)
     apart = _BLANK[low] | _BREAK[low]
     if not len(low) or apart.all():
@@ -95,49 +98,53 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, langs: pa.Array, sizes: range
     doc = np.searchsorted(offsets, starts, "right") - 1
     # A word's piece: the number of breaks before it, and of documents.
     piece = np.cumsum(_BREAK[low])[starts] + doc
-    names = langs.dictionary_encode() if not isinstance(langs, pa.DictionaryArray) else langs
+    names = langs.dictionary_encode()
     lang = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc]
-    lang_hash = _hash_of(names.dictionary)[lang]
     encoded = _taken(low, starts, ends - starts).dictionary_encode()
     vocabulary, ids = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    hashes = _hash_of(vocabulary)[ids]
-    # Whether a word and the next lie in one piece, and pass.
-    near = piece[:-1] == piece[1:]
-    if len(passes) == 1:
-        frequent = passes[0].has(lang_hash, _joined(hashes, 1))
-        near &= frequent[:-1] & frequent[1:]
-    elif len(passes) == 2:
-        at = np.flatnonzero(near)
-        near[at] = passes[1].has(lang_hash[at], _joined(hashes, 2)[at])
-    whole = np.ones(len(starts), bool)
-    code = lang * len(vocabulary) + ids
-    for n in range(1, sizes[-1] + 1):
-        if n > 1:
-            whole = whole[:-1] & near[n - 2 :]
-            # A run's number is made of that of the run without its last word, and this word.
-            code = code[:-1] * len(vocabulary) + ids[n - 1 :]
-        at = np.flatnonzero(whole)
+    k = sizes[0] - 1
+    at = np.arange(len(starts) - k)
+    if k:
+        at = at[piece[at] == piece[at + k]]
+        good = np.zeros(len(starts), bool)
+        inner = np.flatnonzero(piece[: len(piece) - k + 1] == piece[k - 1 :])
+        good[inner] = frequent.has(_hash_of(names.dictionary)[lang[inner]], _joined(_hash_of(vocabulary)[ids], k)[inner])
+        at = at[good[at] & good[at + 1]]
+    code = lang[at] * len(vocabulary) + ids[at]
+    for n in range(2, sizes[-1] + 1):
+        if n > sizes[0]:
+            more = at + n - 1 < len(starts)
+            more[more] = (piece[at[more]] == piece[at[more] + n - 1]) & good[at[more] + n - 1 - k]
+            at, code = at[more], code[more]
         if not len(at):
             return
-        _, first, inverse, count = np.unique(code[at], return_index=True, return_inverse=True, return_counts=True)
-        code[at] = inverse
+        # A run's number is made of that of the run without its last word, and this word.
+        code = np.unique(code, return_inverse=True)[1] * len(vocabulary) + ids[at + n - 1]
         if n in sizes:
-            one = at[first]
-            words = [pc.take(vocabulary, pa.array(ids[one + j])) for j in range(n)]
-            phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if n > 1 else words[0]
-            yield pc.take(names.dictionary, pa.array(lang[one])), phrase, np.full(len(one), n), count
+            yield _summed(code, at, n, names.dictionary, lang, vocabulary, ids)
+    if sizes[0] == 1:
+        yield _summed(code, at, 1, names.dictionary, lang, vocabulary, ids)
 
 
-def _counted(docs: DataFrame, sizes: range, passes: list) -> DataFrame:
+def _summed(code: np.ndarray, at: np.ndarray, n: int, names: pa.Array, lang: np.ndarray, vocabulary: pa.Array, ids: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """The runs of n words from the given words on, each once."""
+    _, first, count = np.unique(code, return_index=True, return_counts=True)
+    one = at[first]
+    words = [pc.take(vocabulary, pa.array(ids[one + j])) for j in range(n)]
+    phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if n > 1 else words[0]
+    return pc.take(names, pa.array(lang[one])), phrase, np.full(len(one), n), count
+
+
+def _counted(docs: DataFrame, sizes: range, frequent: Broadcast | None = None) -> DataFrame:
     """(lang, n_words, phrase, f): occurrences of the runs that pass, of each number of words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [Frequent(x.value) for x in passes]
+        known = Frequent(frequent.value) if frequent else None
         for batch in batches:
             langs = pc.fill_null(batch.column(0), "und")
             data, at = string_buffers(batch.column(1))
             for a, b in blocks(at, BLOCK):
-                for lang, phrase, words, count in runs_of(data[at[a] : at[b]], at[a : b + 1] - at[a], langs.slice(a, b - a), sizes, filters):
+                for lang, phrase, words, count in runs_of(data[at[a] : at[b]], at[a : b + 1] - at[a], langs.slice(a, b - a), sizes, known):
                     yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(words, pa.int32()), phrase.cast(pa.string()), pa.array(count, pa.int64())], names=["lang", "n_words", "phrase", "f"])
 
     return docs.mapInArrow(work, "lang string, n_words int, phrase string, f long").groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
@@ -169,15 +176,14 @@ def _filter_of(runs: DataFrame, n: int) -> np.ndarray:
 def frequent_runs(docs: DataFrame, most: int, least: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """(lang, n_words, phrase, f) of all runs of up to ``most`` words that occur ``least`` times, and (lang, n): all words of each language."""
     spark: SparkSession = docs.sparkSession
-    words = tables.cut(_counted(docs, range(1, 2), []))
+    words = tables.cut(_counted(docs, range(1, 2)))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    found, passes = tables.cut(words.filter(F.col("f") >= least)), []
-    out = found
-    for n, sizes in ((1, range(2, 3)), (2, range(3, most + 1))):
-        if len(sizes):
-            passes.append(spark.sparkContext.broadcast(_filter_of(found, n)))
-            found = tables.cut(_counted(docs, sizes, passes).filter(F.col("f") >= least))
-            out = out.unionByName(found)
+    found = out = tables.cut(words.filter(F.col("f") >= least))
+    for n in range(1, min(most, PASSES + 1)):
+        sizes = range(n + 1, n + 2) if n < PASSES else range(n + 1, most + 1)
+        frequent = spark.sparkContext.broadcast(_filter_of(found, n))
+        found = tables.cut(_counted(docs, sizes, frequent).filter(F.col("f") >= least))
+        out = out.unionByName(found)
     return out, totals
 
 
