@@ -6,30 +6,30 @@ import argparse
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 import sigspark
-from sigspark.operators import post
+from sigspark.operators import post, prep
 from sigspark.operators.prep import skip_done
 from sigspark.operators.result import result_table
 from sigspark.plans import dataprep, diffmod
 from sigspark.sources import config, readers, writers
+from sigspark.sources.commits import Commit
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="sigspark")
     top.add_argument("-v", "--version", action="version", version=sigspark.__version__)
     commands = top.add_subparsers(dest="command", required=True)
-    prep = commands.add_parser("prep", help="events to sites")
-    prep.add_argument("--events", required=True)
-    prep.add_argument("--out", required=True)
-    prep.add_argument("--annotation", help="GTF or GFF3")
-    prep.add_argument("--fasta")
-    prep.add_argument("--genome", action="store_true", help="genome coordinates; needs --annotation and --fasta")
-    prep.add_argument("--readcount-min", type=int, default=1)
-    prep.add_argument("--readcount-max", type=int, default=1000)
-    prep.add_argument("--resume", action="store_true")
+    made = commands.add_parser("prep", help="events to sites")
+    made.add_argument("--events", required=True)
+    made.add_argument("--out", required=True)
+    made.add_argument("--annotation", help="GTF or GFF3")
+    made.add_argument("--fasta")
+    made.add_argument("--genome", action="store_true", help="genome coordinates; needs --annotation and --fasta")
+    made.add_argument("--readcount-min", type=int, default=1)
+    made.add_argument("--readcount-max", type=int, default=1000)
+    made.add_argument("--resume", action="store_true")
     diff = commands.add_parser("diff", help="sites to the result table")
     diff.add_argument("--config", required=True)
     diff.add_argument("--ids", nargs="+")
@@ -43,42 +43,44 @@ def parser() -> argparse.ArgumentParser:
 def run_prep(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.genome and not (args.annotation and args.fasta):
         raise SystemExit("--genome needs --annotation and --fasta")
-    done = writers.completed_ids(spark, f"{args.out}/data.readcount", "idx") if args.resume else None
-    events = readers.read_events(spark, args.events)
-    if args.genome:
-        fasta = readers.read_fasta(spark, args.fasta)
-        made = dataprep.genome_sites(events, readers.read_annotation(spark, args.annotation, fasta), fasta, args.readcount_min, args.readcount_max, done)
-    else:
-        made = dataprep.transcript_sites(events, args.readcount_min, args.readcount_max, done)
-    mode = "append" if done is not None else "overwrite"
-    writers.write_site_store(made.sites, args.out, mode)
-    writers.write_readcounts(made.counts, args.out, mode)
-    total = writers.write_status(spark.read.option("header", True).csv(f"{args.out}/data.readcount"), f"{args.out}/data.log")
-    print(f"{total} ids in {args.out}")
+    commit = Commit(spark, args.out, args.resume)
+    done = writers.completed_ids(spark, f"{args.out}/data.log", "idx") if args.resume else None
+    # The one pass over the events.
+    combined = commit.staged(prep.combine_reads(readers.read_events(spark, args.events, placed=True)), "combined")
+    try:
+        if args.genome:
+            fasta = readers.read_fasta(spark, args.fasta)
+            made = dataprep.genes_of(combined, readers.read_annotation(spark, args.annotation, fasta, placed=True), fasta, args.readcount_min, args.readcount_max, done)
+        else:
+            made = dataprep.transcripts_of(combined, args.readcount_min, args.readcount_max, done)
+        totals = writers.write_prepared(commit, made)
+        commit.finish()
+    finally:
+        commit.close()
+    print(f"{totals['ids']} ids in {args.out}, {totals['cut_short']} cut short, {totals['reads']} reads")
 
 
 def run_diff(spark: SparkSession, args: argparse.Namespace) -> None:
     design = config.load(args.config)
-    table = f"{design.out}/diffmod.table"
-    log = f"{design.out}/diffmod.log"
-    done = writers.completed_ids(spark, log, "idx") if args.resume else None
-    rows = readers.read_samples(spark, design.data)
+    commit = Commit(spark, design.out, args.resume)
+    done = writers.completed_ids(spark, f"{design.out}/diffmod.log", "idx") if args.resume else None
+    rows = readers.read_samples(spark, design.data, args.ids)
     if design.prior is None:
         raise SystemExit("the design needs prior: a CSV with model_kmer, model_mean, model_stdv")
     reference = readers.read_kmer_reference(spark, design.prior)
-    fits = diffmod.fit(rows, reference, design.runs, design.criteria, design.method, args.ids, done)
-    mode = "append" if done is not None else "overwrite"
-    if args.save_models:
-        # The table is made from the models that were written, so that nothing is fitted twice; of earlier ones, those that aren't done.
-        models = f"{design.out}/models"
-        writers.write_models(fits, models, mode)
-        fits = readers.read_models(spark, models)
-        fits = skip_done(fits, done) if done is not None else fits
-    writers.write_result_table(result_table(fits, design.runs, design.method.pooling, design.method.prefilter), table, mode)
-    seen = rows if args.ids is None else rows.filter(F.col("idx").isin(*args.ids))
-    # Every id that was looked at is finished, whether or not a site of it passed the filters.
-    total = writers.write_status(seen if done is None else skip_done(seen, done), log, mode)
-    print(f"{total} ids in {log}")
+    try:
+        fits = diffmod.fit(rows, reference, design.runs, design.criteria, design.method, args.ids, done)
+        if args.save_models:
+            # The table is made from the models that were written, so that nothing is fitted twice.
+            writers.write_models(fits, commit.path("models"))
+            fits = spark.read.parquet(commit.path("models"))
+        writers.write_result_table(result_table(fits, design.runs, design.method.pooling, design.method.prefilter), commit.path("diffmod.table"))
+        # Every id that was looked at is finished, whether or not a site of it passed the filters.
+        total = writers.write_status(rows if done is None else skip_done(rows, done), commit.path("diffmod.log"))
+        commit.finish()
+    finally:
+        commit.close()
+    print(f"{total} ids in {design.out}")
 
 
 def run_post(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -42,6 +42,28 @@ def combine_events(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def combine_reads(events: DataFrame) -> DataFrame:
+    """All that preparation needs of events, in one pass: (contig, read_index, position, reference_kmer, norm_mean, usable), with ``place`` if events have it.
+
+    A row per read, position and 5-mer. Those without a successful alignment stay, not usable, as their reads count as seen; norm_mean is that of combine_events,
+    place the first of a row's events. Rows without a contig or read are dropped.
+    """
+    own = ["contig", "read_index", "position", "reference_kmer"]
+    length = (F.col("length") if "length" in events.columns else F.col("end_idx") - F.col("start_idx")).cast("double")
+    good = F.coalesce(F.col("reference_kmer") == F.col("model_kmer"), F.lit(False)) & F.col("position").isNotNull()
+    rows = events.na.drop(subset=["contig", "read_index"]).withColumn("_good", good).withColumn("_length", length)
+    first = [F.min("place").alias("place")] if "place" in events.columns else []
+    of = lambda c: F.sum(F.when(F.col("_good"), c))
+    sums = rows.groupBy(*own).agg(of(F.col("event_level_mean").cast("double") * F.col("_length")).alias("s"), of(F.col("_length")).alias("l"), F.max("_good").alias("usable"), *first)
+    return sums.select("contig", "read_index", (F.col("position") + 2).alias("position"), "reference_kmer", rint(F.try_divide("s", "l"), 1).alias("norm_mean"), "usable", *(["place"] if first else []))
+
+
+def seen_reads(combined: DataFrame) -> DataFrame:
+    """(contig, read_index, usable, place): the reads of combine_reads, usable if they have two or more positions; place is null where events had none."""
+    place = F.min("place") if "place" in combined.columns else F.lit(None).cast("long")
+    return combined.groupBy("contig", "read_index").agg((F.count_if("usable") > 1).alias("usable"), place.alias("place"))
+
+
 def strip_version(name: str | Column) -> Column:
     """An id up to its first dot."""
     return F.substring_index(name, ".", 1)

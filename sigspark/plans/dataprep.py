@@ -13,38 +13,62 @@ from sigspark.operators import prep
 
 @dataclass(frozen=True)
 class Prepared:
-    #: (idx, position, kmer, y)
-    sites: DataFrame
-    #: (idx, n_reads)
-    counts: DataFrame
+    #: (idx, position, kmer, norm_mean, read_index): one value of a read each, masked positions included.
+    observed: DataFrame
+    #: (idx): all ids that had reads enough to be looked at.
+    ids: DataFrame
+    on_ambiguous: str = "stop"
+
+    @property
+    def sites(self) -> DataFrame:
+        """(idx, position, kmer, y)"""
+        return prep.collect_sites(prep.unambiguous_positions(self.observed, on_ambiguous=self.on_ambiguous))
+
+    @property
+    def counts(self) -> DataFrame:
+        """(idx, n_reads)"""
+        return prep.read_counts(self.observed, ["idx"])
+
+    @property
+    def status(self) -> DataFrame:
+        """(idx, n_reads, complete): complete unless a position's 5-mers cut the id's sites short; ids without a usable read have none to cut."""
+        known = self.counts.join(prep.complete_ids(self.observed), "idx")
+        return self.ids.join(known, "idx", "left").select("idx", F.coalesce("n_reads", F.lit(0)).alias("n_reads"), F.coalesce("complete", F.lit(True)).alias("complete"))
 
 
 def transcript_sites(events: DataFrame, least: int = 1, most: int = 1000, done: DataFrame | None = None, on_ambiguous: str = "stop") -> Prepared:
     """Sites by transcript: at most ``most`` + 1 reads of each, at least ``least`` of them."""
-    # The cap counts the reads seen, usable or not.
-    reads = prep.cap_reads(events.select("contig", "read_index").na.drop().distinct(), ["contig"], most)
+    return transcripts_of(prep.combine_reads(events), least, most, done, on_ambiguous)
+
+
+def transcripts_of(combined: DataFrame, least: int = 1, most: int = 1000, done: DataFrame | None = None, on_ambiguous: str = "stop") -> Prepared:
+    """The same of combined events (``prep.combine_reads``): events themselves are scanned once."""
+    # The cap counts the reads seen, usable or not, in the order of their lines or else of their numbers.
+    reads = prep.cap_reads(prep.seen_reads(combined), ["contig"], most, ["place", "read_index"])
     if done is not None:
         reads = prep.skip_done(reads.withColumn("idx", F.col("contig")), done).drop("idx")
     reads = prep.gate_reads(reads, ["contig"], least)
-    # Only the capped reads' events are combined.
-    rows = prep.usable_reads(prep.combine_events(prep.successful_alignments(events).join(reads, ["contig", "read_index"], "left_semi")))
+    rows = combined.filter("usable").join(reads.filter("usable"), ["contig", "read_index"], "left_semi")
     observed = rows.select(F.col("contig").alias("idx"), "position", F.col("reference_kmer").alias("kmer"), rint(F.col("norm_mean"), 2).alias("norm_mean"), "read_index")
-    return Prepared(prep.collect_sites(prep.unambiguous_positions(observed, on_ambiguous=on_ambiguous)), prep.read_counts(observed, ["idx"]))
+    return Prepared(observed, reads.select(F.col("contig").alias("idx")).distinct(), on_ambiguous)
 
 
 def genome_sites(events: DataFrame, exons: DataFrame, fasta: DataFrame, least: int = 1, most: int = 1000, done: DataFrame | None = None, on_ambiguous: str = "stop") -> Prepared:
     """Sites by gene, in genome coordinates."""
-    transcripts = exons.filter("gene_id is not null").select("tx_id", "gene_id").distinct()
-    named = events.withColumn("tx_id", prep.strip_version("contig"))
+    return genes_of(prep.combine_reads(events), exons, fasta, least, most, done, on_ambiguous)
+
+
+def genes_of(combined: DataFrame, exons: DataFrame, fasta: DataFrame, least: int = 1, most: int = 1000, done: DataFrame | None = None, on_ambiguous: str = "stop") -> Prepared:
+    """The same of combined events. A gene's transcripts are taken in the annotation's order if exons have a ``place``, else in that of their ids."""
+    order = F.min("place" if "place" in exons.columns else "tx_id")
+    transcripts = exons.filter("gene_id is not null").groupBy("tx_id", "gene_id").agg(order.alias("tx_ord"))
     genes = transcripts.join(fasta.select("tx_id"), "tx_id", "left_semi")
-    ordered = genes.withColumn("tx_ord", F.col("tx_id"))
-    reads = named.select("tx_id", "contig", "read_index").na.drop().distinct().join(ordered, "tx_id")
+    reads = prep.seen_reads(combined).withColumn("tx_id", prep.strip_version("contig")).join(genes, "tx_id")
     if done is not None:
         reads = prep.skip_done(reads.withColumn("idx", F.col("gene_id")), done).drop("idx")
-    reads = prep.cap_reads(prep.gate_reads(reads, ["gene_id"], least), ["gene_id"], most, ["tx_ord", "read_index", "contig"])
-    held = prep.successful_alignments(named).join(reads, ["contig", "read_index"], "left_semi")
-    combined = prep.usable_reads(prep.combine_events(held))
-    rows = combined.join(reads, ["contig", "read_index"])
-    rows = prep.gate_reads(prep.last_transcript_wins(rows), ["gene_id"], least)
+    reads = prep.cap_reads(prep.gate_reads(reads, ["gene_id"], least), ["gene_id"], most, ["tx_ord", "place", "read_index", "contig"])
+    # What a read's last transcript is, and whether its gene has reads enough, is decided on reads, before their observations come in.
+    held = prep.gate_reads(prep.last_transcript_wins(reads.filter("usable")), ["gene_id"], least)
+    rows = combined.filter("usable").drop("usable").join(held.select("contig", "read_index", "gene_id", "tx_id"), ["contig", "read_index"])
     placed = prep.tx_to_genome(rows, prep.exon_offsets(exons), fasta).select(F.col("gene_id").alias("idx"), F.col("g_pos").alias("position"), "kmer", "norm_mean", "read_index")
-    return Prepared(prep.collect_sites(prep.unambiguous_positions(placed, on_ambiguous=on_ambiguous)), prep.read_counts(placed, ["idx"]))
+    return Prepared(placed, held.select(F.col("gene_id").alias("idx")).distinct(), on_ambiguous)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from sigspark.functions.special import erfc_sql, norm_cdf_sql, norm_two_sided_sql
 from sigspark.operators import align, post, prep, stats
 from sigspark.plans import dataprep, diffmod, model_sql
-from sigspark.sources import readers, writers
+from sigspark.sources import readers, site_slices, writers
+from sigspark.sources.commits import Commit
 from sigspark.sources.config import Method
 
 RUNS = {c: [f"{c}-{s}" for s in "FO"] for c in "ANR"}
@@ -416,17 +417,28 @@ _TX_EVENTS = "select 'T' || cast(l_partkey % 20 as varchar(20)) || '.1' as conti
         "v_exons",
     ),
 )
-def genome_sites(spark, sf_dir):
+def genome_sites(spark, sf_dir, placed=False):
     events = spark.sql(_TX_EVENTS.replace("from lineitem", "from {source}").replace("varchar(20)", "string"), source=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     exons = _view(spark, sf_dir, "v_exons").withColumn("gene_id", F.expr("concat('G', cast(cast(substring(tx_id, 2) as bigint) div 2 as string))"))
     letter = _LETTER.format(i="i", t="cast(substring(tx_id, 2) as bigint)", div="div")
     length = exons.groupBy("tx_id").agg(F.sum(F.col("g_end") - F.col("g_start") + 1).alias("n"))
+    exons = exons.withColumn("place", -F.expr("cast(substring(tx_id, 2) as bigint)")) if placed else exons
     fasta = length.select("tx_id", F.expr(f"array_join(transform(sequence(0L, n - 1), i -> {letter}), '')").alias("seq"))
     sites = dataprep.genome_sites(events, exons, fasta, 1, 150).sites
     tenths = F.aggregate(F.transform("y", lambda v: F.rint(v * 10).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
     return sites.select("idx", "position", "kmer", F.size("y").cast("long").alias("n"), tenths.alias("tenths"))
 
 
+# The annotation lists a gene's transcripts from the one of the highest number down: not in the order of their ids.
+ORACLES["genome_sites_annotated_order"] = ORACLES["genome_sites"].replace("order by tx_id, read_index", "order by cast(substring(tx_id, 2) as bigint) desc, read_index").replace("tx_id = max(tx_id) over", "cast(substring(tx_id, 2) as bigint) = min(cast(substring(tx_id, 2) as bigint)) over")
+
+
+@query("genome_sites_annotated_order", ORACLES["genome_sites_annotated_order"])
+def genome_sites_annotated_order(spark, sf_dir):
+    """Which reads a gene's cap takes, and which transcript wins a read, go by the annotation's order."""
+    return genome_sites(spark, sf_dir, placed=True)
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new folder for files that a query writes and reads: in the cluster's shared folder, or, on a local master without one, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -446,6 +458,38 @@ def site_store_round_trip(spark, sf_dir):
     return readers.read_site_store(spark, f"{folder}/data.json").select("idx", "position", "kmer", F.array_join(tenths, ",").alias("y"))
 
 
+@query("site_slices", _sql(f"/*with*/ {_COMBINED} select run || ':' || idx as idx, position, kmer, string_agg(cast(cast(round_even(norm_mean * 10, 0) as bigint) as varchar), ',' order by norm_mean) as y from combined where (run || ':' || idx) in (select run || ':T' || cast(i as varchar) from (select distinct run from v_signal), range(10) as r(i) where i % 3 = 1) group by run, idx, position, kmer", "v_signal"))
+def site_slices_of_ids(spark, sf_dir):
+    """The store's slices of some ids of each run, found in its index."""
+    folder = _scratch(spark, "slices")
+    sites = prep.collect_sites(_combined(spark, sf_dir).withColumn("idx", F.concat("run", F.lit(":"), "idx")))
+    writers.write_site_store(sites, folder)
+    site_slices.write_index(spark, f"{folder}/data.json", f"{folder}/data.index")
+    ids = [f"{run}:T{i}" for c in RUNS for run in RUNS[c] for i in (1, 4, 7)]
+    tenths = F.transform("y", lambda v: F.rint(v * 10).cast("long").cast("string"))
+    return site_slices.read_slices(spark, folder, ids).select("idx", "position", "kmer", F.array_join(tenths, ",").alias("y"))
+
+
+_CUT_EVENTS = "select 'T' || cast(l_partkey % 20 as varchar(20)) as contig, l_suppkey as read_index, cast(l_orderkey % 2600 as bigint) as position, case when l_orderkey % 97 = 90 and l_partkey % 20 < 4 and l_suppkey % 3 = 0 then 'ACGTC' when l_orderkey % 98 = 97 and l_partkey % 20 = 7 then 'ACNTA' when l_orderkey % 5 = 0 and l_suppkey % 2 = 0 then 'XXXXX' else 'ACGTA' end as reference_kmer, case when l_quantity = 50 then 'NNNNN' end as other, l_quantity as length, l_extendedprice as event_level_mean from lineitem"
+
+
+@query(
+    "prep_log",
+    f"with v as ({_CUT_EVENTS}), seen as (select distinct contig, read_index from v), reads as (select * from seen qualify row_number() over (partition by contig order by read_index) <= 301), c as (select v.contig as idx, v.read_index, position, reference_kmer as kmer from v join reads on v.contig = reads.contig and v.read_index = reads.read_index where other is null group by all), "
+    "obs as (select * from c qualify count(*) over (partition by idx, read_index) > 1), n as (select idx, count(distinct read_index) as n_reads from obs group by idx), bad as (select distinct idx from (select idx, position from obs where kmer <> 'XXXXX' group by idx, position having count(distinct kmer) > 1 or bool_or(contains(kmer, 'N')))) "
+    "select i.idx, coalesce(n_reads, 0) as n_reads, bad.idx is null as complete from (select distinct contig as idx from reads) i left join n on i.idx = n.idx left join bad on i.idx = bad.idx",
+)
+def prep_log(spark, sf_dir):
+    """The log of a job that is committed: of every id its reads, and whether a position with several 5-mers cut its sites short."""
+    folder = _scratch(spark, "prepared")
+    events = spark.sql(_CUT_EVENTS.replace("from lineitem", "from {source}").replace("varchar(20)", "string"), source=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    commit = Commit(spark, folder)
+    combined = commit.staged(prep.combine_reads(events.withColumn("model_kmer", F.coalesce("other", "reference_kmer"))), "combined")
+    writers.write_prepared(commit, dataprep.transcripts_of(combined, 1, 300))
+    commit.finish()
+    return readers.read_prep_log(spark, folder)
+
+
 @query(
     "annotated_sequences",
     "select 'T' || cast(p_partkey as varchar) as tx_id, 'G' || cast(p_partkey % 50 as varchar) as gene_id, 'chr' || cast(p_partkey % 3 as varchar) as chr, case when p_partkey % 2 = 0 then '+' else '-' end as strand, 100 * p_partkey + 1000 * i as g_start, 100 * p_partkey + 1000 * i + p_size as g_end, replace(upper(p_type), ' ', '') as seq, cast(1 as bigint) as n from part, range(1, 3) as r(i)",

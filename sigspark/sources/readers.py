@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigspark.operators.prep import strip_version
+from sigspark.sources import commits, site_slices
+from sigspark.sources.lines import place
 
 #: Columns of an event table, by position.
 EVENTS = (
@@ -15,9 +19,10 @@ EVENTS = (
 SITE_MAP = "map<string,map<string,map<string,array<double>>>>"
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated event table with a header; gzip is read too."""
-    return spark.read.schema(EVENTS).option("sep", "\t").option("header", True).csv(path)
+def read_events(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
+    """Tab-separated event table with a header; gzip is read too. ``placed``: with the order of its lines (``place``)."""
+    rows = spark.read.schema(EVENTS).option("sep", "\t").option("header", True).csv(path)
+    return rows.withColumn("place", place()) if placed else rows
 
 
 def read_fasta(spark: SparkSession, path: str, keep_version: bool = False) -> DataFrame:
@@ -39,35 +44,51 @@ def annotation_dialect(spark: SparkSession, path: str) -> str:
     return "gff" if len(fields) > 8 and fields[8].startswith(("ID", "Parent")) else "gtf"
 
 
-def read_annotation(spark: SparkSession, path: str, fasta: DataFrame | None = None) -> DataFrame:
+def read_annotation(spark: SparkSession, path: str, fasta: DataFrame | None = None, placed: bool = False) -> DataFrame:
     """Exons (tx_id, gene_id, chr, strand, g_start, g_end) of a GTF or GFF3 file; versions are stripped.
 
-    GFF3 transcripts take the gene from the sequences' headers.
+    GFF3 transcripts take the gene from the sequences' headers. ``placed``: with the ``place`` of the transcript's first line, its own or an exon's.
     """
     dialect = annotation_dialect(spark, path)
     lines = spark.read.schema("chr string, source string, feature string, g_start long, g_end long, score string, strand string, frame string, attributes string")
-    rows = lines.option("sep", "\t").option("comment", "#").option("quote", "").csv(path).filter("feature = 'exon'")
+    rows = lines.option("sep", "\t").option("comment", "#").option("quote", "").csv(path).withColumn("place", place()).filter("feature in ('exon', 'transcript', 'mRNA')")
     if dialect == "gtf":
         field = lambda name: F.nullif(F.regexp_extract("attributes", rf'(?:^|;)\s*{name} "?([^";]+)"?', 1), F.lit(""))
         exons = rows.withColumn("tx_id", strip_version(field("transcript_id"))).withColumn("gene_id", strip_version(field("gene_id")))
     else:
-        exons = rows.withColumn("tx_id", strip_version(F.regexp_extract("attributes", r"transcript:([^;,]+)", 1)))
+        exons = rows.withColumn("tx_id", strip_version(F.regexp_extract("attributes", r"transcript:([^;,]+)", 1))).filter("feature <> 'transcript'")
         genes = fasta.select("tx_id", "gene_id").dropDuplicates(["tx_id"]) if fasta is not None else None
         exons = exons.join(genes, "tx_id", "left") if genes is not None else exons.withColumn("gene_id", F.lit(None).cast("string"))
-    return exons.filter("tx_id is not null and tx_id <> ''").select("tx_id", "gene_id", "chr", "strand", "g_start", "g_end").distinct()
+    first = F.min("place").over(Window.partitionBy("tx_id"))
+    found = exons.filter("tx_id is not null and tx_id <> ''").withColumn("place", first).filter("feature = 'exon'") if placed else exons.filter("feature = 'exon' and tx_id is not null and tx_id <> ''")
+    return found.select("tx_id", "gene_id", "chr", "strand", "g_start", "g_end", *(["place"] if placed else [])).distinct()
 
 
 def read_site_store(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, position, kmer, y) of JSON lines {id: {position: {kmer: [values]}}}."""
-    ids = spark.read.text(path).select(F.explode(F.from_json("value", SITE_MAP)).alias("idx", "positions"))
+    """(idx, position, kmer, y) of JSON lines {id: {position: {kmer: [values]}}}: of what was committed, where jobs commit."""
+    ids = spark.read.text(commits.paths(spark, path)).select(F.explode(F.from_json("value", SITE_MAP)).alias("idx", "positions"))
     positions = ids.select("idx", F.explode("positions").alias("position", "kmers"))
     return positions.select("idx", F.col("position").cast("long").alias("position"), F.explode("kmers").alias("kmer", "y"))
 
 
-def read_samples(spark: SparkSession, design: dict[str, dict[str, str]]) -> DataFrame:
-    """(condition, run, idx, position, kmer, norm_mean) of a design {condition: {run label: folder}}."""
+def read_store(spark: SparkSession, folder: str, ids: Sequence[str] | None = None) -> DataFrame:
+    """(idx, position, kmer, y) of a prepared folder; with ``ids``, of these, by their slices if the folder has an index of committed jobs."""
+    index = commits.paths(spark, f"{folder}/data.index")
+    if ids is not None and index != [f"{folder}/data.index"]:
+        return site_slices.read_slices(spark, folder, ids)
+    rows = read_site_store(spark, f"{folder}/data.json")
+    return rows if ids is None else rows.filter(F.col("idx").isin(*ids))
+
+
+def read_prep_log(spark: SparkSession, folder: str) -> DataFrame:
+    """(idx, n_reads, complete) of the ids that preparation has looked at."""
+    return spark.read.schema("idx string, n_reads long, complete boolean").option("header", True).csv(commits.paths(spark, f"{folder}/data.log"))
+
+
+def read_samples(spark: SparkSession, design: dict[str, dict[str, str]], ids: Sequence[str] | None = None) -> DataFrame:
+    """(condition, run, idx, position, kmer, norm_mean) of a design {condition: {run label: folder}}, of the given ids or all."""
     parts = [
-        read_site_store(spark, f"{folder}/data.json").select(F.lit(condition).alias("condition"), F.lit(run).alias("run"), "idx", "position", "kmer", F.explode("y").alias("norm_mean"))
+        read_store(spark, folder, ids).select(F.lit(condition).alias("condition"), F.lit(run).alias("run"), "idx", "position", "kmer", F.explode("y").alias("norm_mean"))
         for condition, runs in design.items()
         for run, folder in runs.items()
     ]
@@ -85,11 +106,11 @@ def read_kmer_reference(spark: SparkSession, path: str) -> DataFrame:
 
 def read_result_table(spark: SparkSession, path: str) -> DataFrame:
     """A result table; all columns but id, kmer and mod_assignment are numbers."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).csv(commits.paths(spark, path))
     text = {"id", "kmer", "mod_assignment"}
     return raw.select(*[F.col(f"`{c}`") if c in text else F.col(f"`{c}`").cast("long" if c == "position" else "double").alias(c) for c in raw.columns])
 
 
 def read_models(spark: SparkSession, path: str) -> DataFrame:
     """Saved models."""
-    return spark.read.parquet(path)
+    return spark.read.parquet(*commits.paths(spark, path))
