@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.utils import AnalysisException
 
 import sigspark
-from sigspark.operators import post, prep
+from sigspark.operators import align, post, prep
 from sigspark.operators.prep import skip_done
 from sigspark.operators.result import result_table
 from sigspark.plans import dataprep, diffmod
@@ -29,11 +29,13 @@ def parser() -> argparse.ArgumentParser:
     made.add_argument("--genome", action="store_true", help="genome coordinates; needs --annotation and --fasta")
     made.add_argument("--readcount-min", type=int, default=1)
     made.add_argument("--readcount-max", type=int, default=1000)
+    made.add_argument("--native", action="store_true", help="write the native store too")
     made.add_argument("--resume", action="store_true")
     diff = commands.add_parser("diff", help="sites to the result table")
     diff.add_argument("--config", required=True)
     diff.add_argument("--ids", nargs="+")
     diff.add_argument("--save-models", action="store_true")
+    diff.add_argument("--refit", metavar="FOLDER", help="folder of an earlier result whose saved models to start from")
     diff.add_argument("--resume", action="store_true")
     after = commands.add_parser("post", help="majority direction of the result table")
     after.add_argument("--dir", required=True)
@@ -53,7 +55,7 @@ def run_prep(spark: SparkSession, args: argparse.Namespace) -> None:
             made = dataprep.genes_of(combined, readers.read_annotation(spark, args.annotation, fasta, placed=True), fasta, args.readcount_min, args.readcount_max, done)
         else:
             made = dataprep.transcripts_of(combined, args.readcount_min, args.readcount_max, done)
-        totals = writers.write_prepared(commit, made)
+        totals = writers.write_prepared(commit, made, args.native)
         commit.finish()
     finally:
         commit.close()
@@ -65,11 +67,11 @@ def run_diff(spark: SparkSession, args: argparse.Namespace) -> None:
     commit = Commit(spark, design.out, args.resume)
     done = writers.completed_ids(spark, f"{design.out}/diffmod.log", "idx") if args.resume else None
     rows = readers.read_samples(spark, design.data, args.ids)
-    if design.prior is None:
-        raise SystemExit("the design needs prior: a CSV with model_kmer, model_mean, model_stdv")
-    reference = readers.read_kmer_reference(spark, design.prior)
+    # Without a table of 5-mers the samples' own signal stands for it: of all ids, whichever are asked for.
+    samples = rows if args.ids is None else readers.read_samples(spark, design.data)
+    reference = readers.read_kmer_reference(spark, design.prior) if design.prior else commit.staged(align.own_reference(samples), "reference")
     try:
-        fits = diffmod.fit(rows, reference, design.runs, design.criteria, design.method, args.ids, done)
+        fits = diffmod.fit(rows, reference, design.runs, design.criteria, design.method, args.ids, done, readers.read_models(spark, f"{args.refit}/models") if args.refit else None)
         if args.save_models:
             # The table is made from the models that were written, so that nothing is fitted twice.
             writers.write_models(fits, commit.path("models"))

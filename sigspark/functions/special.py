@@ -64,6 +64,40 @@ def norm_two_sided_sql(z: str) -> str:
     return erfc_sql(f"(abs({z}) / {2**0.5!r}e0)")
 
 
+#: Steps of the continued fraction of the incomplete beta function: STEPS and ROOTS times the root of the larger parameter.
+STEPS, ROOTS = 48, 5
+
+
+def _beta_fraction_sql(a: str, b: str, x: str) -> str:
+    """Lentz's continued fraction of the incomplete beta function, for x below its turning point."""
+    kept = lambda v: f"(case when abs({v}) < 1e-300 then 1e-300 else {v} end)"
+    even = f"(m * ({b} - m) * {x} / (({a} + 2 * m - 1) * ({a} + 2 * m)))"
+    odd = f"(-({a} + m) * ({a} + {b} + m) * {x} / (({a} + 2 * m) * ({a} + 2 * m + 1)))"
+    start = f"(1e0 / {kept(f'(1e0 - ({a} + {b}) * {x} / ({a} + 1))')})"
+
+    def step(state: str, up: str) -> str:
+        d, c = f"(1e0 / {kept(f'(1e0 + {up} * {state}.d)')})", kept(f"(1e0 + {up} / {state}.c)")
+        return f"transform(array(named_struct('d', {d}, 'c', {c})), w -> named_struct('d', w.d, 'c', w.c, 'f', {state}.f * w.d * w.c))[0]"
+
+    both = f"transform(array({step('s', even)}), h -> {step('h', odd)})[0]"
+    count = f"{STEPS} + cast({ROOTS} * sqrt(greatest({a}, {b})) as int)"
+    return f"aggregate(sequence(1, {count}), named_struct('d', {start}, 'c', 1e0, 'f', {start}), (s, m) -> {both}, s -> s.f)"
+
+
+def student_two_sided_column(t: str, df: str) -> Column:
+    """Two-sided p-value of Student's t in a column, as an expression of Spark SQL; null where t or df is."""
+    # Gamma(a + 1/2) / Gamma(a): ten steps up, then its asymptotic series.
+    up = " * ".join(f"((v.a + {k}) / (v.a + {k}.5e0))" for k in range(10))
+    r = "(v.a + 10)"
+    ratio = f"(0.5e0 * ln{r} - 1 / (8 * {r}) + 1 / (192 * pow({r}, 3)) - 1 / (640 * pow({r}, 5)) + 17 / (14336 * pow({r}, 7)))"
+    front = f"(exp({ratio} + v.a * ln(v.x) + 0.5e0 * ln(v.y)) * {up} / sqrt(pi()))"
+    low, high = f"{front} * {_beta_fraction_sql('v.a', '0.5e0', 'v.x')} / v.a", f"1e0 - {front} * {_beta_fraction_sql('0.5e0', 'v.a', 'v.y')} / 0.5e0"
+    value = f"case when v.y <= 0 then 1e0 when v.x <= 0 then 0e0 when v.x <= (v.a + 1) / (v.a + 2.5e0) then {low} else {high} end"
+    square = f"(cast({t} as double) * {t})"
+    one = f"named_struct('a', {df} / 2e0, 'x', if(isnan({square}) or {square} = double('infinity'), if(isnan({square}), double('nan'), 0e0), {df} / ({df} + {square})), 'y', if({square} = double('infinity'), 1e0, {square} / ({df} + {square})))"
+    return F.expr(f"case when {t} is null or {df} is null or {df} <= 0 then null when isnan({t}) then double('nan') else transform(array({one}), v -> {value})[0] end")
+
+
 def rint(x: Column, decimals: int = 0) -> Column:
     """Round half to even, as IEEE does (round() rounds half up)."""
     scale = 10.0**decimals

@@ -60,6 +60,25 @@ def qualified_runs(rows: DataFrame, least: int = 15, most: int = 1000, pooling:
     return gated.filter("_good >= 2" if pooling else "_good >= 2 and _ok").select(*SITE, "condition", "run")
 
 
+#: Of the quantile sketch: ranks are off by at most one part in so many.
+ACCURACY = 10_000
+#: Quartiles of a normal lie this many standard deviations apart.
+QUARTILES = 1.3489795003921634
+
+
+def own_reference(rows: DataFrame, value: str = "norm_mean", accuracy: int = ACCURACY, least: float = 0.1) -> DataFrame:
+    """(kmer, ref_mean, ref_std, n) of each 5-mer from observations themselves, where no table of them is given.
+
+    Median and scaled distance of the quartiles: sites of another signal, as long as they are fewer than a quarter of a 5-mer's observations,
+    move neither far. Quantiles come from a mergeable sketch, whose ranks are off by n / accuracy at most, so that no group is held by a task; the spread is
+    ``least`` or more.
+    """
+    quartiles = F.percentile_approx(F.col(value).cast("double"), [0.25, 0.5, 0.75], accuracy)
+    sums = rows.filter(F.col(value).isNotNull()).groupBy("kmer").agg(quartiles.alias("q"), F.count(F.lit(1)).alias("n"))
+    spread = (F.col("q")[2] - F.col("q")[0]) / QUARTILES
+    return sums.select("kmer", F.col("q")[1].alias("ref_mean"), F.greatest(spread, F.lit(least)).alias("ref_std"), "n")
+
+
 def with_reference(rows: DataFrame, kmer_ref: DataFrame) -> DataFrame:
     """Rows with ref_mean and ref_std of their 5-mer; rows of unknown 5-mers are left out (see unknown_kmers)."""
     # 5-mers bound the table at 4**5 + 1 rows.

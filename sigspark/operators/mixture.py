@@ -60,8 +60,13 @@ def _segments(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, axis=0)
 
 
-def fit_batch(y: list[np.ndarray], code: list[np.ndarray], n_groups: np.ndarray, mean: np.ndarray, sd: np.ndarray, settings: Settings = Settings()) -> dict[str, list | np.ndarray]:
-    """Fit all sites. Per site: location, lambda, alpha, beta (2 each), concentration and counts by group, elbo, iterations, converged."""
+def fit_batch(
+    y: list[np.ndarray], code: list[np.ndarray], n_groups: np.ndarray, mean: np.ndarray, sd: np.ndarray, settings: Settings = Settings(), start: dict[int, dict[str, np.ndarray]] | None = None
+) -> dict[str, list | np.ndarray]:
+    """Fit all sites. Per site: location, lambda, alpha, beta (2 each), concentration and counts by group, elbo, iterations, converged.
+
+    ``start``: by number of the site, a posterior (location, lam, alpha, beta, concentration) to begin with in place of the prior.
+    """
     sites = len(y)
     size = np.array([len(v) for v in y])
     prior_tau = 1 / (sd * sd)
@@ -72,6 +77,9 @@ def fit_batch(y: list[np.ndarray], code: list[np.ndarray], n_groups: np.ndarray,
     first_group = np.concatenate([[0], np.cumsum(n_groups)])
     conc = np.full((first_group[-1], 2), settings.concentration)
     counts = np.zeros((first_group[-1], 2))
+    for i, posterior in (start or {}).items():
+        location[i], lam[i], alpha[i], beta[i] = (posterior[k] for k in ("location", "lam", "alpha", "beta"))
+        conc[first_group[i] : first_group[i + 1]] = posterior["concentration"]
     elbo, rounds, converged = np.full(sites, -np.inf), np.zeros(sites, int), np.zeros(sites, bool)
 
     active = np.arange(sites)
@@ -153,13 +161,42 @@ def fit_batch(y: list[np.ndarray], code: list[np.ndarray], n_groups: np.ndarray,
 MODEL = "mu array<double>, sigma2 array<double>, lam array<double>, alpha array<double>, beta array<double>, concentration array<array<double>>, weights array<array<double>>, coverage array<double>, elbo double, iterations int, converged boolean"
 
 
+def fingerprint(packed: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Packed sites with ``digest``, which tells whether a saved model was fitted to the same observations under the same settings."""
+    of_site = [c for c in ("y", "groups", "code", "ref_mean", "ref_std") if c in packed.columns]
+    seeded = [F.xxhash64(*of_site, F.lit(f"{salt} {settings}")) for salt in (0, 1)]
+    return packed.withColumn("digest", F.concat_ws("-", *[h.cast("string") for h in seeded]))
+
+
+def from_saved(packed: DataFrame, models: DataFrame, key: tuple[str, ...] = ("idx", "position", "kmer")) -> DataFrame:
+    """Packed sites (with ``digest``) with the saved model of the same site as ``saved``, null where there is none.
+
+    Unchanged sites give their observations up: nothing but the saved model goes on.
+    """
+    saved = models.select(*key, F.struct(*[c for c in models.columns if c not in key]).alias("saved"))
+    joined = packed.join(saved, list(key), "left").withColumn("unchanged", F.coalesce(F.col("saved.digest") == F.col("digest"), F.lit(False)))
+    return joined.withColumn("y", F.when(F.col("unchanged"), F.slice("y", 1, 1)).otherwise(F.col("y"))).withColumn("code", F.when(F.col("unchanged"), F.slice("code", 1, 1)).otherwise(F.col("code")))
+
+
+def _posterior(saved: dict, groups: list[str], settings: Settings) -> dict[str, np.ndarray]:
+    """A saved model as a beginning for the given groups: those that it doesn't know begin with the prior."""
+    known = dict(zip(saved["groups"], saved["concentration"], strict=True))
+    prior = [settings.concentration] * 2
+    return {"location": np.array(saved["mu"]), "lam": np.array(saved["lam"]), "alpha": np.array(saved["alpha"]), "beta": np.array(saved["beta"]), "concentration": np.array([known.get(g, prior) for g in groups], float)}
+
+
 def fit_sites(packed: DataFrame, settings: Settings = Settings(), key: tuple[str, ...] = ("idx", "position", "kmer")) -> DataFrame:
-    """key, groups, ref_mean, ref_std (and p, if there) and the fitted model of every packed site with an observation."""
-    carried = [*key, *[c for c in ("ref_mean", "ref_std", "p") if c in packed.columns], "groups"]
+    """key, groups, ref_mean, ref_std (and p and digest, if there) and the fitted model of every packed site with an observation.
+
+    With ``saved`` and ``unchanged`` (``from_saved``) an unchanged site keeps its saved model as it is, and a changed one begins with it.
+    """
+    carried = [*key, *[c for c in ("ref_mean", "ref_std", "p", "digest") if c in packed.columns], "groups"]
+    again = "saved" in packed.columns
     schema = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in carried) + ", " + MODEL
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fit_batch([np.asarray(v, float) for v in pdf["y"]], [np.asarray(c, int) for c in pdf["code"]], np.array([len(g) for g in pdf["groups"]]), pdf["ref_mean"].to_numpy(float), pdf["ref_std"].to_numpy(float), settings)
+        start = {i: _posterior(m, list(g), settings) for i, (m, g) in enumerate(zip(pdf["saved"], pdf["groups"], strict=True)) if m is not None} if again else None
+        got = fit_batch([np.asarray(v, float) for v in pdf["y"]], [np.asarray(c, int) for c in pdf["code"]], np.array([len(g) for g in pdf["groups"]]), pdf["ref_mean"].to_numpy(float), pdf["ref_std"].to_numpy(float), settings, start)
         conc = got["concentration"]
         return pdf[carried].assign(
             mu=list(got["location"]),
@@ -176,8 +213,14 @@ def fit_sites(packed: DataFrame, settings: Settings = Settings(), key: tuple[str
             converged=got["converged"],
         )
 
+    own = [f.split()[0] for f in MODEL.split(", ")]
+
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
+            if again and pdf["unchanged"].any():
+                same = pdf[pdf["unchanged"]]
+                yield same[carried].assign(**{c: [m[c] for m in same["saved"]] for c in own})
+                pdf = pdf[~pdf["unchanged"]]
             sizes = pdf["y"].map(len).to_numpy().cumsum()
             first = 0
             while first < len(pdf):

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.functions.special import erfc_sql, norm_two_sided_sql, student_two_sided
+from sigspark.functions.special import erfc_sql, norm_two_sided_sql, student_two_sided_column
 
 
 def ttest_moments(rows: DataFrame, keys: Sequence[str], conditions: Sequence[str], value: str = "norm_mean") -> DataFrame:
@@ -26,13 +24,8 @@ def ttest_moments(rows: DataFrame, keys: Sequence[str], conditions: Sequence[str
 def ttest(rows: DataFrame, keys: Sequence[str], conditions: Sequence[str], value: str = "norm_mean") -> DataFrame:
     """The moments with the two-sided p-value (null where t is undefined)."""
     moments = ttest_moments(rows, keys, conditions, value)
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf.assign(p=student_two_sided(pdf["t"].to_numpy(float, na_value=np.nan), pdf["df"].to_numpy(float)))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moments.schema) + ", p double"
-    return moments.mapInPandas(work, schema)
+    held = settled(moments, [c for c in moments.columns if c != "t"], ["t"])
+    return settled(held.withColumn("p", student_two_sided_column("t", "df")), moments.columns, ["p"])
 
 
 #: Tests that a prefilter may name: (rows, keys, conditions) -> frame with a column p.

@@ -470,6 +470,43 @@ def site_slices_of_ids(spark, sf_dir):
     return site_slices.read_slices(spark, folder, ids).select("idx", "position", "kmer", F.array_join(tenths, ",").alias("y"))
 
 
+# Reference signal of 5-mers from the samples themselves.
+@query(
+    "own_kmer_reference",
+    _sql(f"/*with*/ {_COMBINED}, q as (select kmer, quantile_disc(norm_mean, [0.25, 0.5, 0.75]) as q, count(*) as n from combined group by kmer) select kmer, round(q[2], 6) as ref_mean, round(greatest((q[3] - q[1]) / {align.QUARTILES!r}e0, 0.1e0), 6) as ref_std, n from q", "v_signal"),
+)
+def own_kmer_reference(spark, sf_dir):
+    """Up to ACCURACY observations of a 5-mer the sketch's quantiles are exact."""
+    got = align.own_reference(_combined(spark, sf_dir))
+    return got.select("kmer", F.round("ref_mean", 6).alias("ref_mean"), F.round("ref_std", 6).alias("ref_std"), "n")
+
+
+@query("native_store_ids", _sql(f"/*with*/ {_COMBINED}, wanted as (select run || ':' || idx as idx from v_signal group by run, idx having count(*) % 2 = 0) select run || ':' || idx as idx, position, kmer, string_agg(cast(cast(round_even(norm_mean * 10, 0) as bigint) as varchar), ',' order by norm_mean) as y from combined where (run || ':' || idx) in (select idx from wanted) group by run, idx, position, kmer", "v_signal"))
+def native_store_ids(spark, sf_dir):
+    """The native store written, and the ids of a table read back: only their buckets are read."""
+    path = _scratch(spark, "native")
+    writers.write_native(prep.collect_sites(_combined(spark, sf_dir).withColumn("idx", F.concat("run", F.lit(":"), "idx"))), path)
+    wanted = _view(spark, sf_dir, "v_signal").groupBy("run", "idx").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 0").select(F.concat("run", F.lit(":"), "idx").alias("idx"))
+    tenths = F.transform("y", lambda v: F.rint(v * 10).cast("long").cast("string"))
+    return readers.read_native(spark, path, wanted).select("idx", "position", "kmer", F.array_join(tenths, ",").alias("y"))
+
+
+# Sites of odd positions get new reads after the first fit.
+@query("refitted_table", ORACLES["mixture_fit"].replace("round(loc0, 6) as mu0, round(loc1, 6) as mu1, round(b0 / a0, 6) as sigma20, round(b1 / a1, 6) as sigma21, rounds as iterations, converged", "position % 2 = 1 as changed, case when position % 2 = 0 then round(loc0, 6) end as mu0, case when position % 2 = 0 then round(loc1, 6) end as mu1, case when position % 2 = 0 then rounds end as iterations, converged"))
+def refitted_table(spark, sf_dir):
+    """Models refitted from saved ones: sites without new reads keep theirs (the values shown), the others begin with them."""
+    rows = _combined(spark, sf_dir)
+    reference = _reference(rows)
+    path = _scratch(spark, "models")
+    writers.write_models(diffmod.fit(rows.filter("read_index % 3 > 0 or position % 2 = 0"), reference, RUNS), path)
+    saved = readers.read_models(spark, path)
+    fits = diffmod.fit(rows, reference, RUNS, models=saved)
+    before = saved.select(*align.SITE, F.col("digest").alias("before"))
+    told = fits.join(before, list(align.SITE), "left").withColumn("changed", ~F.col("digest").eqNullSafe(F.col("before")))
+    same = lambda c: F.when(~F.col("changed"), c)
+    return told.select("idx", "position", "kmer", "changed", *[same(F.round(F.col("mu")[i], 6)).alias(f"mu{i}") for i in (0, 1)], same(F.col("iterations")).alias("iterations"), "converged")
+
+
 _CUT_EVENTS = "select 'T' || cast(l_partkey % 20 as varchar(20)) as contig, l_suppkey as read_index, cast(l_orderkey % 2600 as bigint) as position, case when l_orderkey % 97 = 90 and l_partkey % 20 < 4 and l_suppkey % 3 = 0 then 'ACGTC' when l_orderkey % 98 = 97 and l_partkey % 20 = 7 then 'ACNTA' when l_orderkey % 5 = 0 and l_suppkey % 2 = 0 then 'XXXXX' else 'ACGTA' end as reference_kmer, case when l_quantity = 50 then 'NNNNN' end as other, l_quantity as length, l_extendedprice as event_level_mean from lineitem"
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigspark.operators.prep import strip_version
-from sigspark.sources import commits, site_slices
+from sigspark.sources import commits, site_slices, writers
 from sigspark.sources.lines import place
 
 #: Columns of an event table, by position.
@@ -71,12 +72,35 @@ def read_site_store(spark: SparkSession, path: str) -> DataFrame:
     return positions.select("idx", F.col("position").cast("long").alias("position"), F.explode("kmers").alias("kmer", "y"))
 
 
-def read_store(spark: SparkSession, folder: str, ids: Sequence[str] | None = None) -> DataFrame:
-    """(idx, position, kmer, y) of a prepared folder; with ``ids``, of these, by their slices if the folder has an index of committed jobs."""
-    index = commits.paths(spark, f"{folder}/data.index")
-    if ids is not None and index != [f"{folder}/data.index"]:
+def read_native(spark: SparkSession, path: str, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """(idx, position, kmer, y) of a native store, of all ids, the given ones, or those of a table (column ``idx``).
+
+    Only the buckets of the wanted ids are read: of a table's ids, the buckets they fall into are asked for first, BUCKETS rows at most.
+    """
+    rows = spark.read.option("basePath", path).schema("idx string, position long, kmer string, y array<double>, bucket int").parquet(path)
+    if isinstance(ids, DataFrame):
+        wanted = ids.select("idx").distinct().withColumn("bucket", writers.bucket_of("idx"))
+        present = [r.bucket for r in wanted.select("bucket").distinct().collect()]
+        rows = rows.filter(F.col("bucket").isin(present)).join(wanted.filter("idx is not null"), ["bucket", "idx"], "left_semi")
+    elif ids is not None:
+        rows = rows.filter(F.col("bucket").isin(*[writers.bucket_of(F.lit(i)) for i in ids]) & F.col("idx").isin(*ids)) if ids else rows.limit(0)
+    return rows.select("idx", "position", "kmer", "y")
+
+
+def read_store(spark: SparkSession, folder: str, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """(idx, position, kmer, y) of a prepared folder, of all ids or some.
+
+    The native store goes first where every committed job wrote one; then, for given ids, slices of the JSON store; then its lines.
+    """
+    json_paths, native, index = (commits.paths(spark, f"{folder}/{name}") for name in ("data.json", "sites", "data.index"))
+    plain = lambda found, name: found == [f"{folder}/{name}"]
+    if not plain(native, "sites") and len(native) == len(json_paths):
+        return reduce(DataFrame.unionByName, [read_native(spark, path, ids) for path in native])
+    if ids is not None and not isinstance(ids, DataFrame) and not plain(index, "data.index"):
         return site_slices.read_slices(spark, folder, ids)
     rows = read_site_store(spark, f"{folder}/data.json")
+    if isinstance(ids, DataFrame):
+        return rows.join(ids.select("idx").distinct(), "idx", "left_semi")
     return rows if ids is None else rows.filter(F.col("idx").isin(*ids))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -13,6 +13,14 @@ from sigspark.sources import commits, site_slices
 from sigspark.sources.commits import Commit
 
 
+#: Buckets of ids of the native store, and tasks that one is dealt to.
+BUCKETS, DEALT = 64, 4
+
+
+def bucket_of(idx: str | Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(idx), F.lit(buckets)).cast("int")
+
+
 def write_site_store(sites: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """data.json: a line per id, {id: {position: {kmer: [values]}}}."""
     write_site_lines(sites, f"{folder}/data.json", mode)
@@ -30,16 +38,18 @@ def write_readcounts(counts: DataFrame, folder: str, mode: str = "overwrite") ->
     counts.select("idx", "n_reads").write.mode(mode).option("header", True).csv(f"{folder}/data.readcount")
 
 
-def write_prepared(commit: Commit, made: Prepared) -> dict[str, int]:
+def write_prepared(commit: Commit, made: Prepared, native: bool = False) -> dict[str, int]:
     """Store, index, counts and log of prepared ids, seen together once the commit is finished; totals of what this job did.
 
-    The observations are computed once. The log has every id that was looked at, with its reads and whether its sites were cut short, and so do the
+    ``native``: with the native store (``sites``), which readers prefer. The observations are computed once. The log has every id that was looked at, with its reads and whether its sites were cut short, and so do the
     totals, which are observed while the log is written.
     """
     held = replace(made, observed=commit.staged(made.observed, "observed"), ids=commit.staged(made.ids, "ids"))
     status = commit.staged(held.status, "status")
     write_site_lines(held.sites, commit.path("data.json"))
     site_slices.write_index(status.sparkSession, commit.path("data.json"), commit.path("data.index"))
+    if native:
+        write_native(held.sites, commit.path("sites"))
     status.filter("n_reads > 0").select("idx", "n_reads").write.option("header", True).csv(commit.path("data.readcount"))
     totals = Observation()
     seen = [F.count(F.lit(1)).alias("ids"), F.count_if(~F.col("complete")).alias("cut_short"), F.coalesce(F.sum("n_reads"), F.lit(0)).alias("reads")]
@@ -47,9 +57,19 @@ def write_prepared(commit: Commit, made: Prepared) -> dict[str, int]:
     return totals.get
 
 
-def write_sites_parquet(sites: DataFrame, folder: str, buckets: int = 64) -> None:
-    """The native store: long rows, partitioned by a bucket of the id, so that ids are pruned on reading."""
-    sites.withColumn("bucket", F.pmod(F.xxhash64("idx"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/sites")
+def write_sites_parquet(sites: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """The native store of a folder (``write_native``)."""
+    write_native(sites, f"{folder}/sites", buckets)
+
+
+def write_native(sites: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Long rows, partitioned by a bucket of the id and sorted by it, so that reading some ids skips buckets and row groups.
+
+    A bucket is dealt to DEALT tasks by position: an id of many sites isn't one task's.
+    """
+    dealt = F.pmod(F.xxhash64("position"), F.lit(DEALT))
+    rows = sites.withColumn("bucket", bucket_of("idx", buckets))
+    rows.repartition("bucket", dealt).sortWithinPartitions("bucket", "idx", "position").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def write_result_table(table: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -50,3 +50,18 @@ def test_rint_rounds_half_to_even(spark):
     rows = [(x,) for x in (0.25, 0.35, 2.45, 100.05, 1.15, 100.525)]
     got = [r[0] for r in spark.createDataFrame(rows, "x double").select(special.rint(F.col("x"), 1)).collect()]
     assert got == [0.2, 0.4, 2.4, 100.0, 1.2, 100.5]
+
+
+def test_student_in_sql_equals_numpy(spark):
+    """Over small and large t and degrees of freedom, both sides of the fraction's turning point, and undefined values."""
+    dfs = [1, 2, 3, 5, 10, 30, 97, 1000, 19_998, 1_000_000]
+    ts = [0.0, 1e-9, 1e-3, 0.1, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0, 20.0, 100.0, 1e6]
+    cases = [(float(sign * t), d) for d in dfs for t in ts for sign in (1, -1)]
+    frame = spark.createDataFrame(cases, "t double, df long")
+    got = frame.select("t", "df", special.student_two_sided_column("t", "df").alias("p")).toPandas()
+    want = special.student_two_sided(got["t"].to_numpy(), got["df"].to_numpy())
+    # Numpy's difference of log-gammas has 8 digits at a million degrees of freedom.
+    assert np.allclose(got["p"], want, rtol=np.where(got["df"] < 100_000, 1e-9, 1e-7), atol=1e-300)
+    odd = spark.createDataFrame([(None, 5), (1.0, None), (1.0, 0), (float("nan"), 5), (float("inf"), 5), (float("-inf"), 5)], "t double, df long")
+    p = [r.p for r in odd.select(special.student_two_sided_column("t", "df").alias("p")).collect()]
+    assert p[:3] == [None] * 3 and np.isnan(p[3]) and p[4:] == [0.0, 0.0]
