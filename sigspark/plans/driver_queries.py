@@ -492,7 +492,7 @@ def native_store_ids(spark, sf_dir):
 
 
 # Sites of odd positions get new reads after the first fit.
-@query("refitted_table", ORACLES["mixture_fit"].replace("round(loc0, 6) as mu0, round(loc1, 6) as mu1, round(b0 / a0, 6) as sigma20, round(b1 / a1, 6) as sigma21, rounds as iterations, converged", "position % 2 = 1 as changed, case when position % 2 = 0 then round(loc0, 6) end as mu0, case when position % 2 = 0 then round(loc1, 6) end as mu1, case when position % 2 = 0 then rounds end as iterations, converged"))
+@query("refitted_table", ORACLES["mixture_fit"].replace("round(loc0, 6) as mu0, round(loc1, 6) as mu1, round(b0 / a0, 6) as sigma20, round(b1 / a1, 6) as sigma21, rounds as iterations, converged", "position % 2 = 1 as changed, case when position % 2 = 0 then round(loc0, 6) end as mu0, case when position % 2 = 0 then round(loc1, 6) end as mu1, case when position % 2 = 0 then rounds else 0 end as iterations, converged"))
 def refitted_table(spark, sf_dir):
     """Models refitted from saved ones: sites without new reads keep theirs (the values shown), the others begin with them."""
     rows = _combined(spark, sf_dir)
@@ -504,7 +504,7 @@ def refitted_table(spark, sf_dir):
     before = saved.select(*align.SITE, F.col("digest").alias("before"))
     told = fits.join(before, list(align.SITE), "left").withColumn("changed", ~F.col("digest").eqNullSafe(F.col("before")))
     same = lambda c: F.when(~F.col("changed"), c)
-    return told.select("idx", "position", "kmer", "changed", *[same(F.round(F.col("mu")[i], 6)).alias(f"mu{i}") for i in (0, 1)], same(F.col("iterations")).alias("iterations"), "converged")
+    return told.select("idx", "position", "kmer", "changed", *[same(F.round(F.col("mu")[i], 6)).alias(f"mu{i}") for i in (0, 1)], same(F.col("iterations")).otherwise(0).alias("iterations"), "converged")
 
 
 _CUT_EVENTS = "select 'T' || cast(l_partkey % 20 as varchar(20)) as contig, l_suppkey as read_index, cast(l_orderkey % 2600 as bigint) as position, case when l_orderkey % 97 = 90 and l_partkey % 20 < 4 and l_suppkey % 3 = 0 then 'ACGTC' when l_orderkey % 98 = 97 and l_partkey % 20 = 7 then 'ACNTA' when l_orderkey % 5 = 0 and l_suppkey % 2 = 0 then 'XXXXX' else 'ACGTA' end as reference_kmer, case when l_quantity = 50 then 'NNNNN' end as other, l_quantity as length, l_extendedprice as event_level_mean from lineitem"
