@@ -4,7 +4,8 @@ Documents are counted by source and exact length. A source whose target is T wor
 its documents floor(T / Z) times; of the remaining budget each length takes its proportional share of its documents, and a
 bounded knapsack over the remaining length counts closes the rest. Many lengths close it to the word; where they
 don't, half of the proportional share and then all of it is given back to the program, so that for a budget of up to ``CELLS`` common
-steps of the lengths no choice of documents comes nearer from below. Larger budgets are closed in passes, each in steps as fine as ``CELLS`` sums allow. Which documents of a
+steps of the lengths no choice of documents comes nearer from below. Larger budgets are closed in passes, each in steps as fine as ``CELLS`` sums allow, and a last
+pass over the residues of one length closes what they leave. Which documents of a
 length are taken is drawn by a seeded hash: a (source, length) group is dealt into ``DEALT`` cells, whole cells
 are taken in turn, and only the one cell at the edge is sorted.
 
@@ -28,6 +29,8 @@ from sigspark.llm.lineage import Tables
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Sums that one pass of the dynamic program tells apart: the bound of its memory (5 bytes each).
 CELLS = 1 << 22
+#: Parts that the last pass, over residues, adds at most.
+ITEMS = 4096
 #: Words that single documents, from the longest down, leave to the first try of the program.
 RESERVE = 1 << 16
 #: Cells that the documents of a length are dealt into.
@@ -100,11 +103,80 @@ def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> tupl
     return taken, step == common
 
 
+def choose_exactly(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int] | None:
+    """The choice whose sum is nearest below a budget, by its different sums; None if there may be more than CELLS of them."""
+    most = [min(c, budget // n) for n, c in zip(lengths, counts, strict=True)]
+    if math.prod(m + 1 for m in most) > CELLS:
+        return None
+    sums, by, before = np.zeros(1, np.int64), [], []
+    for n, m in zip(lengths, most, strict=True):
+        before.append(sums)
+        found, first = np.unique((sums[None, :] + n * np.arange(m + 1)[:, None]).ravel(), return_index=True)
+        by.append(first // len(sums))
+        fits = found <= budget
+        sums, by[-1] = found[fits], by[-1][fits]
+    taken, total = [0] * len(lengths), int(sums[-1])
+    for i in range(len(lengths) - 1, -1, -1):
+        known = before[i + 1] if i + 1 < len(lengths) else sums
+        taken[i] = int(by[i][np.searchsorted(known, total)])
+        total -= taken[i] * lengths[i]
+    return taken
+
+
+def close_residue(lengths: Sequence[int], counts: Sequence[int], taken: Sequence[int], left: int) -> list[int]:
+    """A choice that leaves less of a budget of which ``taken`` leaves ``left``, however large the budget is.
+
+    Documents of one length, that of which most words are taken, are given back for others: what those others sum to matters only up to multiples of
+    that length, so that the program has as many states as it has steps. Others are added in doubling parts, as far as what is taken of the one can pay for them.
+    """
+    step = math.gcd(*lengths)
+    bases = [i for i, n in enumerate(lengths) if taken[i] and n // step <= CELLS]
+    if not bases:
+        return list(taken)
+    base = max(bases, key=lambda i: taken[i] * lengths[i])
+    states, room = lengths[base] // step, taken[base] * lengths[base] + left
+    items: list[tuple[int, int]] = []
+    part = 1
+    while len(items) < ITEMS:
+        some = [(i, min(part, counts[i] - taken[i] - part + 1)) for i in range(len(lengths)) if i != base and counts[i] - taken[i] >= part]
+        if not some:
+            break
+        for i, more in some:
+            if more * lengths[i] <= room:
+                room -= more * lengths[i]
+                items.append((i, more))
+        part *= 2
+    # Which item made a residue reachable; the residue without it was reachable by earlier items.
+    by, reach = np.full(states, -1, np.int32), np.zeros(states, bool)
+    reach[0] = True
+    for k, (i, more) in enumerate(items):
+        shift = more * lengths[i] // step % states
+        new = np.flatnonzero(np.roll(reach, shift) & ~reach)
+        reach[new], by[new] = True, k
+        if reach.all():
+            break
+    # The residue wanted, or else the nearest below.
+    wanted = left // step % states
+    below = (wanted - np.flatnonzero(reach)) % states
+    at = (wanted - int(below.min())) % states
+    out, added = list(taken), 0
+    while by[at] >= 0:
+        i, more = items[by[at]]
+        out[i] += more
+        added += more * lengths[i]
+        at = (at - more * lengths[i] // step) % states
+    out[base] -= -(-(added - left) // lengths[base])
+    return out if 0 <= out[base] <= counts[base] else list(taken)
+
+
 def fit_lengths(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
     """Documents to take of each length (longest first) for a budget of words."""
     total = sum(a * b for a, b in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
+    exact = choose_exactly(lengths, counts, budget)
+    if exact is not None:
+        return exact
     least = budget % math.gcd(*lengths)  # no choice leaves less
     best, open_ = [0] * len(lengths), budget
     for kept in (2, 1, 0):
@@ -131,6 +203,10 @@ def fit_lengths(lengths: Sequence[int], counts: Sequence[int], budget: int) -> l
             best, open_ = taken, left
         if open_ <= least:
             break
+    if open_ > least:
+        other = close_residue(lengths, counts, best, open_)
+        left = budget - sum(a * b for a, b in zip(lengths, other, strict=True))
+        best = other if 0 <= left < open_ else best
     return best
 
 

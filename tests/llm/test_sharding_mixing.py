@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -118,3 +120,29 @@ def test_hot_length_is_dealt_by_cells(spark):
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("five words in each text").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
     taken = mixing.mix(rows, weights=(1, 3), share=0.5).groupBy("source").agg(F.sum(F.col("times") * F.col("size")).alias("n"), F.max("target").alias("t")).collect()
     assert all(abs(r.n - r.t) < 6 for r in taken)
+
+
+def test_large_budgets_are_closed_to_the_word():
+    """Sums far beyond what one pass tells apart: lengths over 100,000 words."""
+    lengths, counts = [999_999, 777_777, 555_554], [10**6] * 3
+    taken = mixing.fit_lengths(lengths, counts, 10**12 + 7)
+    assert sum(a * b for a, b in zip(lengths, taken, strict=True)) == 10**12 + 7 and all(0 <= a <= b for a, b in zip(taken, counts, strict=True))
+    rng = random.Random(6)
+    for _ in range(6):
+        lengths = sorted({rng.randint(10**5, 3 * 10**6) for _ in range(rng.randint(2, 6))}, reverse=True)
+        counts = [rng.randint(50, 10**5) for _ in lengths]
+        budget = sum(a * b for a, b in zip(lengths, counts, strict=True)) // rng.randint(2, 5)
+        taken = mixing.fit_lengths(lengths, counts, budget)
+        assert all(0 <= a <= b for a, b in zip(taken, counts, strict=True))
+        assert 0 <= budget - sum(a * b for a, b in zip(lengths, taken, strict=True)) < 1000
+
+
+def test_few_long_documents_equal_brute_force():
+    rng = random.Random(7)
+    for _ in range(20):
+        lengths = sorted({rng.randint(10**5, 3 * 10**6) for _ in range(rng.randint(1, 4))}, reverse=True)
+        counts = [rng.randint(1, 6) for _ in lengths]
+        budget = rng.randint(1, sum(a * b for a, b in zip(lengths, counts, strict=True)))
+        best = max(s for c in itertools.product(*[range(c + 1) for c in counts]) if (s := sum(a * b for a, b in zip(lengths, c, strict=True))) <= budget)
+        taken = mixing.fit_lengths(lengths, counts, budget)
+        assert all(0 <= a <= b for a, b in zip(taken, counts, strict=True)) and sum(a * b for a, b in zip(lengths, taken, strict=True)) == best
