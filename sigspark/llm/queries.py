@@ -48,9 +48,10 @@ def labelled_urls(pages: DataFrame) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules, and boosted trees where no rule fits, on every page's url."""
+    """Rules, and boosted trees where no rule fits, on every page's url. The trees learn from urls that no rule decides."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    model = url_filters.fit(labelled_urls(pages))
+    rule, _ = url_filters.rule_for(url_filters.host_of("url"), url_filters.path_of("url"), RULES)
+    model = url_filters.fit(labelled_urls(pages.filter(rule.isNull())))
     return url_filters.judge(pages, RULES, model)
 
 

@@ -1,9 +1,10 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for what no rule decides.
 
-Features: lengths of url, host and path; depth; labels of the host; shares of digits and of other characters; entropy;
-number of parameters; and of the host's last label, last two labels and whole the smoothed block rate and count among the
-labelled URLs (each labelled URL is left out of its own statistics). Trees are grown level by level on quantile bins under logistic loss,
-in numpy on the driver, from at most ``SAMPLE`` labelled URLs (those with the smallest hashes).
+Features: lengths of url, host and path; depth; labels of the host, hyphens in it and its longest run between dots and hyphens; shares of digits and of
+other characters; entropy; number of parameters; and of the host's last label and last two labels, and of the words that its labels are made of, the
+smoothed block rate among the labelled hosts. A host is one vote; hosts are dealt into folds, and a host's statistics are those of the other folds, in training as in
+judging: what trees learn of them is what they say of hosts that weren't seen, and no host is remembered. Features are counted over the bytes of a batch at once; trees (``boosting``) are grown on the driver from at most ``SAMPLE``
+labelled URLs (those with the smallest hashes).
 
 Defined results: a null url, or one without ``://``, has empty host and path, matches no rule and goes to
 the method; without labelled URLs the method allows everything; equal urls get equal verdicts; rows that repeat give
@@ -12,22 +13,28 @@ equal rows; an empty table gives an empty table; other columns of the input are
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigspark.llm import boosting
+from sigspark.llm.bytetext import string_buffers
+
 #: Labelled URLs that the trees are trained on, at most.
 SAMPLE = 20_000
-TREES, DEPTH, BINS, RATE, LEAF = 40, 3, 32, 0.2, 20.0
-#: Weight of the overall block rate in a suffix's rate.
-PRIOR = 20.0
+TREES, DEPTH, BINS, RATE, LEAF = 40, 3, 32, 0.2, 2.0
+#: Hosts of the overall block rate that a suffix's or word's rate is smoothed by.
+PRIOR = 1.0
+#: Folds of hosts.
+FOLDS = 8
 
 _URL = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,105 +62,103 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return rule, verdict
 
 
-def _suffixes(host: str) -> tuple[str, str, str]:
-    parts = host.split(".")
-    return parts[-1], ".".join(parts[-2:]), host
+def _parts(url: str | None) -> tuple[str, str]:
+    """Host and path."""
+    found = _URL.match(url or "")
+    return (found.group(1).translate(_LOWERED), found.group(2)) if found else ("", "")
+
+
+def _fold(host: str) -> int:
+    return zlib.crc32(host.encode()) % FOLDS
+
+
+def _keys(host: str) -> list[tuple[int, str]]:
+    """What a host has votes under: its last label, its last two, and its words."""
+    labels = host.split(".")
+    return [(0, labels[-1]), (1, ".".join(labels[-2:])), *dict.fromkeys((2, w) for x in labels[:-1] for w in x.split("-") if w)]
+
 
+def _counted(texts: Sequence[str], kinds: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: its bytes, how many of them are of each kind, the entropy of its bytes, the longest run without dot, hyphen or colon."""
+    data, at = string_buffers(pa.array(texts, pa.large_string()))
+    data = data[at[0] : at[-1]] if len(data) else data
+    at = at - at[0]
+    n, size = len(texts), np.diff(at)
+    row = np.repeat(np.arange(n), size)
+    found = np.stack([np.bincount(row[np.isin(data, np.frombuffer(k.encode(), np.uint8))], minlength=n) for k in kinds], axis=1) if kinds else np.zeros((n, 0))
+    cells, counts = np.unique(row * 256 + data, return_counts=True)
+    share = counts / np.maximum(size, 1)[cells // 256]
+    entropy = np.bincount(cells // 256, -share * np.log2(share), n)
+    # Ends of runs: separators, and the ends of texts.
+    cut = np.union1d(np.flatnonzero(np.isin(data, np.frombuffer(b".-:", np.uint8))), at[1:] - 1)
+    cut = cut[cut >= 0]
+    run = np.diff(np.concatenate([[-1], cut]))
+    longest = np.zeros(n, int)
+    np.maximum.at(longest, row[cut], run) if len(cut) else None
+    return size, found, entropy, longest
 
-def lexical(url: str | None) -> list[float]:
-    url = url or ""
-    found = _URL.match(url)
-    host, path = (found.group(1).translate(_LOWERED), found.group(2)) if found else ("", "")
-    n = max(1, len(url))
-    digits = sum(c.isdigit() for c in url)
-    odd = sum(not c.isalnum() and c not in "/.:" for c in url)
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(url).values())
-    query = url.partition("#")[0].partition("?")[2]
-    return [len(url), len(host), len(path), path.count("/"), host.count(".") + 1, digits / n, odd / n, entropy, len([x for x in query.split("&") if x])]
+
+_DIGITS = "0123456789"
+_PLAIN = "/.:" + _DIGITS + _UPPER + _LOWER
+
+
+def lexical(urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+    """A row of lexical features for each url."""
+    size, found, entropy, _ = _counted([u or "" for u in urls], [_DIGITS, _PLAIN, "&", "?"])
+    host_size, of_host, _, longest = _counted(hosts, [".", "-", _DIGITS])
+    path_size, of_path, _, _ = _counted(paths, ["/", _DIGITS])
+    whole = np.maximum(size, 1)
+    return np.column_stack([
+        size, host_size, path_size, of_path[:, 0], of_host[:, 0] + 1, of_host[:, 1], longest, of_host[:, 2], of_path[:, 1], found[:, 0] / whole, (size - found[:, 1]) / whole, entropy,
+        found[:, 2] + (found[:, 3] > 0),
+    ]).astype(float)
 
 
 @dataclass
 class Model:
-    """Boosted trees of equal depth: feature and bound by node, values by leaf."""
-
-    base: float
+    trees: boosting.Trees
     rate: float = 0.0
-    suffixes: dict[tuple[int, str], tuple[float, float]] = field(default_factory=dict)
-    trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-
-    def features(self, urls: Sequence[str | None], own: Sequence[int] | None = None) -> np.ndarray:
-        """``own``: labels of the URLs if they are those that the statistics were made from."""
-        rows = []
-        for k, url in enumerate(urls):
-            found = _URL.match(url or "")
-            stats = []
-            for level, suffix in enumerate(_suffixes(found.group(1).translate(_LOWERED) if found else "")):
-                blocked, count = self.suffixes.get((level, suffix), (0.0, 0.0))
-                if own is not None:
-                    blocked, count = blocked - own[k], count - 1
-                stats += [(blocked + PRIOR * self.rate) / (count + PRIOR), math.log1p(count)]
-            rows.append(lexical(url) + stats)
-        return np.array(rows, float).reshape(len(rows), 15)
-
-    def probability(self, urls: Sequence[str | None]) -> np.ndarray:
-        """Of being blocked."""
-        x = self.features(urls)
-        z = np.full(len(x), self.base)
-        for feature, bound, value in self.trees:
-            z += value[_leaf(x, feature, bound)]
+    #: By suffix and word, of each fold the blocked hosts and all hosts.
+    votes: dict[tuple[int, str], np.ndarray] = field(default_factory=dict)
+
+    def statistics(self, hosts: Sequence[str]) -> np.ndarray:
+        """Of each host the rates of its last label, its last two, and the least and greatest of its words."""
+        none = np.zeros((FOLDS, 2))
+
+        def rates(host: str) -> tuple[float, ...]:
+            out: list[list[float]] = [[], [], []]
+            for level, key in _keys(host):
+                of_key = self.votes.get((level, key), none)
+                blocked, count = of_key.sum(axis=0) - of_key[_fold(host)]
+                out[level].append((blocked + PRIOR * self.rate) / (count + PRIOR))
+            words = out[2] or [self.rate]
+            return out[0][0], out[1][0], min(words), max(words)
+
+        known = {h: rates(h) for h in set(hosts)}
+        return np.array([known[h] for h in hosts], float).reshape(len(hosts), 4)
+
+    def probability(self, urls: Sequence[str | None], parts: Sequence[tuple[str, str]] | None = None) -> np.ndarray:
+        """Of being blocked. ``parts``: the urls' hosts and paths, if they are known."""
+        hosts, paths = zip(*(parts or [_parts(u) for u in urls]), strict=True) if len(urls) else ((), ())
+        z = self.trees.margin(np.hstack([lexical(urls, hosts, paths), self.statistics(hosts)])) if len(urls) else np.zeros(0)
         return 1 / (1 + np.exp(-z))
 
 
-def _leaf(x: np.ndarray, feature: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    node = np.zeros(len(x), int)
-    for _ in range(DEPTH):
-        node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > bound[node])
-    return node - (2**DEPTH - 1)
-
-
 def train(urls: Sequence[str | None], blocked: Sequence[int]) -> Model:
     """Trees for labelled URLs (1: block)."""
     y = np.array(blocked, float)
-    rate = float(y.mean()) if len(y) else 0.0
-    if not 0 < rate < 1:
-        return Model(-20.0 if rate == 0 else 20.0, rate)
-    sums: dict[tuple[int, str], list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for url, label in zip(urls, blocked, strict=True):
-        found = _URL.match(url or "")
-        for key in enumerate(_suffixes(found.group(1).translate(_LOWERED) if found else "")):
-            sums[key][0] += label
-            sums[key][1] += 1
-    model = Model(math.log(rate / (1 - rate)), rate, {k: (a, b) for k, (a, b) in sums.items()})
-    x = model.features(urls, blocked)
-    bounds = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) for column in x.T]
-    bins = np.stack([np.searchsorted(b, column) for b, column in zip(bounds, x.T, strict=True)], axis=1)
-    z = np.full(len(y), model.base)
-    for _ in range(TREES):
-        p = 1 / (1 + np.exp(-z))
-        g, h = y - p, p * (1 - p)
-        feature, bound, node = np.zeros(2**DEPTH - 1, int), np.full(2**DEPTH - 1, np.inf), np.zeros(len(y), int)
-        for level in range(DEPTH):
-            first, width = 2**level - 1, 2**level
-            best = np.zeros(width)
-            for f in range(x.shape[1]):
-                if not len(bounds[f]):
-                    continue
-                cell = (node - first) * (BINS + 1) + bins[:, f]
-                gs, hs = (np.bincount(cell, v, width * (BINS + 1)).reshape(width, -1).cumsum(axis=1) for v in (g, h))
-                gain = gs**2 / (hs + 1) + (gs[:, -1:] - gs) ** 2 / (hs[:, -1:] - hs + 1) - gs[:, -1:] ** 2 / (hs[:, -1:] + 1)
-                gain[(hs < LEAF / 4) | (hs[:, -1:] - hs < LEAF / 4)] = 0
-                gain = gain[:, : len(bounds[f])]
-                cut = gain.argmax(axis=1)
-                top = gain[np.arange(width), cut]
-                better = top > best + 1e-9
-                best[better] = top[better]
-                feature[first : first + width][better] = f
-                bound[first : first + width][better] = bounds[f][cut[better]]
-            node = 2 * node + 1 + (x[np.arange(len(y)), feature[node]] > bound[node])
-        leaf = node - (2**DEPTH - 1)
-        value = RATE * np.bincount(leaf, g, 2**DEPTH) / (np.bincount(leaf, h, 2**DEPTH) + 1)
-        model.trees.append((feature, bound, value))
-        z += value[leaf]
+    hosts, paths = zip(*[_parts(u) for u in urls], strict=True) if len(urls) else ((), ())
+    labels: dict[str, list[float]] = defaultdict(list)
+    for host, label in zip(hosts, blocked, strict=True):
+        labels[host].append(label)
+    share = {host: sum(x) / len(x) for host, x in labels.items()}
+    sums: dict[tuple[int, str], np.ndarray] = defaultdict(lambda: np.zeros((FOLDS, 2)))
+    for host, blocked_share in share.items():
+        for key in _keys(host):
+            sums[key][_fold(host)] += blocked_share, 1
+    model = Model(boosting.Trees(-20.0, DEPTH), sum(share.values()) / max(1, len(share)), dict(sums))
+    if len(urls):
+        model.trees = boosting.grow(np.hstack([lexical(urls, hosts, paths), model.statistics(hosts)]), y, TREES, DEPTH, BINS, RATE, LEAF)
     return model
 
 
@@ -186,7 +191,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], model: Model,
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            p = model.probability([None if u is None else u for u in pdf["url"]])
+            p = model.probability(pdf["url"].tolist(), list(zip(pdf["host"], pdf["path"], strict=True)))
             own = np.where(p >= 0.5, "block", "allow")
             yield pdf.assign(verdict=np.where(pdf["said"].isna(), own, pdf["said"]), score=p)[["page_id", "host", "path", "rule", "verdict", "score"]]
 

@@ -101,6 +101,42 @@ def test_given_pages_are_judged_by_their_urls(spark, sf_dir):
     assert said[True, "block"] >= 8 and said[False, "block"] <= 0.02 * said[False, "allow"] and said[True, "allow"] <= said[True, "block"]
 
 
+def test_hosts_outside_the_fit_are_judged(spark):
+    """Three folds of hosts: no host, and so none of its words that other hosts lack, is in the fit that judges it."""
+    rows = labelled_urls(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()
+    fold = lambda u: zlib.crc32(split(u)[0].encode()) % 3
+    said = Counter()
+    for k in range(3):
+        model = url_filters.train(*zip(*[(r.url, r.blocked) for r in rows if fold(r.url) != k], strict=True))
+        held = [r for r in rows if fold(r.url) == k]
+        said.update(zip((r.blocked for r in held), (model.probability([r.url for r in held]) >= 0.5).tolist(), strict=True))
+    assert said[1, True] / (said[1, True] + said[1, False]) > 0.9  # recall
+    assert said[1, True] / (said[1, True] + said[0, True]) > 0.9  # precision
+
+
+def test_words_of_other_hosts_tell_a_new_one(spark):
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choices("abcdefgh", k=6))
+    bad = [f"http://{rng.choice(['', 'www.'])}{name()}{rng.choice('-.')}{rng.choice(['casino', 'lotto', 'ads'])}.com/{name()}" for _ in range(300)]
+    good = [f"http://{rng.choice(['', 'www.'])}{name()}{rng.choice('-.')}{rng.choice(['news', 'garden', 'school'])}.com/{name()}" for _ in range(600)]
+    model = url_filters.train([*bad[:200], *good[:400]], [1] * 200 + [0] * 400)
+    assert np.mean(model.probability(bad[200:]) >= 0.5) > 0.95 and np.mean(model.probability(good[400:]) < 0.5) > 0.95
+
+
+def test_features_equal_counts_of_each_url():
+    urls = [u or "" for u in URLS] + ["http://a-b.c1.org:80/x/2/?p=1&q=&&r#f", "é" * 50]
+    hosts, paths = zip(*[split(u) for u in urls], strict=True)
+    for u, h, p, row in zip(urls, hosts, paths, url_filters.lexical(urls, hosts, paths), strict=True):
+        b = u.encode()
+        digits, plain = sum(48 <= c <= 57 for c in b), sum(chr(c) in "/.:" or (c < 128 and chr(c).isalnum()) for c in b)
+        entropy = -sum(n / len(b) * np.log2(n / len(b)) for n in Counter(b).values())
+        longest = max(len(x) for x in re.split(rb"[.:-]", h.encode()))
+        n = max(1, len(b))
+        want = [len(b), len(h.encode()), len(p.encode()), p.count("/"), h.count(".") + 1, h.count("-"), None, sum(c.isdigit() for c in h), sum(c.isdigit() for c in p), digits / n, (len(b) - plain) / n, entropy, u.count("&") + ("?" in u)]
+        assert np.allclose([x for i, x in enumerate(row) if i != 6], [x for i, x in enumerate(want) if i != 6]), u
+        assert longest <= row[6] <= longest + 1  # the separator after a run counts
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=3 * warc.CHUNK))
 def test_chunked_framing(payload):
