@@ -48,8 +48,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     rows, at, opened = _sealed(docs)
-    # Rows are told apart by id and text, in an order in which null ids come last.
-    keyed = rows.withColumn("_key", F.struct(F.isnull(at["doc_id"]).alias("a"), F.col(at["doc_id"]).alias("b"), F.xxhash64(at["text"]).alias("c")))
+    # Rows are told apart by id and 128 bits of their text, in an order in which null ids come last.
+    keyed = rows.withColumn("_key", F.struct(F.isnull(at["doc_id"]).alias("a"), F.col(at["doc_id"]).alias("b"), F.xxhash64(at["text"]).alias("c"), F.xxhash64(F.lit(1), at["text"]).alias("d")))
     kept = near_dedup.near_duplicates(keyed, "_key", at["text"], NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return opened(keyed.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"]))
 
