@@ -5,11 +5,13 @@ The domain's tables are views of lineitem, events and part; a view's SQL reads a
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.special import erfc_sql, norm_cdf_sql, norm_two_sided_sql
@@ -440,13 +442,21 @@ def genome_sites_annotated_order(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files that a query writes and reads: in the cluster's shared folder, or, on a local master without one, a temporary one."""
+    """A new folder for files that a query writes and reads, gone when the driver's Python ends: in the cluster's shared folder, or, on a local master without one, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sigspark-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    made = f"{folder}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, made)
+    return made
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @query("site_store_round_trip", _sql(f"/*with*/ {_COMBINED} select run || ':' || idx as idx, position, kmer, string_agg(cast(cast(round_even(norm_mean * 10, 0) as bigint) as varchar), ',' order by norm_mean) as y from combined group by run, idx, position, kmer", "v_signal"))
@@ -542,3 +552,21 @@ def annotated_sequences(spark, sf_dir):
     exons = readers.read_annotation(spark, f"{folder}/gtf", fasta)
     rows = exons.join(fasta, ["tx_id", "gene_id"])
     return rows.groupBy("tx_id", "gene_id", "chr", "strand", "g_start", "g_end", "seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "gff3_genes",
+    "select 'T' || cast(p_partkey as varchar) as tx_id, 'G' || cast(p_partkey % 50 as varchar) as gene_id, 'chr' || cast(p_partkey % 3 as varchar) as chr, case when p_partkey % 2 = 0 then '+' else '-' end as strand, count(*) as exons, min(100 * p_partkey + 1000 * i) as low, max(100 * p_partkey + 1000 * i + p_size) as high, cast(row_number() over (partition by p_partkey % 50 order by p_partkey desc) as int) as line_order from part, range(1, 3) as r(i) group by p_partkey",
+)
+def gff3_genes(spark, sf_dir):
+    """A GFF3 file, whose transcripts take their genes from the sequences' headers; a gene's transcripts are numbered in the order of its lines."""
+    folder = _scratch(spark, "gff3")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part.select(F.expr(r"concat('>T', p_partkey, '.1 cdna gene:G', p_partkey % 50, '.2\nACGT')").alias("value")).write.text(f"{folder}/fasta")
+    lines = part.select("p_partkey", F.expr("concat('chr', p_partkey % 3)").alias("chr"), F.expr("if(p_partkey % 2 = 0, '+', '-')").alias("strand"), F.expr("explode(array(0, 1, 2))").alias("i"), "p_size")
+    line = r"""concat_ws('\t', chr, 'x', if(i = 0, 'mRNA', 'exon'), cast(100 * p_partkey + 1000 * i as string), cast(100 * p_partkey + 1000 * i + p_size as string), '.', strand, '.', if(i = 0, concat('ID=transcript:T', p_partkey), concat('Parent=transcript:T', p_partkey, '.1;rank=', i)))"""
+    # The files' names are in the order of their lines: transcripts of the highest numbers first.
+    lines.repartitionByRange(4, F.desc("p_partkey")).sortWithinPartitions(F.desc("p_partkey"), "i").select(F.expr(line).alias("value")).write.text(f"{folder}/gff3")
+    exons = readers.read_annotation(spark, f"{folder}/gff3", readers.read_fasta(spark, f"{folder}/fasta"), placed=True)
+    rows = exons.groupBy("tx_id", "gene_id", "chr", "strand", "place").agg(F.count(F.lit(1)).alias("exons"), F.min("g_start").alias("low"), F.max("g_end").alias("high"))
+    return rows.withColumn("line_order", F.row_number().over(Window.partitionBy("gene_id").orderBy("place"))).drop("place")

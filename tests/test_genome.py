@@ -59,16 +59,17 @@ def brute(events, exons, seqs, least, most):
 
 
 def test_genome_sites(spark):
+    """T5's and T6's exons overlap: a base that two exons hold has a place in the transcript for each, and the reads at both are its reads."""
     rng = random.Random(8)
-    exons = [("T1", "G1", "+", 100, 119), ("T1", "G1", "+", 200, 214), ("T2", "G1", "+", 200, 230), ("T3", "G2", "-", 500, 520), ("T3", "G2", "-", 540, 555), ("T4", "G3", "+", 900, 930)]
+    exons = [("T1", "G1", "+", 100, 119), ("T1", "G1", "+", 200, 214), ("T2", "G1", "+", 200, 230), ("T3", "G2", "-", 500, 520), ("T3", "G2", "-", 540, 555), ("T4", "G3", "+", 900, 930), ("T5", "G4", "+", 700, 719), ("T5", "G4", "+", 712, 730), ("T6", "G5", "-", 750, 765), ("T6", "G5", "-", 760, 780)]
     genome = {g: rng.choice("ACGT") for g in range(100, 1000)}
     seqs = {}
-    for tx in ("T1", "T2", "T3", "T4"):
-        own = sorted((e for e in exons if e[0] == tx), key=lambda e: e[3], reverse=tx == "T3")
+    for tx in ("T1", "T2", "T3", "T4", "T5", "T6"):
+        own = sorted((e for e in exons if e[0] == tx), key=lambda e: e[3], reverse=tx in ("T3", "T6"))
         seqs[tx] = "".join(genome[g] for _, _, strand, lo, hi in own for g in (range(hi, lo - 1, -1) if strand == "-" else range(lo, hi + 1)))
     seqs["T4"] = seqs["T4"][:15] + "N" + seqs["T4"][16:]
     events = []
-    for tx, n in (("T1", 30), ("T2", 25), ("T3", 12), ("T4", 9)):
+    for tx, n in (("T1", 30), ("T2", 25), ("T3", 12), ("T4", 9), ("T5", 12), ("T6", 15)):
         for r in range(n):
             for p in rng.sample(range(0, len(seqs[tx]) - 4), rng.randint(1, 12)):
                 kmer = seqs[tx][p : p + 5]
