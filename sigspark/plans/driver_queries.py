@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.special import erfc_sql, norm_cdf_sql, norm_two_sided_sql
-from sigspark.operators import align, post, prep, stats
+from sigspark.operators import align, post, prep, result, stats
 from sigspark.plans import dataprep, diffmod, model_sql
-from sigspark.sources import readers, site_slices, writers
+from sigspark.sources import config, readers, site_slices, writers
 from sigspark.sources.commits import Commit
 from sigspark.sources.config import Method
 
@@ -528,13 +528,18 @@ _CUT_EVENTS = "select 'T' || cast(l_partkey % 20 as varchar(20)) as contig, l_su
 )
 def prep_log(spark, sf_dir):
     """The log of a job that is committed: of every id its reads, and whether a position with several 5-mers cut its sites short."""
+    return readers.read_prep_log(spark, _prepared(spark, sf_dir))
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a committed job's outputs."""
     folder = _scratch(spark, "prepared")
     events = spark.sql(_CUT_EVENTS.replace("from lineitem", "from {source}").replace("varchar(20)", "string"), source=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     commit = Commit(spark, folder)
     combined = commit.staged(prep.combine_reads(events.withColumn("model_kmer", F.coalesce("other", "reference_kmer"))), "combined")
     writers.write_prepared(commit, dataprep.transcripts_of(combined, 1, 300))
     commit.finish()
-    return readers.read_prep_log(spark, folder)
+    return folder
 
 
 @query(
@@ -570,3 +575,56 @@ def gff3_genes(spark, sf_dir):
     exons = readers.read_annotation(spark, f"{folder}/gff3", readers.read_fasta(spark, f"{folder}/fasta"), placed=True)
     rows = exons.groupBy("tx_id", "gene_id", "chr", "strand", "place").agg(F.count(F.lit(1)).alias("exons"), F.min("g_start").alias("low"), F.max("g_end").alias("high"))
     return rows.withColumn("line_order", F.row_number().over(Window.partitionBy("gene_id").orderBy("place"))).drop("place")
+
+
+@query("explicit_ids", _sql("/*with*/ n as (select idx, run, position, kmer, condition, count(*) as n from v_signal where idx in ('T2', 'T5', 'T8') group by all having count(*) between 95 and 105), s as (select idx, position, kmer from n group by all having count(distinct condition) >= 2) select n.idx, n.position, n.kmer, n.run from n join s on n.idx = s.idx and n.position = s.position and n.kmer = s.kmer", "v_signal"))
+def explicit_ids(spark, sf_dir):
+    """The runs that the model uses at the sites of given ids, whatever the number of conditions that have them."""
+    return align.qualified_runs(_view(spark, sf_dir, "v_signal"), 95, 105, ids=["T2", "T5", "T8"]).select("idx", "position", "kmer", "run")
+
+
+@query("event_files", _sql("select contig, read_index, position + 2 as position, reference_kmer, round_even(sum(event_level_mean * length) / sum(length), 1) as norm_mean from v_events where reference_kmer = model_kmer group by contig, read_index, position, reference_kmer", "v_events"))
+def event_files(spark, sf_dir):
+    """Events as compressed tables of 15 columns, written, read by position and combined."""
+    path = _scratch(spark, "events")
+    rows = _view(spark, sf_dir, "v_events").withColumns({"start_idx": F.lit(7).cast("long"), "end_idx": F.expr("cast(7 + length as long)")})
+    names = [c.split()[0] for c in readers.EVENTS.split(", ")]
+    table = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names])
+    table.write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+    return prep.combine_events(prep.successful_alignments(readers.read_events(spark, path))).select("contig", "read_index", "position", "reference_kmer", "norm_mean")
+
+
+@query("samples_union", _sql(f"/*with*/ {_COMBINED} select condition, run, idx, position, kmer, norm_mean, count(*) as n from combined group by all", "v_signal"))
+def samples_union(spark, sf_dir):
+    """The runs' stores, each in a folder of its own, read as the samples of a design."""
+    folder, rows = _scratch(spark, "samples"), _combined(spark, sf_dir)
+    for label in (r for c in RUNS for r in RUNS[c]):
+        writers.write_site_store(prep.collect_sites(rows.filter(F.col("run") == label)), f"{folder}/{label}")
+    design = config.parse({"data": {c: {r.removeprefix(f"{c}-"): f"{folder}/{r}" for r in RUNS[c]} for c in RUNS}, "out": folder})
+    return readers.read_samples(spark, design.data).groupBy("condition", "run", "idx", "position", "kmer", "norm_mean").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("prep_counts", ORACLES["prep_log"].replace("select i.idx, coalesce(n_reads, 0) as n_reads, bad.idx is null as complete from", "select i.idx, n_reads from").replace(" left join n on", " join n on"))
+def prep_counts(spark, sf_dir):
+    """The counts of a committed job: ids with a usable read."""
+    return readers.read_readcounts(spark, _prepared(spark, sf_dir))
+
+
+@query("result_files", ORACLES["diff_table"])
+def result_files(spark, sf_dir):
+    """The result table written by a job that commits it with its models, and read back."""
+    rows = _combined(spark, sf_dir)
+    commit = Commit(spark, _scratch(spark, "result"))
+    writers.write_models(diffmod.fit(rows, _reference(rows), RUNS), commit.path("models"))
+    writers.write_result_table(result.result_table(spark.read.parquet(commit.path("models")), RUNS), commit.path("diffmod.table"))
+    commit.finish()
+    return _rounded(readers.read_result_table(spark, f"{commit.folder}/diffmod.table"))
+
+
+@query("saved_models", ORACLES["mixture_fit"])
+def saved_models(spark, sf_dir):
+    """Models written and read back."""
+    rows, path = _combined(spark, sf_dir), _scratch(spark, "saved")
+    writers.write_models(diffmod.fit(rows, _reference(rows), RUNS), path)
+    fits = readers.read_models(spark, path)
+    return fits.select("idx", "position", "kmer", *[F.round(F.col(c)[i], 6).alias(f"{c}{i}") for c in ("mu", "sigma2") for i in (0, 1)], "iterations", "converged")

@@ -109,6 +109,11 @@ def read_prep_log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("idx string, n_reads long, complete boolean").option("header", True).csv(commits.paths(spark, f"{folder}/data.log"))
 
 
+def read_readcounts(spark: SparkSession, folder: str) -> DataFrame:
+    """(idx, n_reads) of the prepared ids that have a usable read."""
+    return spark.read.schema("idx string, n_reads long").option("header", True).csv(commits.paths(spark, f"{folder}/data.readcount"))
+
+
 def read_samples(spark: SparkSession, design: dict[str, dict[str, str]], ids: Sequence[str] | None = None) -> DataFrame:
     """(condition, run, idx, position, kmer, norm_mean) of a design {condition: {run label: folder}}, of the given ids or all."""
     parts = [
