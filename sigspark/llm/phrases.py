@@ -2,7 +2,8 @@
 
 All runs of 1 to ``most`` words within a piece are rows of a DataFrame, counted by language. A run is a candidate if it occurs ``least`` times; then so
 do all runs inside it, so that rows of runs that hold a rarer word, pair or triple of words needn't be made: they are told by a filter of fixed size (``FILTER_BITS``)
-that knows every frequent one and lets through some others, which cost work and change nothing. Each task first sums the runs of a block of texts; counts
+that knows every frequent one and lets through some others, which cost work and change nothing. Pairs, the most by far, are first summed by 2^32 buckets of
+a hash, of which those with too few occurrences hold no candidate. Each task first sums the runs of a block of texts; counts
 are summed by hash aggregation of the runs themselves, not of hashes of them. Candidates are joined with the counts of their prefixes and suffixes, scores
 are whole numbers of 38-digit decimals, an anti-join with one-word extensions drops what a longer candidate explains, and a window ranks each language.
 
@@ -46,22 +47,30 @@ _U = np.uint64
 
 
 class Frequent:
-    """A filter of fixed size that knows every run it was made of."""
+    """A filter of fixed size that knows every hash it was made of."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
     @staticmethod
-    def places(langs: np.ndarray, runs: np.ndarray) -> np.ndarray:
-        """Two places of each run, from the hashes of language and words."""
-        h = mix64(runs ^ mix64(langs))
-        return np.stack([h & _U(FILTER_BITS - 1), (h >> _U(32)) & _U(FILTER_BITS - 1)])
+    def places(hashes: np.ndarray) -> np.ndarray:
+        """Two places of each hash."""
+        return np.stack([hashes & _U(FILTER_BITS - 1), (hashes >> _U(32)) & _U(FILTER_BITS - 1)])
 
-    def has(self, langs: np.ndarray, runs: np.ndarray) -> np.ndarray:
-        at = self.places(langs, runs)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.places(hashes)
         return ((self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
 
 
+def _run_hash(langs: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    return mix64(runs ^ mix64(langs))
+
+
+def _bucket_of(hashes: np.ndarray) -> np.ndarray:
+    """One of 2^32 buckets."""
+    return mix64(hashes) >> _U(32)
+
+
 def _hash_of(column: pa.Array) -> np.ndarray:
     data, at = string_buffers(column)
     return span_hashes(data, at[:-1], at[1:])
@@ -83,8 +92,11 @@ def _taken(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Arra
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[gather])))
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, langs: pa.Array, sizes: range, frequent: Frequent | None) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
-    """(language, phrase, words, occurrences) of a block's runs, for each number of words. ``frequent``: a filter of runs of one word less than the shortest."""
+def runs_of(data: np.ndarray, offsets: np.ndarray, langs: pa.Array, sizes: range, frequent: Frequent | None, sifted: Frequent | None = None, buckets: bool = False) -> Iterator[tuple]:
+    """(language, phrase, words, occurrences) of a block's runs, for each number of words; with ``buckets``, only (bucket, occurrences) of the shortest ones.
+
+    ``frequent``: a filter of runs of one word less than the shortest; ``sifted``: one of the shortest runs' buckets.
+    """
     low = lower_ascii(data)
     apart = _BLANK[low] | _BREAK[low]
     if not len(low) or apart.all():
@@ -108,8 +120,16 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, langs: pa.Array, sizes: range
         at = at[piece[at] == piece[at + k]]
         good = np.zeros(len(starts), bool)
         inner = np.flatnonzero(piece[: len(piece) - k + 1] == piece[k - 1 :])
-        good[inner] = frequent.has(_hash_of(names.dictionary)[lang[inner]], _joined(_hash_of(vocabulary)[ids], k)[inner])
+        lang_hash, word_hash = _hash_of(names.dictionary)[lang], _hash_of(vocabulary)[ids]
+        good[inner] = frequent.has(_run_hash(lang_hash[inner], _joined(word_hash, k)[inner]))
         at = at[good[at] & good[at + 1]]
+        if buckets or sifted:
+            own = _bucket_of(_run_hash(lang_hash[at], _joined(word_hash, k + 1)[at]))
+            if buckets:
+                found, count = np.unique(own, return_counts=True)
+                yield found.astype(np.int64), count
+                return
+            at = at[sifted.has(mix64(own))]
     code = lang[at] * len(vocabulary) + ids[at]
     for n in range(2, sizes[-1] + 1):
         if n > sizes[0]:
@@ -135,41 +155,80 @@ def _summed(code: np.ndarray, at: np.ndarray, n: int, names: pa.Array, lang: np.
     return pc.take(names, pa.array(lang[one])), phrase, np.full(len(one), n), count
 
 
-def _counted(docs: DataFrame, sizes: range, frequent: Broadcast | None = None) -> DataFrame:
-    """(lang, n_words, phrase, f): occurrences of the runs that pass, of each number of words."""
+def _blocks(docs: DataFrame, schema: str, of_block: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
+    """of_block(bytes, offsets, languages) of each block of texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Frequent(frequent.value) if frequent else None
         for batch in batches:
             langs = pc.fill_null(batch.column(0), "und")
             data, at = string_buffers(batch.column(1))
             for a, b in blocks(at, BLOCK):
-                for lang, phrase, words, count in runs_of(data[at[a] : at[b]], at[a : b + 1] - at[a], langs.slice(a, b - a), sizes, known):
-                    yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(words, pa.int32()), phrase.cast(pa.string()), pa.array(count, pa.int64())], names=["lang", "n_words", "phrase", "f"])
+                yield from of_block(data[at[a] : at[b]], at[a : b + 1] - at[a], langs.slice(a, b - a))
+
+    return docs.mapInArrow(work, schema)
+
+
+def _known(bits: Broadcast | None) -> Frequent | None:
+    return Frequent(bits.value) if bits else None
+
+
+def _counted(docs: DataFrame, sizes: range, frequent: Broadcast | None = None, sifted: Broadcast | None = None) -> DataFrame:
+    """(lang, n_words, phrase, f): occurrences of the runs that pass, of each number of words."""
+
+    def runs(*block) -> Iterator[pa.RecordBatch]:  # noqa: ANN002
+        for lang, phrase, words, count in runs_of(*block, sizes, _known(frequent), _known(sifted)):
+            yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(words, pa.int32()), phrase.cast(pa.string()), pa.array(count, pa.int64())], names=["lang", "n_words", "phrase", "f"])
 
-    return docs.mapInArrow(work, "lang string, n_words int, phrase string, f long").groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
+    return _blocks(docs, "lang string, n_words int, phrase string, f long", runs).groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
+
+
+def _sifted(docs: DataFrame, n: int, frequent: Broadcast, least: int) -> np.ndarray:
+    """A filter of the buckets of runs of n words that hold ``least`` occurrences.
+
+    A bucket holds all occurrences of its runs, so that no frequent run is in another one. Numbers are shuffled in place of phrases, most of which occur once or twice.
+    """
+
+    def sums(*block) -> Iterator[pa.RecordBatch]:  # noqa: ANN002
+        for bucket, count in runs_of(*block, range(n, n + 1), _known(frequent), buckets=True):
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(count, pa.int64())], names=["bucket", "f"])
+
+    full = _blocks(docs, "bucket long, f long", sums).groupBy("bucket").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    return _bits(full.select("bucket"), lambda batch: mix64(batch.column(0).to_numpy().astype(_U)))
 
 
 def _filter_of(runs: DataFrame, n: int) -> np.ndarray:
-    """The filter's bits for runs of n words: each task sends the bytes of the filter that it sets."""
+    """The filter of runs of n words (lang, phrase)."""
+
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        words = _hash_of(pc.split_pattern(batch.column(1), " ").flatten()).reshape(-1, n)
+        return _run_hash(_hash_of(batch.column(0)), _joined_columns(words))
+
+    return _bits(runs.select("lang", "phrase"), hashes)
+
+
+def _joined_columns(words: np.ndarray) -> np.ndarray:
+    """As _joined, of runs in rows."""
+    out = words[:, 0].copy()
+    for j in range(1, words.shape[1]):
+        out = mix64(out * _U(0x9E3779B97F4A7C15) ^ words[:, j])
+    return out
+
+
+def _bits(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """A filter's bits: each task sends the bytes that it sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS >> 3, np.uint8)
         for batch in batches:
-            words = pc.split_pattern(batch.column(1), " ")
-            hashes = _hash_of(words.flatten()).reshape(-1, n) if len(batch) else np.zeros((0, n), _U)
-            run = hashes[:, 0].copy()
-            for j in range(1, n):
-                run = mix64(run * _U(0x9E3779B97F4A7C15) ^ hashes[:, j])
-            at = Frequent.places(_hash_of(batch.column(0)), run).ravel()
-            np.bitwise_or.at(bits, at >> _U(3), (1 << (at & _U(7))).astype(np.uint8))
+            if len(batch):
+                at = Frequent.places(hashes(batch)).ravel()
+                np.bitwise_or.at(bits, at >> _U(3), (1 << (at & _U(7))).astype(np.uint8))
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bits[at].astype(np.int16))], names=["at", "bits"])
 
-    found = runs.select("lang", "phrase").mapInArrow(work, "at int, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    found = rows.mapInArrow(work, "at int, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS >> 3, np.uint8)
-    rows = found.toArrow()
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint8)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
     return out
 
 
@@ -182,7 +241,9 @@ def frequent_runs(docs: DataFrame, most: int, least: int, tables: Tables) -> tup
     for n in range(1, min(most, PASSES + 1)):
         sizes = range(n + 1, n + 2) if n < PASSES else range(n + 1, most + 1)
         frequent = spark.sparkContext.broadcast(_filter_of(found, n))
-        found = tables.cut(_counted(docs, sizes, frequent).filter(F.col("f") >= least))
+        # Pairs are the most by far: sums over buckets come first.
+        sifted = spark.sparkContext.broadcast(_sifted(docs, 2, frequent, least)) if n == 1 else None
+        found = tables.cut(_counted(docs, sizes, frequent, sifted).filter(F.col("f") >= least))
         out = out.unionByName(found)
     return out, totals
 

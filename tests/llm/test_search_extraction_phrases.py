@@ -108,7 +108,7 @@ def test_phrases_of_blocks_and_full_filters(spark, odd, monkeypatch):
     want = sorted(tuple(r) for r in phrases.mine(odd, 4, 3, 100).collect())
     docs = [(r.lang, r.text) for r in odd.select("lang", "text").collect()]
     assert want == _mined(docs, 4, 3, 100)
-    monkeypatch.setattr(phrases.Frequent, "has", lambda self, langs, runs: runs == runs)
+    monkeypatch.setattr(phrases.Frequent, "has", lambda self, hashes: hashes == hashes)
     assert sorted(tuple(r) for r in phrases.mine(odd, 4, 3, 100).collect()) == want
 
 
