@@ -363,9 +363,10 @@ def train(pages: Sequence[Page]) -> Model:
 
 def sampled_runs(pages: DataFrame, id_col: str, html_col: str) -> list[str]:
     """Runs of text of up to SAMPLE pages, those whose ids have the smallest hashes; only ids are ordered."""
-    rows = pages.select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html"))
-    few = F.broadcast(rows.filter(f"length(html) <= {SAMPLE_CHARS}").select("h").orderBy("h").limit(SAMPLE).distinct())
-    found = sorted(r.html for r in rows.join(few, "h", "left_semi").filter(f"length(html) <= {SAMPLE_CHARS}").limit(SAMPLE).collect())
+    rows = pages.select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html")).filter(f"length(html) <= {SAMPLE_CHARS}")
+    few = F.broadcast(rows.select("h").distinct().orderBy("h").limit(SAMPLE))
+    # Of pages that share an id the first in order, so that the sample doesn't depend on how rows are dealt.
+    found = sorted(r.html for r in rows.join(few, "h", "left_semi").groupBy("h").agg(F.min("html").alias("html")).collect())
     return [t for source in found for t in nodes(source).texts if t]
 
 

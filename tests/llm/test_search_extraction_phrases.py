@@ -200,3 +200,11 @@ def test_extraction_of_odd_pages(spark, model):
     assert [x[2] for x in found if x[0] == 5] == [len(TEXT)] * 2
     assert [x[2] for x in found if x[0] == 4] == [len("word and words, many of them.\n") * 30_000 - 1]
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_sample_of_pages_does_not_depend_on_layout(spark, monkeypatch):
+    monkeypatch.setattr(html_extraction, "SAMPLE", 5)
+    rows = [(i % 9, f"<p>text {i} of page {i % 9}") for i in range(60)] + [(None, "<p>no id"), (3, None), (4, "x" * (html_extraction.SAMPLE_CHARS + 1))]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    one = html_extraction.sampled_runs(pages.coalesce(1), "page_id", "html")
+    assert len(one) == 5 and one == html_extraction.sampled_runs(pages.orderBy(F.desc("html")).repartition(7), "page_id", "html")
