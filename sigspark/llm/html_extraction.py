@@ -41,7 +41,7 @@ TREES, DEPTH, BINS, RATE, LEAF = 40, 4, 32, 0.25, 20.0
 #: Labelled nodes that a word's log-odds are shrunk by.
 PRIOR = 4.0
 #: Log-odds count up to this; each node gets LEAN on top, as a lost paragraph is worse than one too many.
-SURE, LEAN = 6.0, 1.0
+SURE, LEAN = 6.0, 1.25
 
 #: Parts of composed pages: what their elements are called. Fixed values.
 NAMES = {
@@ -55,6 +55,7 @@ NAMES = {
     "advert": "ad ads advert advertisement sponsor sponsored promo banner adsense adbox adslot commercial partner".split(),
     "form": "form search login signup subscribe newsletter contact poll survey".split(),
     "comment": "comments comment respond discussion replies reply feedback disqus thread reader".split(),
+    "byline": "byline author date posted meta dateline time info".split(),
     "share": "share social sharing follow buttons like tweet tools print meta".split(),
 }
 #: Elements that a part may be.
@@ -119,7 +120,8 @@ class Composer:
     def article(self) -> str:
         rng, made = self.rng, []
         if rng.random() < 0.8:
-            made.append(f"<h1>{self.words(2, 14)}</h1>")
+            title, by = f"<h1>{self.words(2, 14)}</h1>", f'<{(t := rng.choice(["p", "div"]))} class="{rng.choice(NAMES["byline"])}" data-y="0">{self.words(2, 8)}</{t}>' if rng.random() < 0.3 else ""
+            made.append(f"<header>{title}{by}</header>" if rng.random() < 0.25 else title + by)
         flat = rng.random() < 0.15  # blocks that are divisions rather than paragraphs
         for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 13, 20])):
             kind = rng.random()
