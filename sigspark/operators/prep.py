@@ -58,10 +58,16 @@ def combine_reads(events: DataFrame) -> DataFrame:
     return sums.select("contig", "read_index", (F.col("position") + 2).alias("position"), "reference_kmer", rint(F.try_divide("s", "l"), 1).alias("norm_mean"), "usable", *(["place"] if first else []))
 
 
-def seen_reads(combined: DataFrame) -> DataFrame:
-    """(contig, read_index, usable, place): the reads of combine_reads, usable if they have two or more positions; place is null where events had none."""
-    place = F.min("place") if "place" in combined.columns else F.lit(None).cast("long")
-    return combined.groupBy("contig", "read_index").agg((F.count_if("usable") > 1).alias("usable"), place.alias("place"))
+def seen_reads(rows: DataFrame) -> DataFrame:
+    """(contig, read_index, usable, place): the reads of events or of combine_reads, usable if they have two or more positions or 5-mers; place is null where rows have none.
+
+    Whether there are two is told by the least and the greatest: a row per read is all that is shuffled.
+    """
+    good = F.col("usable") if "usable" in rows.columns else F.col("reference_kmer") == F.col("model_kmer")
+    at = F.when(good & F.col("position").isNotNull(), F.struct("position", "reference_kmer"))
+    place = F.min("place") if "place" in rows.columns else F.lit(None).cast("long")
+    known = rows.na.drop(subset=["contig", "read_index"])
+    return known.groupBy("contig", "read_index").agg(F.coalesce(F.min(at) < F.max(at), F.lit(False)).alias("usable"), place.alias("place"))
 
 
 def strip_version(name: str | Column) -> Column:
