@@ -13,14 +13,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.functions.special import digamma, lgamma
 
-#: Observations in one batch of the solver.
-BATCH = 1 << 20
+#: Observations in one batch of the solver, which holds some twenty numbers for each; a site of more is a batch of its own. Results don't depend on it.
+BATCH = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -194,39 +195,49 @@ def fit_sites(packed: DataFrame, settings: Settings = Settings(), key: tuple[str
     again = "saved" in packed.columns
     schema = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in carried) + ", " + MODEL
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = {i: _posterior(m, list(g), settings) for i, (m, g) in enumerate(zip(pdf["saved"], pdf["groups"], strict=True)) if m is not None} if again else None
-        got = fit_batch([np.asarray(v, float) for v in pdf["y"]], [np.asarray(c, int) for c in pdf["code"]], np.array([len(g) for g in pdf["groups"]]), pdf["ref_mean"].to_numpy(float), pdf["ref_std"].to_numpy(float), settings, start)
+    types = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
+    own = {name: types[kind] for name, kind in (f.split() for f in MODEL.split(", "))}
+
+    def made(rows: pa.RecordBatch, model: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[rows.column(c) for c in carried], *[model[c] for c in own]], [*carried, *own])
+
+    def fit(rows: pa.RecordBatch) -> pa.RecordBatch:
+        read = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+        groups = rows.column("groups").to_pylist()
+        start = {i: _posterior(m, g, settings) for i, (m, g) in enumerate(zip(rows.column("saved").to_pylist(), groups, strict=True)) if m is not None} if again else None
+        code, n_groups = list(read("code")), np.array([len(g) for g in groups])
+        got = fit_batch(list(read("y")), code, n_groups, read("ref_mean").astype(float), read("ref_std").astype(float), settings, start)
         conc = got["concentration"]
-        return pdf[carried].assign(
-            mu=list(got["location"]),
-            sigma2=list(got["beta"] / got["alpha"]),
-            lam=list(got["lam"]),
-            alpha=list(got["alpha"]),
-            beta=list(got["beta"]),
-            concentration=[c.tolist() for c in conc],
-            weights=[(c / c.sum(axis=1, keepdims=True)).tolist() for c in conc],
+        model = {
+            "mu": got["location"].tolist(),
+            "sigma2": (got["beta"] / got["alpha"]).tolist(),
+            "lam": got["lam"].tolist(),
+            "alpha": got["alpha"].tolist(),
+            "beta": got["beta"].tolist(),
+            "concentration": [c.tolist() for c in conc],
+            "weights": [(c / c.sum(axis=1, keepdims=True)).tolist() for c in conc],
             # The soft counts of a group sum to its number of reads; the number itself has no rounding noise.
-            coverage=[np.bincount(c, minlength=len(g)).astype(float).tolist() for c, g in zip(pdf["code"], pdf["groups"], strict=True)],
-            elbo=got["elbo"],
-            iterations=got["iterations"].astype("int32"),
-            converged=got["converged"],
-        )
-
-    own = [f.split()[0] for f in MODEL.split(", ")]
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if again and pdf["unchanged"].any():
-                same = pdf[pdf["unchanged"]]
-                yield same[carried].assign(**{c: [m[c] for m in same["saved"]] for c in own})
-                pdf = pdf[~pdf["unchanged"]]
-            sizes = pdf["y"].map(len).to_numpy().cumsum()
+            "coverage": [np.bincount(c, minlength=n).astype(float).tolist() for c, n in zip(code, n_groups, strict=True)],
+            "elbo": got["elbo"],
+            "iterations": got["iterations"].astype("int32"),
+            "converged": got["converged"],
+        }
+        return made(rows, {c: pa.array(model[c], t) for c, t in own.items()})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Batches stay Arrow's: of one, only the observations that are being fitted are taken out.
+        for batch in batches:
+            if again:
+                same = batch.filter(batch.column("unchanged"))
+                if same.num_rows:
+                    yield made(same, {c: pc.struct_field(same.column("saved"), c).cast(t) for c, t in own.items()})
+                batch = batch.filter(pc.invert(batch.column("unchanged")))
+            sizes = np.cumsum(pc.list_value_length(batch.column("y")).to_numpy(zero_copy_only=False))
             first = 0
-            while first < len(pdf):
+            while first < batch.num_rows:
                 before = sizes[first - 1] if first else 0
                 last = max(first + 1, int(np.searchsorted(sizes, before + BATCH, "right")))
-                yield fit(pdf.iloc[first:last])
+                yield fit(batch.slice(first, last - first))
                 first = last
 
-    return packed.filter("size(y) > 0").mapInPandas(work, schema)
+    return packed.filter("size(y) > 0").mapInArrow(work, schema)

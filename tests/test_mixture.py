@@ -1,10 +1,13 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from sigspark.operators import mixture
 from sigspark.operators.mixture import Settings, fit_batch
 
 G0 = [120.1, 121.3, 123.9, 124.2, 119.8, 122.0, 123.1, 125.4, 124.8, 121.7, 122.9, 123.3, 120.9, 124.0, 122.4]
@@ -103,3 +106,30 @@ def test_bound_never_falls(rows):
 def test_settings_are_checked():
     with pytest.raises(ValueError):
         Settings(max_iters=1)
+
+
+def test_largest_batch_takes_few_megabytes():
+    """A worker's memory follows the batch of the solver, not the rows that Spark hands over."""
+    rng = np.random.default_rng(1)
+    size = 512
+    sites = mixture.BATCH // size
+    y, code = [rng.normal(80, 2, size) for _ in range(sites)], [np.arange(size) % 4 for _ in range(sites)]
+    tracemalloc.start()
+    fit_batch(y, code, np.full(sites, 4), np.full(sites, 80.0), np.full(sites, 2.0), Settings(max_iters=3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+
+
+def test_batches_of_one_frame_dont_matter(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [("G", p, "ACGTA", f"{c}-a", float(np.round(rng.normal(80 + (p % 3) * 5, 2), 1)), 80.0, 2.0) for p in range(30) for c in "AB" for _ in range(20)]
+    seen = spark.createDataFrame(rows, "idx string, position long, kmer string, run string, norm_mean double, ref_mean double, ref_std double")
+    packed = mixture.fingerprint(mixture.pack_sites(seen)).coalesce(1)
+    whole = sorted(mixture.fit_sites(packed).collect())
+    monkeypatch.setattr(mixture, "BATCH", 100)
+    assert sorted(mixture.fit_sites(packed).collect()) == whole and len(whole) == 30
+    saved = spark.createDataFrame(whole, mixture.fit_sites(packed).schema).withColumn("elbo", F.lit(1.0)).filter("position < 20").withColumn("digest", F.when(F.col("position") < 10, F.col("digest")).otherwise("x"))
+    again = {r.position: r for r in mixture.fit_sites(mixture.from_saved(packed, saved)).collect()}
+    assert len(again) == 30 and {p for p, r in again.items() if r.elbo == 1.0} == set(range(10))
+    assert all(again[r.position] == r for r in whole if r.position >= 20)
