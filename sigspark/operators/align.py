@@ -60,21 +60,42 @@ def qualified_runs(rows: DataFrame, least: int = 15, most: int = 1000, pooling:
     return gated.filter("_good >= 2" if pooling else "_good >= 2 and _ok").select(*SITE, "condition", "run")
 
 
-#: Of the quantile sketch: ranks are off by at most one part in so many.
-ACCURACY = 10_000
 #: Quartiles of a normal lie this many standard deviations apart.
 QUARTILES = 1.3489795003921634
 
 
-def own_reference(rows: DataFrame, value: str = "norm_mean", accuracy: int = ACCURACY, least: float = 0.1) -> DataFrame:
+def _exact_quartiles(known: DataFrame) -> DataFrame:
+    """(kmer, q, n) of rows (kmer, v): the values of ranks ceil(n / 4), ceil(n / 2) and ceil(3 n / 4).
+
+    Equal values are counted first. Running sums go in two steps, over the whole parts of a 5-mer's values and over the values of one whole part, so
+    that no task holds a 5-mer's values.
+    """
+    whole = F.when(F.isnan("v"), F.lit(float("inf"))).otherwise(F.floor("v").cast("double"))
+    counts = known.groupBy("kmer", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("_whole", whole)
+    parts = counts.groupBy("kmer", "_whole").agg(F.sum("c").alias("_c"))
+    of_kmer = Window.partitionBy("kmer")
+    ahead = of_kmer.orderBy("_whole").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_c").over(ahead), F.lit(0))).withColumn("n", F.sum("_c").over(of_kmer))
+    ranks = [F.expr(e) for e in ("(n + 3) div 4", "(n + 1) div 2", "(3 * n + 3) div 4")]
+    within = lambda rank, end: (rank > F.col("_before")) & (rank <= F.col("_before") + F.col(end))
+    hit = parts.filter(within(ranks[0], "_c") | within(ranks[1], "_c") | within(ranks[2], "_c")).drop("_c")
+    run = F.sum("c").over(Window.partitionBy("kmer", "_whole").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = counts.join(hit, ["kmer", "_whole"]).withColumn("_to", F.col("_before") + run).withColumn("_before", F.col("_to") - F.col("c"))
+    return near.groupBy("kmer").agg(F.array(*[F.max(F.when(within(rank, "c"), F.col("v"))) for rank in ranks]).alias("q"), F.first("n").alias("n"))
+
+
+def own_reference(rows: DataFrame, value: str = "norm_mean", accuracy: int | None = None, least: float = 0.1) -> DataFrame:
     """(kmer, ref_mean, ref_std, n) of each 5-mer from observations themselves, where no table of them is given.
 
     Median and scaled distance of the quartiles: sites of another signal, as long as they are fewer than a quarter of a 5-mer's observations,
-    move neither far. Quantiles come from a mergeable sketch, whose ranks are off by n / accuracy at most, so that no group is held by a task; the spread is
-    ``least`` or more.
+    move neither far. Quantiles are exact, whatever the number of observations; with ``accuracy`` they come from a mergeable sketch, whose ranks are off by
+    n / accuracy at most. The spread is ``least`` or more.
     """
-    quartiles = F.percentile_approx(F.col(value).cast("double"), [0.25, 0.5, 0.75], accuracy)
-    sums = rows.filter(F.col(value).isNotNull()).groupBy("kmer").agg(quartiles.alias("q"), F.count(F.lit(1)).alias("n"))
+    known = rows.filter(F.col(value).isNotNull()).select("kmer", F.col(value).cast("double").alias("v"))
+    if accuracy is None:
+        sums = _exact_quartiles(known)
+    else:
+        sums = known.groupBy("kmer").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], accuracy).alias("q"), F.count(F.lit(1)).alias("n"))
     spread = (F.col("q")[2] - F.col("q")[0]) / QUARTILES
     return sums.select("kmer", F.col("q")[1].alias("ref_mean"), F.greatest(spread, F.lit(least)).alias("ref_std"), "n")
 

@@ -486,7 +486,7 @@ def site_slices_of_ids(spark, sf_dir):
     _sql(f"/*with*/ {_COMBINED}, q as (select kmer, quantile_disc(norm_mean, [0.25, 0.5, 0.75]) as q, count(*) as n from combined group by kmer) select kmer, round(q[2], 6) as ref_mean, round(greatest((q[3] - q[1]) / {align.QUARTILES!r}e0, 0.1e0), 6) as ref_std, n from q", "v_signal"),
 )
 def own_kmer_reference(spark, sf_dir):
-    """Up to ACCURACY observations of a 5-mer the sketch's quantiles are exact."""
+    """Quantiles are exact for any number of observations."""
     got = align.own_reference(_combined(spark, sf_dir))
     return got.select("kmer", F.round("ref_mean", 6).alias("ref_mean"), F.round("ref_std", 6).alias("ref_std"), "n")
 

@@ -64,6 +64,17 @@ def test_own_reference_is_near_exact_quantiles(spark):
     assert align.own_reference(frame.limit(0)).count() == 0
 
 
+def test_own_reference_is_exact_beyond_any_sketch(spark):
+    rows = spark.range(120_000).select(F.when(F.col("id") % 3 > 0, "ACGTA").otherwise("CCCCC").alias("kmer"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e7 - 20).alias("norm_mean"))
+    values = rows.toPandas().groupby("kmer").norm_mean.apply(lambda v: np.sort(v.to_numpy()))
+    for got in align.own_reference(rows).collect():
+        v = values[got.kmer]
+        low, middle, high = (v[-(-k * len(v) // 4) - 1] for k in (1, 2, 3))
+        assert (got.ref_mean, got.ref_std, got.n) == (middle, (high - low) / align.QUARTILES, len(v))
+    odd = spark.createDataFrame([("A", float(x)) for x in ("nan", "inf", "-inf", 1, 1, 1, 1, 2)] + [("C", 7.5)], "kmer string, norm_mean double")
+    assert sorted(map(tuple, align.own_reference(odd).collect())) == [("A", 1.0, pytest.approx(1 / align.QUARTILES), 8), ("C", 7.5, 0.1, 1)]
+
+
 @pytest.fixture(scope="module")
 def observations(spark):
     rng = random.Random(9)
