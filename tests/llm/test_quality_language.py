@@ -66,6 +66,23 @@ def test_score_against_brute_force(odd, labels, spark):
     assert sum(len(WORDS.findall(t or "")) + max(0, len(WORDS.findall(t or "")) - 1) for _, t in odd_texts()) == sum(raw.values())
 
 
+def test_all_trusted_documents_count(spark, odd, labels, monkeypatch):
+    many = spark.range(50_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    half = quality.trusted_ids(many).groupBy("_counted").count().collect()
+    assert sum(r["count"] for r in half) == 50_000 and all(24_000 < r["count"] < 26_000 for r in half)
+    rows = lambda: sorted(map(str, quality.judge(odd, labels).drop("size").collect()))
+    broadcast = rows()
+    monkeypatch.setattr(quality, "BROADCAST", 0)
+    assert rows() == broadcast
+
+
+def test_ranks_are_exact(spark):
+    values = spark.range(9000).select((F.pmod(F.xxhash64("id"), F.lit(700)) / 997 - 0.3).alias("v"))
+    found = sorted(r.v for r in values.collect())
+    ranks = [0, 89, 90, 4499, 4500, 8999]
+    assert quality._at_ranks(values, ranks) == [found[k] for k in ranks]
+
+
 def test_native_plan_and_filter_barrier(odd, labels):
     kept = quality.judge(odd, labels).filter("kept")
     assert not re.search("Python|Pandas|Arrow", kept._jdf.queryExecution().executedPlan().toString())
