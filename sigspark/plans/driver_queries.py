@@ -505,9 +505,11 @@ def native_store_ids(spark, sf_dir):
 @query("refitted_table", ORACLES["mixture_fit"].replace("round(loc0, 6) as mu0, round(loc1, 6) as mu1, round(b0 / a0, 6) as sigma20, round(b1 / a1, 6) as sigma21, rounds as iterations, converged", "position % 2 = 1 as changed, case when position % 2 = 0 then round(loc0, 6) end as mu0, case when position % 2 = 0 then round(loc1, 6) end as mu1, case when position % 2 = 0 then rounds else 0 end as iterations, converged"))
 def refitted_table(spark, sf_dir):
     """Models refitted from saved ones: sites without new reads keep theirs (the values shown), the others begin with them."""
-    rows = _combined(spark, sf_dir)
+    # Both fits read the observations several times: they are combined once.
+    staged, path = _scratch(spark, "combined"), _scratch(spark, "models")
+    _combined(spark, sf_dir).write.parquet(staged)
+    rows = spark.read.parquet(staged)
     reference = _reference(rows)
-    path = _scratch(spark, "models")
     writers.write_models(diffmod.fit(rows.filter("read_index % 3 > 0 or position % 2 = 0"), reference, RUNS), path)
     saved = readers.read_models(spark, path)
     fits = diffmod.fit(rows, reference, RUNS, models=saved)

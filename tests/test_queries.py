@@ -31,6 +31,11 @@ def test_whole_queries_take_every_row_and_miss_some_sites(spark, sf_dir):
     assert 0 < driver_queries.QUERIES["site_intersection_whole"](spark, sf_dir).count() < lines.select("l_partkey").distinct().count()
 
 
+def test_refits_combine_events_once(spark, sf_dir):
+    plan = driver_queries.QUERIES["refitted_table"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "norm_mean" in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
