@@ -173,8 +173,9 @@ def tx_to_genome(rows: DataFrame, offsets: DataFrame, fasta: DataFrame | None =
 
 def last_transcript_wins(rows: DataFrame, order: str = "tx_ord", keys: Sequence[str] = ("gene_id", "read_index")) -> DataFrame:
     """Of a read's rows in a gene only those of its last transcript."""
-    last = rows.groupBy(*keys).agg(F.max(order).alias("_last"))
-    return rows.join(last, list(keys)).filter(F.col(order) == F.col("_last")).drop("_last")
+    # Rows are dealt once and sorted: no table of reads beside them, and none is joined.
+    rank = F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    return rows.na.drop(subset=[*keys, order]).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def skip_done(rows: DataFrame, done: DataFrame, key: str = "idx") -> DataFrame:

@@ -175,3 +175,10 @@ def test_packed_sites_dont_depend_on_order(spark):
     a = mixture.pack_sites(align.with_reference(rows, ref)).first()
     b = mixture.pack_sites(align.with_reference(rows.orderBy(F.rand(1)), ref)).first()
     assert a == b and a.groups == ["KO-r", "WT-r"] and sorted(set(a.code)) == [0, 1]
+
+
+def test_last_transcript_is_found_without_a_join(spark):
+    rows = spark.createDataFrame([("g", 1, 1, "a"), ("g", 1, 2, "b"), ("g", 1, 2, "c"), ("g", 2, 1, "d"), ("h", 1, None, "e"), (None, 1, 3, "f")], "gene_id string, read_index long, tx_ord long, kmer string")
+    last = prep.last_transcript_wins(rows)
+    assert sorted(r.kmer for r in last.collect()) == ["b", "c", "d"] and last.columns == rows.columns
+    assert "Join" not in last._jdf.queryExecution().executedPlan().toString()
