@@ -93,9 +93,14 @@ def read_counts(reads: DataFrame, keys: Sequence[str]) -> DataFrame:
     return reads.groupBy(*keys).agg(F.count_distinct("read_index").alias("n_reads"))
 
 
+def gated_counts(rows: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    """Keys with ``least`` distinct reads or more, and how many these are: rows are counted once."""
+    return read_counts(rows, keys).filter(F.col("n_reads") >= least)
+
+
 def gate_reads(rows: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
     """Rows of keys with ``least`` distinct reads or more."""
-    good = read_counts(rows, keys).filter(F.col("n_reads") >= least).select(*keys)
+    good = gated_counts(rows, keys, least).select(*keys)
     return rows.join(good, list(keys), "left_semi")
 
 

@@ -98,8 +98,7 @@ def read_cap(spark, sf_dir):
 
 @query("count_gates", _sql("select position, run, count(distinct read_index) as n_reads from v_signal group by position, run having count(distinct read_index) >= 90", "v_signal"))
 def count_gates(spark, sf_dir):
-    rows = prep.gate_reads(_view(spark, sf_dir, "v_signal"), ["position", "run"], 90)
-    return prep.read_counts(rows, ["position", "run"])
+    return prep.gated_counts(_view(spark, sf_dir, "v_signal"), ["position", "run"], 90)
 
 
 @query("collect_sites", _sql(f"/*with*/ {_COMBINED} select run, idx, position, kmer, string_agg(cast(cast(round_even(norm_mean * 10, 0) as bigint) as varchar), ',' order by norm_mean) as y, count(*) as n from combined group by run, idx, position, kmer", "v_signal"))

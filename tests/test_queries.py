@@ -36,6 +36,11 @@ def test_refits_combine_events_once(spark, sf_dir):
     assert "l_orderkey" not in plan and "norm_mean" in plan
 
 
+def test_gated_counts_read_the_table_once(spark, sf_dir):
+    plan = driver_queries.QUERIES["count_gates"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
